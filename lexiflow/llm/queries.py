@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import byte_bpe, chat_template, flac, quality_rules, token_counts, url_reputation
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op3_flac": flac.op3_flac,
+        "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op7_chat_template": chat_template.op7_chat_template,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_url_reputation": url_reputation.op10_url_reputation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_chat_template": chat_template.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_url_reputation": url_reputation.ORACLE_SQL,
     }
