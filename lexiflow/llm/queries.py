@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_template, flac, quality_rules, token_counts, url_reputation
+from . import byte_bpe, chat_template, flac, packing, quality_rules, suffix_dedup, token_counts, url_reputation
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_flac": flac.op3_flac,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_chat_template": chat_template.op7_chat_template,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_packing": packing.op9_packing,
         "op10_url_reputation": url_reputation.op10_url_reputation,
     }
 
