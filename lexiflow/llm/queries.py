@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_template, flac, packing, quality_rules, suffix_dedup, token_counts, url_reputation
+from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_flac": flac.op3_flac,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_chat_template": chat_template.op7_chat_template,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_ngram_join": ngram_join.ORACLE_SQL,
         "op7_chat_template": chat_template.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op10_url_reputation": url_reputation.ORACLE_SQL,

@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 def cut_spans(raw: bytes, spans, length: int) -> tuple[bytes, list[tuple[int, int]]]:
     """What is left of ``raw``, and the maximal removed runs."""
     runs: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in (() if spans is None else spans)):
         if runs and lo <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], hi + length)
         else:
