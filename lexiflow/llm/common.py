@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partitions_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation. The files go when the
@@ -36,10 +36,13 @@ def stored(df: DataFrame, name: str, partitions_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(batch, size: int):
-    """Slices of an Arrow batch of at most ``size`` rows."""
-    for start in range(0, batch.num_rows, size):
-        yield batch.slice(start, size)
+def where(df: DataFrame, verdict: str) -> DataFrame:
+    """Rows whose boolean column ``verdict`` is true, tested after it has been computed once.
+
+    A plain filter is moved below the projection that computes the verdict, which repeats its expressions, and inside
+    lambdas repeats them for every element of an array. A filter on a row number stays where it is.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).filter(F.col(f"`{verdict}`") & (F.col("__row") >= 0)).drop("__row")
 
 
 def byte_blocks(batches, max_bytes: int, column: str = "text"):

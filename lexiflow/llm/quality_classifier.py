@@ -10,6 +10,8 @@
 
 The labels table is not used for fitting; it is what the tests measure accuracy on.
 
+Rows that are kept are taken with ``common.where``, never with a plain filter on ``keep``.
+
 Edge cases: null texts and texts without words score 0 and are rejected; repeated rows are scored alike; ties at the edge
 of the sample all belong to it; an empty table gives an empty result. Other columns stay; a column named ``score`` or
 ``keep`` is replaced.
@@ -114,13 +116,15 @@ def hashed(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> D
 
 
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) -> list[float]:
-    """Weights, the constant last, from (__f, p): one task over the bounded sample."""
+    """Weights, the constant last, from (__f, p): one task over the bounded sample; rows without tokens don't count."""
     import pyarrow as pa
 
     def run(batches):
         at, index, values, p = 0, [], [], []
         for b in batches:
             for f, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not f:
+                    continue
                 found, n = np.unique(np.array(f, np.int64) - 1, return_counts=True)
                 index.append(found + at * dimensions)
                 values.append(n / n.sum())
@@ -153,9 +157,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     chosen = docs.filter(order <= last).select(f"`{text}`")
     patterns = docs.sparkSession.createDataFrame(list(posterior.items()), "pattern string, p double")
     rows = hashed(votes(chosen, text).join(F.broadcast(patterns), "pattern"), text, dimensions)
-    return fit(stored(rows.filter(F.size("__f") > 0).select("__f", "p"), "sample"), dimensions)
-
-
+    # Rows without tokens are left out where the model is fitted: a filter here would repeat the hashing below the join.
+    return fit(stored(rows.select("__f", "p"), "sample"), dimensions)
 
 
 def score(docs: DataFrame, weights: list[float], text: str = "text", keep: float = KEEP) -> DataFrame:

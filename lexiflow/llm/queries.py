@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_reputation
+from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_flac": flac.op3_flac,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
