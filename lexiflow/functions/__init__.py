@@ -1 +1 @@
-
+"""Column functions: text, numbers, colours and geometry."""

@@ -1 +1 @@
-
+"""Matching, sampling, positional and event operators."""

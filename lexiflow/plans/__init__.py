@@ -1 +1 @@
-
+"""Registered queries: operators applied to whole tables, each with its SQL."""

@@ -1,2 +1,15 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""All registered queries, but for those of optional subpackages, and their SQL."""
+
+from __future__ import annotations
+
+from .plans import catalog, events, reading
+
+_MODULES = (catalog, reading, events)
+
+
+def queries() -> dict:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

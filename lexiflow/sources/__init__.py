@@ -1 +1 @@
-
+"""Readers, literal tables and the catalogue store."""

@@ -1 +1,5 @@
+"""Event operators on Structured Streaming: keyed state with event-time order inside a micro-batch and time-outs."""
 
+from .gaze import dwell_stream, cooldown_stream, funnel_stream
+
+__all__ = ["cooldown_stream", "dwell_stream", "funnel_stream"]
