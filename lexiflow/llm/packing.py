@@ -33,7 +33,7 @@ from .common import byte_blocks, stored
 from .token_counts import tokenizer
 
 SEQUENCE, END, BLOCK, QUEUES = 2048, 1, 512, 64
-REMEMBERED = 400_000
+REMEMBERED, TOGETHER = 400_000, 16
 BLOCK_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 TAIL = b"*&$#%.,!|;:?"
@@ -44,12 +44,16 @@ class PieceEncoder:
 
     White space is a stable boundary of the tokenizer, and so is the edge between an ASCII letter or digit and the run of
     ``TAIL`` characters that ends a piece (no pre-split reaches over it). Case of ASCII letters does not matter. A text
-    that might hold a special token goes to the library whole.
+    that might hold a special token goes to the library whole. New pieces of lower-case Latin letters are one word each,
+    and a word's last token, and no other, has the end mark; so they are encoded ``TOGETHER`` and cut behind these tokens.
     """
 
     def __init__(self, path: str):
         self.tk, self.pieces, self.stems = tokenizer(path), {}, {}
         self.plain = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+        words = self.tk.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.stems) > REMEMBERED:
@@ -60,9 +64,19 @@ class PieceEncoder:
             cut = (s, p[len(s) :]) if s and s[-1] in self.plain and len(s) < len(p) else (p, b"")
             parts.append(cut)
             missing.update(x for x in cut if x and x not in stems)
-        todo = list(missing)
-        for s, e in zip(todo, self.tk.encode_batch_fast([s.decode() for s in todo], add_special_tokens=False)):
-            stems[s] = np.array(e.ids, "<u4").tobytes()
+        letters, others = [], []
+        for s in missing:
+            t = s.decode()
+            (letters if t.isalpha() and (t.isascii() or max(t) <= "ſ" and t == t.lower()) else others).append(t)
+        for t, e in zip(others, self.tk.encode_batch_fast(others, add_special_tokens=False)):
+            stems[t.encode()] = np.array(e.ids, "<u4").tobytes()
+        if letters:
+            rows = self.tk.encode_batch_fast([" ".join(letters[i : i + TOGETHER]) for i in range(0, len(letters), TOGETHER)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in rows])
+            raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) != len(letters) + 1:
+                raise ValueError("the tokenizer does not end each word with one end mark")
+            stems.update((t.encode(), raw[a:b]) for t, a, b in zip(letters, cuts, cuts[1:]))
         stems[b""] = b""
         self.pieces.update((p, stems[a] + stems[b]) for p, (a, b) in zip(new, parts))
 
@@ -72,7 +86,7 @@ class PieceEncoder:
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
         known = self.pieces
-        self._learn(list({p for ps in cut for p in ps if p not in known}))
+        self._learn(list(set().union(*(set(ps).difference(known) for ps in cut))))
         out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
         for i, t in enumerate(texts):
             if t and "<|" in t:
