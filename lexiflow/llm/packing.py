@@ -33,7 +33,7 @@ from .common import byte_blocks, stored
 from .token_counts import tokenizer
 
 SEQUENCE, END, BLOCK, QUEUES = 2048, 1, 512, 64
-REMEMBERED, TOGETHER = 400_000, 16
+REMEMBERED, TOGETHER = 700_000, 16
 BLOCK_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 TAIL = b"*&$#%.,!|;:?"
