@@ -101,6 +101,8 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", ur
     for name in ("host", "domain", "suffix"):
         known = known.join(level(name), f"__{name}", "left")
     known = known.select("host", F.coalesce("__host_lower", "__domain_lower", "__suffix_lower", F.lit(base)).alias("lower"))
+    # Written, so that the join with the pages shares its shuffle with no aggregate and Spark can split a hot host.
+    known = stored(known, "known")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     out = pages.join(known, "host", "left").withColumn("rule", rule)
     return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("lower") >= floor, F.lit("allow")).otherwise(F.lit("block"))))
