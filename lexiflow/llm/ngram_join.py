@@ -5,9 +5,11 @@ words: all of them as one). Two texts link when ``100 * |A & B| >= percent * |A
 
 1. Classes. Equal sets form a class; one text stands for it.
 2. Upper tree. The root splits sets by size into nodes of two neighbouring bands, wide enough that any linked pair
-   shares one. A node splits the hash space into one segment more than a linked pair of its sizes can have differences,
-   so such a pair agrees on a whole segment; the node's children are keyed by segment and content. Each class goes to all
-   its children, which are found by one sort-based shuffle of hashes. Classes that share a child are joined in stars, and
+   shares one. A node splits the hash space into more segments than a linked pair of its sizes can have differences, so
+   such a pair agrees on a whole segment; the node's children are keyed by segment and content. If a set has shingles in
+   more segments than there can be differences, one of those is agreed on, and its empty segments are left out: they
+   would lead to one child for all. Each class goes to its children, which are found by one sort-based shuffle of
+   hashes. Classes that share a child are joined in stars, and
    the stars' components are the leaves' groups: no link crosses two groups.
 3. Lower tree. A task builds the signature tree of a group: sorted by size, each node holds the OR of its members' token
    bitmaps, their range of sizes, and the largest count of shingles that share a bit. A dual traversal walks pairs of
@@ -99,12 +101,16 @@ def child_keys(s: np.ndarray, percent: int) -> np.ndarray:
             continue
         # The smaller set of a pair has at most this many shingles here; linked sets differ in at most `apart`.
         apart = (int(edges[node + 1]) - 1) * (100 - percent) // percent
-        cuts = np.array([(j << 64) // (apart + 1) for j in range(1, apart + 1)], np.uint64) if apart < 4096 else _cuts(apart + 1)
+        m = apart + 1 + (apart + 1) * (100 - percent) // 65 + 1
+        cuts = np.array([(j << 64) // m for j in range(1, m)], np.uint64) if m < 4096 else _cuts(m)
         at = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
+        sizes = np.diff(at)
         with np.errstate(over="ignore"):
             content = sums[at[1:]] - sums[at[:-1]]
-            name = np.uint64(node + 1) * _M[0] + np.arange(apart + 1, dtype=np.uint64) * _M[1] + np.diff(at).astype(np.uint64)
-            keys.append(mixed(content * _M[2] + mixed(name)))
+            name = np.uint64(node + 1) * _M[0] + np.arange(m, dtype=np.uint64) * _M[1] + sizes.astype(np.uint64)
+            found = mixed(content * _M[2] + mixed(name))
+        full = sizes > 0
+        keys.append(found[full] if int(full.sum()) > apart else found)
     return np.concatenate(keys).view(np.int64)
 
 
@@ -339,6 +345,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     least = to_root.groupBy("to").agg(F.min("least").alias("component"))
     found = to_root.join(least, "to").select("class", "component")
     named = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component", "least").alias("component"))
+    # Written, so that the last join shares its shuffle with no aggregate and Spark can split a class of very many copies.
+    named = stored(named, "named")
     out = rows.select("key", "n", "class").join(named, "class", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
