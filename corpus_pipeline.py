@@ -67,7 +67,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Tokens and trained weights are beyond SQL; the tests hold the stages against brute force.
+#: Tokens and trained weights are beyond SQL; tests hold the near-copy stage against brute force, the others against planted rows.
 ORACLE_SQL = None
 
 
