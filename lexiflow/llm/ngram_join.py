@@ -8,8 +8,10 @@ words: all of them as one). Two texts link when ``100 * |A & B| >= percent * |A
    shares one. A node splits the hash space into more segments than a linked pair of its sizes can have differences, so
    such a pair agrees on a whole segment; the node's children are keyed by segment and content. If a set has shingles in
    more segments than there can be differences, one of those is agreed on, and its empty segments are left out: they
-   would lead to one child for all. Each class goes to its children, which are found by one sort-based shuffle of
-   hashes. Classes that share a child are joined in stars, and
+   would lead to one child for all. If it has ``t`` more, ``t`` at least are agreed on, and it leaves out its ``t - 1``
+   children that most classes have: the rarest agreed child is not among them, on either side. So texts that only share
+   passages seldom meet. Children are counted in one sort-based shuffle of hashes (counts beyond ``COUNTED`` are alike,
+   ties go by the key), and only those that two classes share go on. Classes that share a child are joined in stars, and
    the stars' components are the leaves' groups: no link crosses two groups.
 3. Lower tree. A task builds the signature tree of a group: sorted by size, each node holds the OR of its members' token
    bitmaps, their range of sizes, and the largest count of shingles that share a bit. A dual traversal walks pairs of
@@ -27,7 +29,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import byte_blocks, stored
 from .components import connected_components
@@ -36,6 +38,7 @@ SHINGLE, PERCENT = 3, 90
 UNIT, UNIT_SHINGLES = 2000, 2_000_000
 FANOUT = 8
 REMEMBERED = 500_000
+COUNTED = 4096
 BLOCK_BYTES = 4 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -91,11 +94,15 @@ def band_of(n: int, percent: int) -> int:
     return int(np.searchsorted(_bands(percent), n, "right")) - 1
 
 
-def child_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the upper tree's children that a set belongs to."""
+def child_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the upper tree's children that a set belongs to, and how many of a node's may be left out, by parity.
+
+    A set's two nodes have different parities, which the lowest bit of a key tells. Which children are left out must
+    follow one order of all keys, the last ones first.
+    """
     n = len(s)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + _M[2]), dtype=np.uint64)])
-    own, edges, keys = band_of(n, percent), _bands(percent), []
+    own, edges, keys, spare = band_of(n, percent), _bands(percent), [], [0, 0]
     for node in (own, own - 1):
         if node < 0:
             continue
@@ -108,10 +115,13 @@ def child_keys(s: np.ndarray, percent: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             content = sums[at[1:]] - sums[at[:-1]]
             name = np.uint64(node + 1) * _M[0] + np.arange(m, dtype=np.uint64) * _M[1] + sizes.astype(np.uint64)
-            found = mixed(content * _M[2] + mixed(name))
+            found = (mixed(content * _M[2] + mixed(name)) & ~np.uint64(1)) | np.uint64(node & 1)
         full = sizes > 0
-        keys.append(found[full] if int(full.sum()) > apart else found)
-    return np.concatenate(keys).view(np.int64)
+        # A linked set agrees on all but `apart` of the full segments.
+        more = int(full.sum()) - apart
+        spare[node & 1] = max(more - 1, 0)
+        keys.append(found[full] if more > 0 else found)
+    return np.concatenate(keys).view(np.int64), spare
 
 
 def _cuts(m: int) -> np.ndarray:
@@ -120,29 +130,103 @@ def _cuts(m: int) -> np.ndarray:
     return j * np.uint64(step) + (j.astype(np.float64) * (rest / m)).astype(np.uint64)
 
 
-def class_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, row, mark, n, class, keys) of each document; the keys stand with the first of a class in a task's stretch."""
-    import pyarrow as pa
+def class_name(s: np.ndarray) -> int | None:
+    """A hash of a set; None for an empty one."""
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) if len(s) else None
+
+
+def class_rows(docs: DataFrame, k: int) -> DataFrame:
+    """(key, row, mark, n, class) of each document."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in byte_blocks(batches, BLOCK_BYTES):
+            sets = [shingles(t, k) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(map(len, sets), pa.int64()), pa.array(map(class_name, sets), pa.int64())], names=["key", "row", "mark", "n", "class"])
+
+    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, row bigint, mark bigint, n bigint, class bigint")
+
+
+def class_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(k, class, spare) of the children of each document's class; again only where a task has long forgotten the class.
+
+    ``spare`` is how many keys of this class and parity may be left out. Nothing is stored here: the sets are cheaper to
+    build twice than their keys are to keep.
+    """
+    import pyarrow as pa
+
     def run(batches):
         seen: set[int] = set()
         for b in byte_blocks(batches, BLOCK_BYTES):
-            n, names, keys = [], [], []
             if len(seen) > 1_000_000:
                 seen = set()
-            for t in b.column(3).to_pylist():
+            names, keys, spares = [], [], []
+            for t in b.column(0).to_pylist():
                 s = shingles(t, k)
-                n.append(len(s))
-                name = xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) if len(s) else None
-                names.append(name)
-                keys.append(child_keys(s, percent) if len(s) and name not in seen else None)
+                name = class_name(s)
+                if name is None or name in seen:
+                    continue
                 seen.add(name)
-            flat = np.concatenate([np.zeros(0, np.int64), *(x for x in keys if x is not None)])
-            ends = np.cumsum([0, *(0 if x is None else len(x) for x in keys)])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["key", "row", "mark", "n", "class", "keys"])
+                found, spare = child_keys(s, percent)
+                keys.append(found)
+                names.append(np.full(len(found), name, np.int64))
+                spares.append(np.array(spare, np.int32)[found & 1])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, names, spares)], names=["k", "class", "spare"])
+
+    return docs.select("text").mapInArrow(run, "k bigint, class bigint, spare int")
+
+
+def shared_keys(keys: DataFrame, counted: int = COUNTED) -> DataFrame:
+    """(k, class, spare, df) of keys that two classes have at least; ``df`` counts the classes, up to ``counted``.
+
+    Keys stream by in order. A key's rows are held until ``counted`` of them are known, so a hot key takes no more memory.
+    """
+    import pyarrow as pa
+
+    names = ["k", "class", "spare", "df"]
+
+    def run(batches):
+        held = None
+        last = first = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+            if held is not None:
+                rows = np.concatenate([held, rows], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            rows = rows[:, new]
+            at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            sizes = np.diff(np.concatenate([at, [rows.shape[1]]]))
+            # `first` rows of the held key are out already, all but its last, which finds repeats of its class.
+            df = np.minimum(sizes, counted)
+            if first:
+                df[0] = counted
+            df = np.repeat(df, sizes)
+            end, skip = int(at[-1]), 1 if first else 0
+            if df[-1] >= counted:
+                held, last, out, first = rows[:, -1:], 1, slice(skip, None), 1
+            else:
+                held, last, out, first = rows[:, end:], 0, slice(skip, end), 0
+            rows, df = rows[:, out], df[out]
+            yield record(rows[:, df > 1], df[df > 1])
+        if held is not None and not last and held.shape[1] > 1:
+            yield record(held, np.full(held.shape[1], held.shape[1]))
+
+    def record(rows, df):
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(df.astype(np.int32))], names=names)
+
+    return keys.repartition("k").sortWithinPartitions("k", "class").mapInArrow(run, "k bigint, class bigint, spare int, df int")
+
 
-    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, row bigint, mark bigint, n bigint, class bigint, keys array<bigint>")
+def rare_keys(shared: DataFrame) -> DataFrame:
+    """(k, class) without the ``spare`` most common keys of each class and parity."""
+    order = Window.partitionBy("class", F.col("k").bitwiseAND(1)).orderBy(F.desc("df"), F.desc("k"))
+    return shared.repartition("class").withColumn("place", F.row_number().over(order)).filter("place > spare").select("k", "class")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -327,9 +411,8 @@ def _grouped(clusters: DataFrame, percent: int, unit: int, unit_shingles: int) -
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, unit: int = UNIT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """(key, n_shingles, component_id) of each row."""
     docs = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`")).alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
-    rows = stored(class_rows(docs, k, percent), "classes")
-    keys = rows.filter("keys IS NOT NULL").select(F.explode("keys").alias("k"), "class")
-    candidates = connected_components(stars(keys))
+    rows = stored(class_rows(docs, k), "classes")
+    candidates = connected_components(stars(rare_keys(shared_keys(class_keys(docs, k, percent)))))
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("least"), F.min(F.struct("row", "mark")).alias("one"), F.max("n").alias("n"))
     clusters = stored(candidates.select(F.col("node").alias("class"), "root").join(classes, "class"), "clusters")
     groups = stored(_grouped(clusters.select("class", "root", "n"), percent, unit, unit_shingles), "groups")

@@ -69,7 +69,44 @@ def test_linked_sets_share_a_child():
             drop, add = int(rng.integers(0, n // 8 + 2)), int(rng.integers(0, n // 8 + 2))
             b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
             if len(b) and J.linked(a, b, percent):
-                assert set(J.child_keys(a, percent).tolist()) & set(J.child_keys(b, percent).tolist())
+                ours, theirs = J.child_keys(a, percent), J.child_keys(b, percent)
+                both = set(ours[0].tolist()) & set(theirs[0].tolist())
+                assert both
+                salt = int(rng.integers(1 << 62)) | 1
+                # Whatever the order of keys, common ones last or not, one agreed key is left on both sides.
+                for order in (lambda x: (x * salt) % (1 << 61), lambda x: (x in both, x), lambda x: (x not in both, x)):
+                    kept = []
+                    for keys, spare in (ours, theirs):
+                        halves = [sorted((x for x in keys.tolist() if x & 1 == odd), key=order) for odd in (0, 1)]
+                        kept.append({x for h, n in zip(halves, spare) for x in h[: len(h) - n]})
+                    assert kept[0] & kept[1]
+
+
+def test_shared_keys_over_batches(spark):
+    rows = [(k, c, 1) for k, n in ((1, 1), (2, 2), (3, 3), (4, 9), (5, 1), (6, 30), (7, 4)) for c in range(n) for _ in range(1 + (c + k) % 3)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for batch in ("1", "2", "5", "1000"):
+            spark.conf.set(size, batch)
+            got = J.shared_keys(spark.createDataFrame(rows, "k bigint, class bigint, spare int").repartition(4), counted=4).collect()
+            want = {(k, c): min(n, 4) for k, n in ((2, 2), (3, 3), (4, 9), (6, 30), (7, 4)) for c in range(n)}
+            assert len(got) == len(want) and {(r.k, r["class"]): r.df for r in got} == want
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_shared_passages_against_brute_force(spark):
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        own = [f"w{r.randrange(10**6)}" for _ in range(r.choice((0, 5, 12, 25, 60)))]
+        at = r.randrange(len(own) + 1)
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+    texts += [t + " end" for t in texts[::3]]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(frame(spark, texts), k=5, percent=80).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 5, 80)
 
 
 def test_tree_equals_all_pairs():
