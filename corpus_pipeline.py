@@ -40,10 +40,16 @@ def rule_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least ``doc_id`` of each component of near copies."""
-    groups = jaccard_components(docs.select("doc_id", "text"), k=SHINGLE, percent=PERCENT)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").withColumn("text mark", F.xxhash64("text")).dropDuplicates(["doc_id", "text mark"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each component of near copies: that of least ``doc_id`` (null ones last), then of least text mark.
+
+    A document is known by its id and its text's mark, and a null id is an id like others; so rows without an id take
+    part, and so do different texts under one id.
+    """
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    named = docs.withColumn("doc mark", name)
+    groups = jaccard_components(named.select("doc mark", "text"), key="doc mark", k=SHINGLE, percent=PERCENT)
+    first = groups.filter("`doc mark` = component_id").select("doc mark").distinct()
+    return named.join(first, "doc mark", "left_semi").dropDuplicates(["doc mark"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

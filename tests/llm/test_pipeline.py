@@ -59,6 +59,17 @@ def test_stages(spark):
     assert {x.doc_id for x in packed} == set(range(len(texts)))
 
 
+def test_one_of_each_group_without_ids_and_with_shared_ids(spark):
+    r = random.Random(5)
+    t = [sentence(r, 100) for _ in range(8)]
+    near = [x + " more" for x in t]
+    rows = [(None, t[0]), (None, t[1]), (None, near[1]), (3, t[2]), (None, near[2]), (4, t[3]), (4, near[3]), (5, t[4]), (5, t[5]), (6, near[5]), (7, t[6]), (7, t[6]), (None, t[7]), (None, t[7]), (8, ""), (None, None)]
+    out = pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    group = {x: i for i, x in enumerate(t)} | {x: i for i, x in enumerate(near)}
+    got = Counter((x.doc_id, group.get(x.text, x.text)) for x in out)
+    assert got == Counter([(None, 0), (None, 1), (3, 2), (4, 3), (5, 4), (5, 5), (7, 6), (None, 7), (8, ""), (None, None)])
+
+
 def test_run_and_empty(spark, tmp_path):
     docs, _, _ = corpus(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
