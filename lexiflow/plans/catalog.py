@@ -17,6 +17,12 @@ def list_recent(spark, d):
     return o.orderBy(F.desc_nulls_first("o_orderdate"), "o_orderkey").limit(50).withColumn("o_orderdate", F.date_format("o_orderdate", STAMP))
 
 
+def list_all(spark, d):
+    """The whole listing, newest first; ``list_recent`` is its first 50 rows."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return o.orderBy(F.desc_nulls_first("o_orderdate"), "o_orderkey").withColumn("o_orderdate", F.date_format("o_orderdate", STAMP))
+
+
 def point_lookup(spark, d):
     keys = literal(spark, [42, -1], "o_orderkey bigint").drop("ord")
     found = table(spark, d, "orders").filter(F.col("o_orderkey").isin(42, -1)).select("o_orderkey", "o_custkey")
@@ -124,7 +130,7 @@ def slot_changes(spark, d):
     return M.slot_changes(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "c_mktsegment")
 
 
-QUERIES = {f.__name__: f for f in (list_recent, point_lookup, meta_projection, upsert_rows, upsert_keep_old, append_absent, delete_cascade, validity_reason, cover_precedence, page_variant, bag_union, zones_server, zones_import, zones_editor, json_import, size_gate, slot_changes)}
+QUERIES = {f.__name__: f for f in (list_recent, list_all, point_lookup, meta_projection, upsert_rows, upsert_keep_old, append_absent, delete_cascade, validity_reason, cover_precedence, page_variant, bag_union, zones_server, zones_import, zones_editor, json_import, size_gate, slot_changes)}
 
 _CHANGES = """WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer),
 u AS (SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END AS c_mktsegment FROM c WHERE c_custkey % 3 = 0
@@ -135,6 +141,7 @@ i AS (SELECT l_orderkey, l_linenumber, least(greatest("left", 0), 100) AS "left"
 _SPACED = r"regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]+', ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]+$', '')"
 SQL = {
     "list_recent": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM (SELECT * FROM orders ORDER BY orders.o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 50)",
+    "list_all": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders ORDER BY orders.o_orderdate DESC NULLS FIRST, o_orderkey",
     "point_lookup": "SELECT k AS o_orderkey, o_custkey, CASE WHEN o_custkey IS NULL THEN 404 ELSE 200 END AS status FROM (VALUES (42::BIGINT), (-1::BIGINT)) t(k) LEFT JOIN orders ON o_orderkey = k",
     "meta_projection": "SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE '#ff6b6b' END AS accent, true AS custom, NULL::VARCHAR AS coverImage, o_orderstatus AS cover, o_orderkey % 9 AS pageCount, o_custkey AS updatedAt FROM orders",
     "upsert_rows": _CHANGES + "SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT * FROM u",

@@ -9,8 +9,13 @@ from ..operators import matching as M, positional as P, sampling as S
 from ..sources.tables import CONFLICTS, DEFAULT_LABEL, LABELS, PARTS, literal, table
 
 
+def all_zone_hits(spark, d):
+    """Hits of every zone that has any; ``word_zone_hits`` is its twenty largest."""
+    return M.word_zone_hits(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "label"), "text", "item_id", "label")
+
+
 def word_zone_hits(spark, d):
-    return M.word_zone_hits(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "label"), "text", "item_id", "label").orderBy(F.desc("hits"), "item_id").limit(20)
+    return all_zone_hits(spark, d).orderBy(F.desc("hits"), "item_id").limit(20)
 
 
 def _marked(spark, d):
@@ -171,7 +176,7 @@ def easing(spark, d):
     return s.select("id", F.round(V.ease_out_back(F.col("t")), 6).alias("ease"), F.round(F.sin(F.col("t")) * 4.0, 6).alias("bob"), F.least(F.col("id"), F.lit(10)).cast("double").alias("steps"), V.percent_of(F.col("id") * 5.0, F.lit(20.0), F.lit(120.0)).alias("pct"), V.placed(F.col("t"), F.lit(2.0), F.lit(1.0)).alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (word_zone_hits, tokenize, spoken_word, normalize_word, data_url_decode, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next, sample_n, pick_with_must, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, easing)}
+QUERIES = {f.__name__: f for f in (word_zone_hits, all_zone_hits, tokenize, spoken_word, normalize_word, data_url_decode, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next, sample_n, pick_with_must, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, easing)}
 
 _TOKENS = r"""WITH t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(replace(text, ',', ' ,'), '[^\s\x0B]+') AS w FROM documents)),
 g AS (SELECT *, sum(CASE WHEN regexp_full_match(tok, '[!?.,;:…]+') AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM t),
@@ -183,6 +188,9 @@ SQL = {
     "word_zone_hits": rf"""WITH w AS (SELECT regexp_replace(strip_accents(lower(x)), '[^a-z0-9]', '', 'g') AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\s\x0B]+')) AS x FROM documents) GROUP BY 1),
 z AS (SELECT DISTINCT item_id, regexp_replace(strip_accents(lower(x)), '[^a-z0-9]', '', 'g') AS word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\s\x0B]+')) AS x FROM benchmark))
 SELECT item_id, sum(n)::BIGINT AS hits FROM z JOIN w USING (word) WHERE length(word) >= 3 GROUP BY item_id ORDER BY hits DESC, item_id LIMIT 20""",
+    "all_zone_hits": rf"""WITH w AS (SELECT regexp_replace(strip_accents(lower(x)), '[^a-z0-9]', '', 'g') AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\s\x0B]+')) AS x FROM documents) GROUP BY 1),
+z AS (SELECT DISTINCT item_id, regexp_replace(strip_accents(lower(x)), '[^a-z0-9]', '', 'g') AS word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\s\x0B]+')) AS x FROM benchmark))
+SELECT item_id, sum(n)::BIGINT AS hits FROM z JOIN w USING (word) WHERE length(word) >= 3 GROUP BY item_id""",
     "tokenize": _TOKENS + "SELECT * FROM k",
     "spoken_word": _TOKENS + r"SELECT doc_id, pos, coalesce(nullif(regexp_replace(word, '[\s!?.,;:…]+$', ''), ''), word) AS spoken FROM k",
     "normalize_word": _TOKENS + f"SELECT {_NORMAL} AS word, count(*) AS count FROM k GROUP BY 1",
