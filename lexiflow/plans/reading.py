@@ -135,6 +135,11 @@ def play_next(spark, d):
     return P.play_next(table(spark, d, "events").select("user_id", "event_id", F.substring("props", 1, 7).alias("url")), "user_id", "url", "event_id").select("user_id", "url", F.col("position").cast("long").alias("position"), "following")
 
 
+def play_next_url(spark, d):
+    """As ``play_next``, which knows urls by their first seven characters; here a url is the whole value."""
+    return P.play_next(table(spark, d, "events").select("user_id", "event_id", F.col("props").alias("url")), "user_id", "url", "event_id").select("user_id", "url", F.col("position").cast("long").alias("position"), "following")
+
+
 def sample_n(spark, d):
     return S.sample_n(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", 40, "s1")
 
@@ -176,7 +181,7 @@ def easing(spark, d):
     return s.select("id", F.round(V.ease_out_back(F.col("t")), 6).alias("ease"), F.round(F.sin(F.col("t")) * 4.0, 6).alias("bob"), F.least(F.col("id"), F.lit(10)).cast("double").alias("steps"), V.percent_of(F.col("id") * 5.0, F.lit(20.0), F.lit(120.0)).alias("pct"), V.placed(F.col("t"), F.lit(2.0), F.lit(1.0)).alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (word_zone_hits, all_zone_hits, tokenize, spoken_word, normalize_word, data_url_decode, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next, sample_n, pick_with_must, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, easing)}
+QUERIES = {f.__name__: f for f in (word_zone_hits, all_zone_hits, tokenize, spoken_word, normalize_word, data_url_decode, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next, play_next_url, sample_n, pick_with_must, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, easing)}
 
 _TOKENS = r"""WITH t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(replace(text, ',', ' ,'), '[^\s\x0B]+') AS w FROM documents)),
 g AS (SELECT *, sum(CASE WHEN regexp_full_match(tok, '[!?.,;:…]+') AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM t),
@@ -216,6 +221,7 @@ SELECT n_nationkey, array_to_string(chosen, ',') AS chosen FROM f WHERE i = {len
     "page_ordinals": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS pages FROM conversations",
     "next_prev_wrap": "SELECT conv_id, turn, coalesce(lead(turn) OVER w, first_value(turn) OVER w) AS following, coalesce(lag(turn) OVER w, turn) AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "play_next": "SELECT user_id, url, position, following FROM (SELECT user_id, url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, lead(url) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id, url ORDER BY event_id) AS n FROM (SELECT user_id, event_id, props[1:7] AS url FROM events)) WHERE n = 1",
+    "play_next_url": "SELECT user_id, url, position, following FROM (SELECT user_id, url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, lead(url) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id, url ORDER BY event_id) AS n FROM (SELECT user_id, event_id, props AS url FROM events)) WHERE n = 1",
     "sample_n": "SELECT p_partkey, p_brand FROM part ORDER BY md5('s1|' || p_partkey), p_partkey LIMIT 40",
     "pick_with_must": "SELECT p_partkey, p_size FROM part ORDER BY p_partkey <> 17, md5('s2|' || p_partkey), p_partkey LIMIT 6",
     "pick_other": "SELECT p_brand, min(p_partkey) FILTER (r = 1) AS previous, coalesce(min(p_partkey) FILTER (r = 2), min(p_partkey) FILTER (r = 1)) AS picked FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5('s3|' || p_partkey)) AS r FROM part) GROUP BY p_brand",

@@ -21,3 +21,9 @@ def test_listing_and_zones_are_whole(spark):
     zones = q["all_zone_hits"](spark, str(SF)).collect()
     assert len(zones) == len({z.item_id for z in zones}) > 20
     assert sorted(zones, key=lambda z: (-z.hits, z.item_id))[:20] == q["word_zone_hits"](spark, str(SF)).collect()
+
+
+def test_urls_are_whole(spark):
+    rows = queries()["play_next_url"](spark, str(SF)).collect()
+    assert len(rows) == count(f"SELECT count(*) FROM (SELECT DISTINCT user_id, props FROM '{SF}/events.parquet')")
+    assert {r.url for r in rows} == {x for (x,) in duckdb.sql(f"SELECT DISTINCT props FROM '{SF}/events.parquet'").fetchall()}
