@@ -13,7 +13,9 @@ shuffled but counts: (queue, partition) totals give each document its place in i
 
 Shares default to the sources' parts of all tokens, so that all queues last to the end; with other shares a queue that
 runs dry leaves the rest to the others. Sources beyond the ``QUEUES - 1`` with most documents share one queue, so what
-the driver holds is bounded; what partitions report is a table of at most ``QUEUES`` rows each.
+the driver holds is bounded. Its share is the sum of theirs, and its tokens are ordered by the same round-robin: a tree
+whose leaves are sources and whose nodes have about ``FAN`` children each. A node's totals and shares come with the row
+by a join, and a token's place in a node's stream is its place in that of the node above.
 
 Edge cases: a null or empty text is its end token alone; a null source is a queue of its own (shared with the empty
 one); repeated rows are packed one by one; an empty table gives an empty result. Columns of the input that are not named
@@ -34,6 +36,8 @@ from .token_counts import tokenizer
 
 SEQUENCE, END, BLOCK, QUEUES = 2048, 1, 512, 64
 REMEMBERED, TOGETHER = 700_000, 16
+#: Children of a node below the shared queue, and the round and block of its schedule.
+FAN, NODE_ROUND, NODE_BLOCK = 32, 64, 16
 BLOCK_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 TAIL = b"*&$#%.,!|;:?"
@@ -204,7 +208,10 @@ class Schedule:
 
 
 def encoded(df: DataFrame, path: str, key: str, text: str, source: str, queues: int = QUEUES) -> DataFrame:
-    """(key, queue, part, start, tokens, ids): each document's ids and its place among its queue's in its partition."""
+    """(key, queue, source, part, start, tokens, ids): each document's ids and its place among its source's in its partition.
+
+    ``source`` is empty but for rows of the shared queue.
+    """
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -216,18 +223,56 @@ def encoded(df: DataFrame, path: str, key: str, text: str, source: str, queues:
     def run(batches):
         enc, part, sums = piece_encoder(path), TaskContext.get().partitionId(), {}
         for b in byte_blocks(batches, BLOCK_BYTES, "__text"):
-            ids = [x + b"\x01\0\0\0" for x in enc.encode(b.column(2).to_pylist())]
+            ids = [x + b"\x01\0\0\0" for x in enc.encode(b.column(3).to_pylist())]
             starts = []
-            for q, x in zip(b.column(1).to_pylist(), ids):
+            for q, x in zip(zip(b.column(1).to_pylist(), b.column(2).to_pylist()), ids):
                 starts.append(sums.get(q, 0))
                 sums[q] = starts[-1] + len(x) // 4
             small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], names=[key, "queue", "part", "start", "tokens", "ids"])
-
-    return df.select(F.col(f"`{key}`"), queue.alias("queue"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"`{key}` {kind}, queue int, part int, start bigint, tokens bigint, ids binary")
-
-
-def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", shares: dict[str, float] | None = None, sequence: int = SEQUENCE, block: int = BLOCK, with_ids: bool = True) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], names=[key, "queue", "source", "part", "start", "tokens", "ids"])
+
+    return df.select(F.col(f"`{key}`"), queue.alias("queue"), F.when(queue == queues - 1, name).otherwise("").alias("__source"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"`{key}` {kind}, queue int, source string, part int, start bigint, tokens bigint, ids binary")
+
+
+def shared_tree(rest: DataFrame) -> DataFrame:
+    """(source, path) for (source, n, share): from leaf to top, the source's place in each node and the node's totals and shares."""
+    depth, count = 0, rest.count()
+    while count > FAN ** (depth + 1):
+        depth += 1
+    nodes = rest.select("source", F.xxhash64("source").alias("h"), F.col("source").alias("child"), "n", "share", F.array().cast("array<struct<at:int,totals:array<bigint>,shares:array<double>>>").alias("path"))
+    up = nodes.select("source", "h", "path")
+    for level in range(depth, -1, -1):
+        node = F.pmod("h", F.lit(FAN**level))
+        own = stored(nodes.groupBy(node.alias("node")).agg(F.sort_array(F.collect_list(F.struct("child", "n", "share"))).alias("c"), F.min("h").alias("h"), F.sum("n").alias("n"), F.sum("share").alias("share")), "nodes")
+        places = own.select(F.posexplode("c").alias("at", "e"), F.struct(F.col("c.n").alias("totals"), F.col("c.share").alias("shares")).alias("s")).select(F.col("e.child").alias("child"), "at", "s")
+        below = F.col("source") if level == depth else F.pmod("h", F.lit(FAN ** (level + 1)))
+        up = up.withColumn("child", below).join(places, "child").select("source", "h", F.concat("path", F.array(F.struct("at", F.col("s.totals").alias("totals"), F.col("s.shares").alias("shares")))).alias("path"))
+        nodes = own.select("h", F.col("node").alias("child"), "n", "share")
+    return stored(up.select("source", "path"), "tree")
+
+
+@lru_cache(16)
+def node_schedule(totals: tuple[int, ...], shares: tuple[float, ...]) -> Schedule:
+    return Schedule(list(totals), list(shares), NODE_ROUND, NODE_BLOCK)
+
+
+def lifted(path: list[dict], start: int, n: int) -> list[tuple[int, int, int]]:
+    """(place in the shared queue, tokens from ``start``, length) of each run of a document's tokens."""
+    runs = [(start, 0, n)]
+    for node in path:
+        plan, out = node_schedule(tuple(node["totals"]), tuple(node["shares"])), []
+        for begin, at, length in runs:
+            for s, offset, more, m in plan.pieces(node["at"], begin, length):
+                place = s * NODE_ROUND + offset
+                if out and out[-1][0] + out[-1][2] == place:
+                    out[-1] = (*out[-1][:2], out[-1][2] + m)
+                else:
+                    out.append((place, at + more, m))
+        runs = out
+    return runs
+
+
+def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", shares: dict[str, float] | None = None, sequence: int = SEQUENCE, block: int = BLOCK, with_ids: bool = True, queues: int = QUEUES) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length[, ids]) of each piece.
 
     ``shares``: a share for each source (default: its part of all tokens). Ids are little-endian 32-bit integers.
@@ -235,16 +280,32 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
     import pyarrow as pa
 
     if shares is not None:
-        ranked = [r["q"] for r in df.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("q")).count().orderBy(F.desc("count"), "q").limit(QUEUES - 1).collect()]
-    docs = stored(encoded(df, path, key, text, source), "ids")
-    parts = stored(docs.groupBy("queue", "part").agg(F.sum("tokens").alias("n")), "parts")
+        ranked = [r["q"] for r in df.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("q")).count().orderBy(F.desc("count"), "q").limit(queues - 1).collect()]
+    docs = stored(encoded(df, path, key, text, source, queues), "ids")
+    parts = stored(docs.groupBy("queue", "source", "part").agg(F.sum("tokens").alias("n")), "parts")
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES rows at most
     width = max(totals, default=0) + 1
-    schedule = Schedule([totals.get(q, 0) for q in range(width)], None if shares is None else [shares.get(ranked[q], 0) if q < len(ranked) else shares.get("", 1.0) for q in range(width)], sequence, block)
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    small = parts.count() <= BROADCAST_ROWS
-    placed = docs.join(F.broadcast(base) if small else base, ["queue", "part"]).select(F.col(f"`{key}`"), "queue", (F.col("start") + F.col("base")).alias("start"), "tokens", "ids")
+    shared, rest = width == queues, None
+    if shared:
+        rest = parts.filter(F.col("queue") == queues - 1).groupBy("source").agg(F.sum("n").alias("n"))
+        if shares is None:
+            rest = rest.withColumn("share", F.col("n").cast("double"))
+        else:
+            named = df.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "source string, share double")
+            rest = rest.join(named, "source", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        rest = stored(rest, "rest")
+        sums = rest.agg(F.sum("share").alias("all"), F.min("share").alias("least")).first()
+        if sums["least"] <= 0:
+            raise ValueError("every source with tokens needs a share above 0")
+    schedule = Schedule([totals.get(q, 0) for q in range(width)], None if shares is None else [shares.get(ranked[q], 0) if q < len(ranked) else sums["all"] if shared else 1.0 for q in range(width)], sequence, block)
+    before = Window.partitionBy("queue", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("queue", "source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    small = parts.count() <= (BROADCAST_ROWS // 100 if shared else BROADCAST_ROWS)
+    route = []
+    if shared:
+        tree = shared_tree(rest).withColumn("queue", F.lit(queues - 1))
+        base, route = base.join(tree, ["queue", "source"], "left"), ["path"]
+    placed = docs.join(F.broadcast(base) if small else base, ["queue", "source", "part"]).select(F.col(f"`{key}`"), "queue", (F.col("start") + F.col("base")).alias("start"), "tokens", "ids", *(F.col(c).alias("__path") for c in route))
     arguments = schedule.totals.tolist(), schedule.shares.tolist(), sequence, block
     full = schedule.total // sequence
     rest = schedule.total % sequence
@@ -256,9 +317,11 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
         for whole in batches:
             for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 owner, columns = [], [[] for _ in names[1:]]
-                for i, (q, start, n, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)))):
+                paths = b.column(5).to_pylist() if shared else [None] * b.num_rows
+                for i, (q, start, n, ids, up) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)), paths)):
                     ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                    for s, offset, at, length in plan.pieces(q, start, n):
+                    runs = lifted(up, start, n) if up else [(start, 0, n)]
+                    for s, offset, at, length in ((s, o, first + x, m) for place, first, long in runs for s, o, x, m in plan.pieces(q, place, long)):
                         own = ids[4 * at : 4 * (at + length)]
                         owner.append(i)
                         for column, value in zip(columns, (at, length, zlib.crc32(own), n, s, offset, sequence if s < full else rest, own)):

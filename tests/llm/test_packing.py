@@ -70,3 +70,21 @@ def test_pack(spark):
     check(packing.pack(df, PATH, sequence=64, block=8).collect(), texts, 64)
     check(packing.pack(df, PATH, sequence=64, block=8, shares={"s0": 1.0, "s1": 1.0, "s2": 5.0, "": 1.0}).collect(), texts, 64)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_sources_of_the_shared_queue_keep_their_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 3)  # a tree of some levels
+    texts = [noise(i, 400, "ab cd ") for i in range(160)]
+    rows = [(i, t, f"s{i // 4:02}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3, "source")
+    for shares in (None, {f"s{i:02}": 3.0 if i == 39 else 1.0 for i in range(40)}):
+        out = packing.pack(df, PATH, sequence=512, block=4, queues=3, shares=shares).collect()
+        check(out, texts, 512)
+        tokens = {r.doc_id: r.doc_tokens for r in out}
+        totals = np.bincount([i // 4 for i in tokens], list(tokens.values()), 40)
+        got = np.zeros((max(r.sequence_id for r in out) + 1, 40))
+        for r in out:
+            got[r.sequence_id, r.doc_id // 4] += r.length
+        part = totals / totals.sum() if shares is None else np.array(list(shares.values())) / sum(shares.values())
+        until = len(got) - 1 if shares is None else len(got) // 4
+        assert until >= 3 and np.abs(np.cumsum(got, 0)[:until] - np.outer(np.arange(1, until + 1) * 512, part)).max() < 32
