@@ -81,6 +81,46 @@ def pairs(df: DataFrame, by: str, ts: str, key: str, value: str) -> DataFrame:
     return n.filter("__n % 2 = 0 AND __k IS NOT NULL").select(by, F.col(key).alias("first"), F.col("__k").alias("second"), (F.col(value) == F.col("__v")).alias("match"))
 
 
+def turns(df: DataFrame, by: str, ts: str, key: str, card: str, face: str, match_us: int, miss_us: int, deck: int, next_us: int) -> DataFrame:
+    """(by, first, second, match) of the pairs that the memory game turns; ignored clicks turn nothing.
+
+    Ignored are clicks on a matched card or on the one selected, and those within ``match_us`` after a match or ``miss_us``
+    after a miss. When all ``deck`` cards are matched, a new round begins ``next_us`` later. A last single card is left
+    out. State is one round's cards at most, so an actor's clicks stream through one task in order.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        actor, matched, picked, free = None, set(), None, None
+        began = False
+        for b in batches:
+            out = []
+            for who, us, k, c, f in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if not began or who != actor:
+                    began, actor, matched, picked, free = True, who, set(), None, None
+                if free is not None and us < free:
+                    continue
+                if len(matched) == deck:
+                    matched = set()
+                if c in matched or picked and c == picked[1]:
+                    continue
+                if picked is None:
+                    picked = k, c, f
+                    continue
+                same = f == picked[2]
+                out.append((who, picked[0], k, same))
+                free = us + (match_us if same else miss_us)
+                if same:
+                    matched |= {c, picked[1]}
+                    free += next_us if len(matched) == deck else 0
+                picked = None
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((b.schema.field(0).type, b.schema.field(2).type, b.schema.field(2).type, pa.bool_()))], names=[by, "first", "second", "match"])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(by, micros(F.col(ts)).alias("us"), key, F.col(card).alias("card"), F.col(face).alias("face"))
+    return rows.repartition(by).sortWithinPartitions(by, "us", key).mapInArrow(run, f"`{by}` {kinds[by]}, first {kinds[key]}, second {kinds[key]}, match boolean")
+
+
 def drags(df: DataFrame, by: str, ts: str, key: str, event: str, down: str, up: str) -> DataFrame:
     """Each ``up`` with the ``down`` right before it among downs and ups; an up without one is left out."""
     w = Window.partitionBy(by).orderBy(ts, key)

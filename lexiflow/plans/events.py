@@ -44,6 +44,12 @@ def memory_pairs(spark, d):
     return E.pairs(_events(spark, d), "user_id", "ts", "event_id", "event_type")
 
 
+def memory_turns(spark, d):
+    """The memory game over six cards with three faces; its pauses in hours instead of milliseconds."""
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", F.pmod("event_id", F.lit(6)).alias("card"), F.pmod("event_id", F.lit(3)).alias("face"))
+    return E.turns(e, "user_id", "ts", "event_id", "card", "face", 4 * HOUR, 11 * HOUR, 6, 30 * HOUR)
+
+
 def drag_pairs(spark, d):
     return E.drags(_events(spark, d), "user_id", "ts", "event_id", "event_type", "view", "click")
 
@@ -66,7 +72,7 @@ def bounce(spark, d):
     return balls.select("ord", at.alias("s")).select("ord", F.round("s.x", 6).alias("x"), "s.v")
 
 
-QUERIES = {f.__name__: f for f in (dwell, dwell_progress, cooldown, funnel, collect_all, rounds, memory_pairs, drag_pairs, note_highlight, navigation_depth, ttl_active, bounce)}
+QUERIES = {f.__name__: f for f in (dwell, dwell_progress, cooldown, funnel, collect_all, rounds, memory_pairs, memory_turns, drag_pairs, note_highlight, navigation_depth, ttl_active, bounce)}
 
 _FIRED = """f AS (SELECT user_id, event_id, us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM {0}) WHERE r = 1
  UNION ALL SELECT n.user_id, n.event_id, n.us FROM f, LATERAL (SELECT * FROM {0} x WHERE x.user_id = f.user_id AND x.us - f.us >= {1} ORDER BY us, event_id LIMIT 1) n)"""
