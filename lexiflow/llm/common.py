@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder named by the cluster in spark.checkpoint.dir; a local one only for a local master without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexiflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,7 +44,48 @@ def where(df: DataFrame, verdict: str) -> DataFrame:
     A plain filter is moved below the projection that computes the verdict, which repeats its expressions, and inside
     lambdas repeats them for every element of an array. A filter on a row number stays where it is.
     """
-    return df.withColumn("__row", F.monotonically_increasing_id()).filter(F.col(f"`{verdict}`") & (F.col("__row") >= 0)).drop("__row")
+    row = free_name(df, "row")
+    return df.withColumn(row, F.monotonically_increasing_id()).filter(named(verdict) & (F.col(row) >= 0)).drop(row)
+
+
+def named(column: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, longer where a column has that name; names that differ in case only are one name."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def carried(df: DataFrame, but: tuple[str, ...] = ()) -> tuple[Column, list[str]]:
+    """The row but for the columns ``but`` as one struct named ``row``, and its fields' names.
+
+    Helper columns can stand beside it under any name; ``uncarried`` gives the fields back.
+    """
+    drop = {c.lower() for c in but}
+    names = [c for c in df.columns if c.lower() not in drop]
+    return F.struct(*(named(c).alias(c) for c in names), *([] if names else [F.lit(None).alias("none")])).alias("row"), names
+
+
+def uncarried(names: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
+def likely(df: DataFrame, keys: DataFrame, name: str, slots: int = 1 << 17) -> DataFrame:
+    """Rows of ``df`` whose 64-bit column ``name`` may be one of ``keys``: a Bloom filter of ``slots`` 64-bit words.
+
+    What is broadcast has ``slots`` rows at most, however many keys there are; with very many keys more rows pass. An
+    exact join has to follow.
+    """
+    slot, bit = F.pmod(F.col(name), F.lit(slots)), f"shiftleft(1L, CAST(pmod(shiftrightunsigned(`{name}`, 40), 64L) AS INT))"
+    words = keys.select(slot.alias("slot"), F.expr(bit).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("word"))
+    at = free_name(df, "slot")
+    words = F.broadcast(words.select(F.col("slot").alias(at), F.col("word").alias(f"word of {at}")))
+    return df.withColumn(at, slot).join(words, at).filter(F.col(f"word of {at}").bitwiseAND(F.expr(bit)) != 0).drop(at, f"word of {at}")
 
 
 def byte_blocks(batches, max_bytes: int, column: str = "text"):

@@ -24,6 +24,8 @@ are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -43,21 +45,51 @@ BROADCAST_ROWS = 200_000
 TAIL = b"*&$#%.,!|;:?"
 
 
+# The settings of the tokenizers whose texts may be encoded piece by piece.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "splits": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "end": "</w>",
+}
+_capital_before_other = re.compile(r"[A-Z][^\x00-\x7F]").search
+
+
+def _cut(text: str) -> list[bytes]:
+    """Pieces between ASCII white space, in lower case where that gives the same ids."""
+    if text.isascii() or not _capital_before_other(text):
+        return text.encode().lower().split()
+    return [p.lower() if p.isascii() else p for p in text.encode().split()]
+
+
 class PieceEncoder:
     """Ids of texts, from the ids of their pieces between ASCII white space.
 
     White space is a stable boundary of the tokenizer, and so is the edge between an ASCII letter or digit and the run of
-    ``TAIL`` characters that ends a piece (no pre-split reaches over it). Case of ASCII letters does not matter. A text
-    that might hold a special token goes to the library whole. New pieces of lower-case Latin letters are one word each,
-    and a word's last token, and no other, has the end mark; so they are encoded ``TOGETHER`` and cut behind these tokens.
+    ``TAIL`` characters that ends a piece (no pre-split reaches over it). ASCII letters are lower-cased beforehand, but for
+    pieces with other characters in a text where one stands right behind a capital letter: NFC comes before lower case,
+    and a capital may have no composed form where its small letter has one. A text that might hold a special token goes to
+    the library whole. New pieces of lower-case Latin letters are one word each, and a word's last token, and no other,
+    has the end mark; so they are encoded ``TOGETHER`` and cut behind these tokens.
+
+    All this holds for a tokenizer with the settings in ``KNOWN``; with another one all texts go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tk, self.pieces, self.stems = tokenizer(path), {}, {}
         self.plain = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-        words = self.tk.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
+        words = self.tk.get_vocab(True)
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        own = json.loads(self.tk.to_str())
+        added = [a["content"] for a in own["added_tokens"]]
+        self.known = {"normalizer": own["normalizer"], "splits": own["pre_tokenizer"], "end": own["model"].get("end_of_word_suffix")} == KNOWN and all(a.startswith("<|") for a in added)
+        self.id_bytes = 2 if len(self.ends) <= 1 << 16 else 4
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.stems) > REMEMBERED:
@@ -86,7 +118,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [t.encode().lower().split() if t and "<|" not in t else [] for t in texts]
+        if not self.known:
+            rows = self.tk.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids if t else [], "<u4").tobytes() for t, e in zip(texts, rows)]
+        cut = [_cut(t) if t and "<|" not in t else [] for t in texts]
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
         known = self.pieces
@@ -228,7 +263,7 @@ def encoded(df: DataFrame, path: str, key: str, text: str, source: str, queues:
             for q, x in zip(zip(b.column(1).to_pylist(), b.column(2).to_pylist()), ids):
                 starts.append(sums.get(q, 0))
                 sums[q] = starts[-1] + len(x) // 4
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if enc.id_bytes == 2 else ids
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], names=[key, "queue", "source", "part", "start", "tokens", "ids"])
 
     return df.select(F.col(f"`{key}`"), queue.alias("queue"), F.when(queue == queues - 1, name).otherwise("").alias("__source"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"`{key}` {kind}, queue int, source string, part int, start bigint, tokens bigint, ids binary")
@@ -319,7 +354,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
                 owner, columns = [], [[] for _ in names[1:]]
                 paths = b.column(5).to_pylist() if shared else [None] * b.num_rows
                 for i, (q, start, n, ids, up) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)), paths)):
-                    ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+                    ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) < 4 * n else ids
                     runs = lifted(up, start, n) if up else [(start, 0, n)]
                     for s, offset, at, length in ((s, o, first + x, m) for place, first, long in runs for s, o, x, m in plan.pieces(q, place, long)):
                         own = ids[4 * at : 4 * (at + length)]

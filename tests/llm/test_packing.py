@@ -20,6 +20,34 @@ def test_piece_encoder_equals_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == (tk.encode(t, add_special_tokens=False).ids if t else [])
 
 
+def test_case_and_composition():
+    """NFC comes before lower case: some capitals have no composed form where their small letters have one."""
+    tk, enc = tokenizer(PATH), packing.PieceEncoder(PATH)
+    letters = ["J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a"]
+    marks = [chr(c) for c in (*range(0x300, 0x370), 0x5B0, 0x591, 0x64B, 0x94D, 0x1DC0, 0x20D0, 0x302A, 0x3099, 0x1D165)]
+    texts = letters + [f"Aa {x}b, {x.lower()} ZÉ{x}." for x in letters] + [a + m for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for m in marks]
+    assert enc.known and enc.id_bytes == 2
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_and_large_vocabularies(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "own.json")
+    own.save(path)
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 7919 + j * 104729) % 70000}" for j in range(i)), f"s{i % 100}") for i in range(200)], "doc_id bigint, text string, source string").repartition(3)
+    got = {}
+    for r in packing.pack(df, path, sequence=64, block=8).collect():
+        got.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for i in range(200):
+        ids = np.frombuffer(b"".join(x for _, x in sorted(got[i])), "<u4").tolist()
+        assert ids == [(i * 7919 + j * 104729) % 70000 for j in range(i)] + [1]
+    assert not packing.PieceEncoder(path).known and packing.PieceEncoder(path).id_bytes == 4
+
+
 def test_schedule_is_whole_and_close_to_its_shares():
     r = random.Random(3)
     for totals, shares in (([100000, 3000, 1, 0, 777], None), ([5000, 60000], [3.0, 1.0]), ([10], None), ([r.randrange(1, 9000) for _ in range(60)], None)):
