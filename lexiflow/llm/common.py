@@ -75,17 +75,19 @@ def uncarried(names: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in names]
 
 
-def likely(df: DataFrame, keys: DataFrame, name: str, slots: int = 1 << 17) -> DataFrame:
-    """Rows of ``df`` whose 64-bit column ``name`` may be one of ``keys``: a Bloom filter of ``slots`` 64-bit words.
+def likely(df: DataFrame, keys: DataFrame, name: str, without: bool = False, slots: int = 1 << 17) -> DataFrame:
+    """Rows of ``df`` whose 64-bit column ``name`` may be one of ``keys``, or the rest: a Bloom filter of 64-bit words.
 
     What is broadcast has ``slots`` rows at most, however many keys there are; with very many keys more rows pass. An
     exact join has to follow.
     """
-    slot, bit = F.pmod(F.col(name), F.lit(slots)), f"shiftleft(1L, CAST(pmod(shiftrightunsigned(`{name}`, 40), 64L) AS INT))"
-    words = keys.select(slot.alias("slot"), F.expr(bit).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("word"))
     at = free_name(df, "slot")
-    words = F.broadcast(words.select(F.col("slot").alias(at), F.col("word").alias(f"word of {at}")))
-    return df.withColumn(at, slot).join(words, at).filter(F.col(f"word of {at}").bitwiseAND(F.expr(bit)) != 0).drop(at, f"word of {at}")
+    word = free_name(df, "word")
+    slot, bit = F.pmod(F.col(name), F.lit(slots)), F.expr(f"shiftleft(1L, CAST(pmod(shiftrightunsigned(`{name}`, 40), 64L) AS INT))")
+    words = F.broadcast(keys.select(slot.alias(at), bit.alias("bit")).groupBy(at).agg(F.bit_or("bit").alias(word)))
+    found = df.withColumn(at, slot).join(words, at, "left" if without else "inner")
+    may = F.coalesce(F.col(word).bitwiseAND(bit) != 0, F.lit(False))
+    return found.filter(~may if without else may).drop(at, word)
 
 
 def byte_blocks(batches, max_bytes: int, column: str = "text"):

@@ -6,20 +6,23 @@ A byte goes if a string of ``length`` bytes covers it that also starts anywhere
    with one anchor lie side by side and form a context, about half a window plus ``length`` bytes long. Equal windows
    have equal anchors at equal places, so only contexts with one anchor string have to be compared. A scan emits a row
    of hashes per context, no text.
-2. Classes. Rows are counted by (anchor, content); of a class with two occurrences every window is repeated. Of the
-   rest, only anchors with several classes go on, one context for each class.
+2. Classes. Contexts whose anchor occurs once are dropped, the others are counted by (anchor, content); of a class with
+   two occurrences every window is repeated. Of the rest, only anchors with several classes go on, one context a class.
 3. Merge. Contexts of such anchors are cut from their texts and dealt by anchor. A task splits them into shards, sorts
    the windows of each shard and keeps what a Burrows-Wheeler transform keeps: for each depth, the symbols that precede
    the suffixes in their order. A symbol is a block of a quarter of a window. The shards are merged by refining the
    interleave of their suffixes: at each depth the preceding symbols, read off the shards through the interleave so far,
-   give the next one by a stable distribution. Suffixes are not compared again. Neighbours without a border at depth d
-   share d blocks; intervals without a border at full depth are repeated windows.
-   An anchor with more than ``HOT`` classes does not go to one task: its windows are counted by their hashes.
-4. Spans. Repeated windows are gathered per distinct text, and each text is cut once.
+   give the next one by a stable distribution, and the common prefixes of neighbours follow from those of the depth
+   before. Suffixes are not compared again. Intervals of neighbours that share a whole window are repeated windows.
+4. Hot anchors. An anchor with more than ``HOT`` classes would fill a task. Its windows are dealt anew, by blocks of
+   ``WIDTHS`` distances to the anchor and by the bytes that all windows of such a block have in common: equal windows
+   still meet. These parts go the way of contexts again, through steps 2 and 3, with smaller blocks where a part is still
+   hot; at a width of one a part is a single window, so equal ones are one class and none can be hot.
+5. Spans. Repeated windows are gathered per distinct text, and each text is cut once.
 
 Edge cases: null and empty texts, and texts shorter than ``length``, lose nothing; repeated rows and exact copies of at
 least ``length`` bytes lose all; ties between anchors go to the leftmost; an empty table gives an empty result; other
-columns stay in ``remove_repeats`` (a column that has the name of a helper does no harm). A text is at most 256 MB.
+columns stay in ``remove_repeats``, whatever their names. A text of any length is scanned in segments.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from .common import byte_blocks, stored
+from .common import byte_blocks, carried, likely, named, stored, uncarried
 
 LENGTH, GRAM, STEPS = 400, 32, 4
-SHARD_WINDOWS, MERGE_BYTES, HOT = 1 << 16, 4 << 20, 20_000
+SHARD_WINDOWS, MERGE_BYTES, HOT = 1 << 16, 4 << 20, 2000
+#: Distances to the anchor that parts of a hot anchor span, level by level.
+WIDTHS = (64, 8, 1)
 BLOCK_BYTES = 4 << 20
 PLACE = 28
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -99,10 +103,21 @@ def _buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def context_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def segments(starts: np.ndarray, ends: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) of pieces of at most ``most`` windows; neighbours overlap, so each window is in one piece."""
+    pieces = np.maximum(-(-(ends - starts - length + 1) // most), 1)
+    owner = np.repeat(np.arange(len(starts)), pieces)
+    start = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+    return owner, start, np.minimum(start + most + length - 1, ends[owner])
+
+
+CONTEXT = "anchor bigint, content bigint, row bigint, mark bigint, lo int, n int, place int, copies bigint"
+
+
+def context_rows(texts: DataFrame, length: int, gram: int, most: int = 1 << PLACE - 1) -> DataFrame:
     """A row per context of each distinct text of a block; ``copies`` is how often the block holds the text.
 
-    ``texts``: (row, mark, text): hashes of the row's key and of its text, and the text.
+    ``texts``: (row, mark, text): hashes of the row's key and of its text, and the text. ``place`` is the anchor's.
     """
     import pyarrow as pa
     import xxhash
@@ -112,16 +127,52 @@ def context_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
             marks = b.column(1).to_numpy()
             _, pick, copies = np.unique(marks, return_index=True, return_counts=True)
             b = b.take(pa.array(pick))
-            data, offsets = _buffer(b.column(2))
-            owner, lo, hi, anchor, ah = contexts(data, offsets[:-1], offsets[1:], length, gram)
-            raw = memoryview(data.tobytes())
-            ch = np.array([xxhash.xxh3_64_intdigest(raw[x : y + length], seed=a - x) for x, y, a in zip(lo.tolist(), hi.tolist(), anchor.tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array((lo - offsets[owner]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array(copies[owner].astype(np.int64))],
-                names=["anchor", "content", "row", "mark", "lo", "n", "copies"],
-            )
+            whole, offsets = _buffer(b.column(2))
+            text_of, starts, ends = segments(offsets[:-1], offsets[1:], length, most)
+            # Texts of usual sizes are one group; of a huge one, each segment is a group.
+            groups = [slice(0, len(starts))] if len(whole) <= most else [slice(i, i + 1) for i in range(len(starts))]
+            for g in groups:
+                base = int(starts[g][0]) if len(starts) else 0
+                data = whole[base : int(ends[g][-1])] if len(starts) else whole
+                piece, lo, hi, anchor, ah = contexts(data, starts[g] - base, ends[g] - base, length, gram)
+                raw = memoryview(data.tobytes())
+                ch = np.array([xxhash.xxh3_64_intdigest(raw[x : y + length], seed=a - x) for x, y, a in zip(lo.tolist(), hi.tolist(), anchor.tolist())], np.uint64)
+                owner = text_of[g][piece]
+                shift = base - offsets[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array((lo + shift).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((anchor + shift).astype(np.int32)), pa.array(copies[owner].astype(np.int64))],
+                    names=["anchor", "content", "row", "mark", "lo", "n", "place", "copies"],
+                )
+
+    return texts.mapInArrow(run, CONTEXT)
+
+
+def part_rows(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """Parts of the contexts listed with each text: windows whose distances to the anchor lie in one block of ``width``.
+
+    A part's ``anchor`` is a hash of the old one, the block, and the bytes that every window of such a block has.
+    """
+    import pyarrow as pa
+    import xxhash
 
-    return texts.mapInArrow(run, "anchor bigint, content bigint, row bigint, mark bigint, lo int, n int, copies bigint")
+    def run(batches):
+        for b in byte_blocks(batches, BLOCK_BYTES):
+            out = [[] for _ in range(8)]
+            for row, mark, text, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
+                raw = memoryview(text.encode())
+                for x in asked:
+                    place, low, high = x["place"], x["place"] - x["lo"] - x["n"] + 1, x["place"] - x["lo"]
+                    for block in range(low // width, high // width + 1):
+                        near, far = max(low, block * width), min(high, block * width + width - 1)
+                        start = place - block * width
+                        core = raw[start : max(start, start - width + 1 + length)]
+                        anchor = xxhash.xxh3_64_intdigest(core, seed=(x["anchor"] ^ block * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+                        content = xxhash.xxh3_64_intdigest(raw[place - far : place - near + length], seed=far)
+                        for column, value in zip(out, (anchor, content, row, mark, place - far, far - near + 1, place, x["copies"])):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2]), *(pa.array(c, t) for c, t in zip(out[2:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())))], names=["anchor", "content", "row", "mark", "lo", "n", "place", "copies"])
+
+    return texts.mapInArrow(run, CONTEXT)
 
 
 class ShardTransform:
@@ -141,24 +192,35 @@ class ShardTransform:
 def merge(shards: list[ShardTransform]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge shards by refining their interleave.
 
-    Returns for each rank the shard and the window there, and whether it differs from the rank before.
+    Returns for each rank the shard and the window there, and the symbols it has in common with the rank before.
     """
     sizes = [len(s.order) for s in shards]
     z = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) < 1 << 16 else np.int64), sizes)
     n = len(z)
-    border = np.zeros(n, bool)
-    if n:
-        border[0] = True
+    prefix = np.zeros(n, np.int32)  # of the suffixes so far; at first all are empty
     for depth in range(len(shards[0].preceding)):
         c = np.empty(n, np.int32)
         c[np.argsort(z, kind="stable")] = np.concatenate([s.preceding[depth] for s in shards])
-        group = np.cumsum(border)
         move = np.argsort(c, kind="stable")
-        z, c, group = z[move], c[move], group[move]
-        border = np.concatenate([[True], (c[1:] != c[:-1]) | (group[1:] != group[:-1])]) if n else border
+        # Neighbours with one preceding symbol share it and what all between their old ranks share.
+        least = _least_between(prefix, move)
+        same = np.zeros(n, bool)
+        same[1:] = c[move][1:] == c[move][:-1]
+        z, prefix = z[move], np.where(same, least + 1, 0).astype(np.int32)
     where = np.empty(n, np.int64)
     where[np.argsort(z, kind="stable")] = np.concatenate([s.order for s in shards]) if n else where
-    return z, where, border
+    return z, where, prefix
+
+
+def _least_between(prefix: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """At i the least of ``prefix`` behind old rank ``move[i - 1]`` up to ``move[i]``; of no use where ranks fall."""
+    if len(move) < 2:
+        return np.zeros(len(move), np.int32)
+    begin, end = np.minimum(move[:-1], move[1:]) + 1, np.maximum(move[:-1], move[1:]) + 1
+    rising = move[1:] > move[:-1]
+    begin, end = np.where(rising, begin, 0), np.where(rising, end, 1)
+    edges = np.stack([begin, end], axis=1).ravel()
+    return np.concatenate([[0], np.minimum.reduceat(np.append(prefix, 0), edges)[::2]]).astype(np.int32)
 
 
 def repeated_windows(data: np.ndarray, at: np.ndarray, length: int, shard: int = SHARD_WINDOWS, steps: int = STEPS) -> np.ndarray:
@@ -173,8 +235,9 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, length: int, shard: int =
     ranks = ranks.reshape(len(blocks), len(at)).astype(np.int32)
     cuts = range(0, len(at), shard)
     shards = [ShardTransform([r[i : i + shard] for r in ranks]) for i in cuts]
-    z, where, border = merge(shards)
-    twice = ~border | np.append(~border[1:], False)
+    z, where, prefix = merge(shards)
+    whole = prefix == len(blocks)
+    twice = whole | np.append(whole[1:], False)
     out[where[twice] + z[twice].astype(np.int64) * shard] = True
     return out
 
@@ -242,49 +305,35 @@ def _cut_contexts(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor bigint, mark bigint, lo int, n int, single boolean, bytes binary")
 
 
-def _counted_windows(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of anchors with very many classes: windows are counted by hash, with partial sums."""
-    import pyarrow as pa
-    import xxhash
-
-    def run(batches):
-        for b in byte_blocks(batches, 1 << 18, "bytes"):
-            h, mark, lo, single = [], [], [], []
-            for m, at, n, s, raw in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
-                view = memoryview(raw)
-                h += [xxhash.xxh3_64_intdigest(view[i : i + length]) for i in range(n)]
-                mark += [m] * n
-                lo += range(at, at + n)
-                single += [s] * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(mark, pa.int64()), pa.array(lo, pa.int32()), pa.array(single, pa.bool_())], names=["window", "mark", "lo", "single"])
-
-    windows = stored(rows.mapInArrow(run, "window bigint, mark bigint, lo int, single boolean"), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window")
-    return windows.filter("single").join(twice, "window", "left_semi").select("mark", "lo", F.col("lo").alias("hi"))
+def _asked(contexts: DataFrame, long: DataFrame, *fields: str) -> DataFrame:
+    """The texts of ``long`` that own some of the contexts, with these as ``asked``; other texts aren't shuffled."""
+    asked = contexts.groupBy("row", "mark").agg(F.collect_list(F.struct(*fields)).alias("asked")).withColumn("name", F.xxhash64("row", "mark"))
+    return likely(long.withColumn("name", F.xxhash64("row", "mark")), asked, "name").drop("name").join(asked.drop("name"), ["row", "mark"])
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(mark, spans) of texts with repeated strings: spans of first and last window start; ``mark`` is xxhash64(text)."""
     gram = min(gram, length // 2)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col(f"`{key}`")).alias("row"), F.xxhash64(body).alias("mark"), body.alias("text"))
+    body = F.coalesce(named(text), F.lit(""))
+    texts = docs.select(F.xxhash64(named(key)).alias("row"), F.xxhash64(body).alias("mark"), body.alias("text"))
     long = texts.filter(F.octet_length("text") >= length)
     rows = stored(context_rows(long, length, gram), "contexts")
-    classes = rows.groupBy("anchor", "content").agg(F.sum("copies").alias("c"), F.min(F.struct("row", "mark", "lo", "n")).alias("one"))
-    classes = stored(classes.withColumn("k", F.count("*").over(Window.partitionBy("anchor"))).filter("c > 1 OR k > 1"), "classes")
-    whole = rows.join(classes.filter("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("mark", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-    several = classes.filter("k > 1").select("anchor", F.col("k") > hot, F.struct("anchor", "one.lo", "one.n", (F.col("c") == 1).alias("single")).alias("x"), "one.row", "one.mark").toDF("anchor", "hot", "x", "row", "mark")
-    found = [whole]
-    for is_hot in (False, True):
-        own = several.filter(F.col("hot") == is_hot)
-        if is_hot and own.isEmpty():
-            continue
-        asked = own.groupBy("row", "mark").agg(F.collect_list("x").alias("asked"))
-        cut = _cut_contexts(long.join(asked, ["row", "mark"]).select("mark", "text", "asked"), length)
-        found.append(_counted_windows(cut, length) if is_hot else merged_contexts(cut, length))
-    spans = found[0]
-    for f in found[1:]:
-        spans = spans.unionByName(f)
+    spans = None
+    for width in (*WIDTHS, None):
+        twice = rows.groupBy("anchor").agg(F.sum("copies").alias("c")).filter("c > 1").select("anchor")
+        near = rows.join(twice, "anchor", "left_semi")
+        classes = stored(near.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "mark", "lo", "n", "place")).alias("one")), "classes")
+        whole = rows.join(classes.filter("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("mark", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+        counts = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
+        several = classes.join(counts, "anchor").select("anchor", "k", "copies", "one.*", (F.col("copies") == 1).alias("single"))
+        few = F.col("k") <= hot if width else F.lit(True)
+        merged = merged_contexts(_cut_contexts(_asked(several.filter(few), long, "anchor", "lo", "n", "single").select("mark", "text", "asked"), length), length)
+        found = whole.unionByName(merged)
+        spans = found if spans is None else spans.unionByName(found)
+        many = several.filter(~few)
+        if not width or counts.filter(F.col("k") > hot).isEmpty():
+            break
+        rows = stored(part_rows(_asked(many, long, "anchor", "lo", "n", "place", "copies").select("row", "mark", "text", "asked"), length, width), "parts")
     return spans.groupBy("mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -304,18 +353,22 @@ def cut_spans(raw: bytes, spans, length: int) -> tuple[bytes, list[tuple[int, in
     return b"".join(kept), [tuple(r) for r in runs]
 
 
-def _with_spans(docs: DataFrame, text: str, key: str, length: int, gram: int, hot: int) -> DataFrame:
+def _with_spans(docs: DataFrame, text: str, key: str, length: int, gram: int, hot: int) -> tuple[DataFrame, list[str]]:
+    """(row, text, spans): each row as a struct, its text, and the spans of that; only rows that may have some are shuffled."""
     spans = stored(repeated_spans(docs, text, key, length, gram, hot), "spans")
-    return docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).join(spans.select(F.col("mark").alias("__mark"), F.col("spans").alias("__spans")), "__mark", "left")
+    row, names = carried(docs)
+    rows = docs.select(row, named(text).alias("text"), F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("mark"))
+    with_spans = likely(rows, spans, "mark").join(spans, "mark", "left").select("row", "text", "spans")
+    return with_spans.unionByName(likely(rows, spans, "mark", without=True).select("row", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))), names
 
 
 def repeat_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, text) of each row; ``text`` is what is left of it."""
     import pyarrow as pa
 
     def run(batches):
-        for b in byte_blocks(batches, BLOCK_BYTES, "__text"):
-            size, left, runs, sha = [], [], [], []
+        for b in byte_blocks(batches, BLOCK_BYTES):
+            size, left, runs, sha, rest = [], [], [], [], []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = (t or "").encode()
                 kept, gone = cut_spans(raw, spans, length)
@@ -323,20 +376,25 @@ def repeat_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                 left.append(len(raw) - len(kept))
                 runs.append(len(gone))
                 sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (size, left, runs)), pa.array(sha, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rest.append(kept.decode(errors="ignore") if gone else t or "")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (size, left, runs)), pa.array(sha, pa.string()), pa.array(rest, pa.string())], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    rows = _with_spans(docs.select(f"`{key}`", f"`{text}`"), text, key, length, gram, hot)
-    return rows.select(f"`{key}`", F.col(f"`{text}`").alias("__text"), "__spans").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows, _ = _with_spans(docs.select(named(key).alias("key"), named(text).alias("text")), "text", "key", length, gram, hot)
+    out = rows.select("row.key", "text", "spans").mapInArrow(run, f"key {dict(docs.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
+    return out.withColumnRenamed("key", key)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """The rows with repeated strings cut out of ``text``; a character that a cut splits goes."""
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else t if s is None else cut_spans(t.encode(), s, length)[0].decode(errors="ignore") for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([None if t is None else cut_spans(t.encode(), s, length)[0].decode(errors="ignore") for t, s in zip(texts, spans)], dtype=object)
 
-    rows = _with_spans(docs, text, key, length, gram, hot)
-    return rows.withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(cut(F.col(f"`{text}`"), F.col("__spans")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, names = _with_spans(docs, text, key, length, gram, hot)
+    # Texts without spans are not sent to Python.
+    same = rows.filter("spans IS NULL").select(*uncarried(names))
+    cut_rows = rows.filter("spans IS NOT NULL").select("row", cut("text", "spans").alias("text")).select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names))
+    return same.unionByName(cut_rows)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
     for seed, length in ((1, 40), (2, 64), (3, 50)):
         texts = corpus(seed, length)
         want = brute(texts, length)
-        for hot in (20_000, 2):
+        for hot in (2000, 2, 1):
             got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.repeat_digests(frame(spark, texts), length=length, gram=12, hot=hot).collect()}
             assert len(got) == len(texts)
             assert [got[i] for i in range(len(texts))] == want
@@ -62,9 +62,10 @@ def test_merge_equals_sorting():
         seen = Counter(data[i : i + 12].tobytes() for i in at)
         assert S.repeated_windows(data, at, 12, shard).tolist() == [seen[data[i : i + 12].tobytes()] > 1 for i in at]
         sym = [rng.integers(0, 3, n).astype(np.int32) for _ in range(4)]
-        z, where, border = S.merge([S.ShardTransform([s[i : i + shard] for s in sym]) for i in range(0, n, shard)])
+        z, where, prefix = S.merge([S.ShardTransform([s[i : i + shard] for s in sym]) for i in range(0, n, shard)])
         rows = [tuple(int(s[k]) for s in reversed(sym)) for k in (where + z.astype(int) * shard)]
-        assert rows == sorted(rows) and border.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(n)]
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        assert rows == sorted(rows) and prefix.tolist() == [common(rows[i], rows[i - 1]) if i else 0 for i in range(n)]
 
 
 def test_remove_repeats_and_empty(spark):
@@ -73,3 +74,22 @@ def test_remove_repeats_and_empty(spark):
     assert rows[0].text == "unique text one" and rows[1].text == "z other" and rows[2].text is None and rows[3].text == "" and rows[0].n_bytes == "c"
     assert S.repeat_digests(frame(spark, texts).limit(0)).count() == 0
     assert all(r.n_removed == 0 for r in S.repeat_digests(frame(spark, ["short", None])).collect())
+
+
+def test_segments_of_huge_texts(spark):
+    texts = corpus(7, 40)
+    long = frame(spark, texts).selectExpr("xxhash64(doc_id) AS row", "xxhash64(coalesce(text, '')) AS mark", "coalesce(text, '') AS text")
+    whole, cut = ({(r.mark, x) for r in S.context_rows(long, 40, 12, most).collect() for x in range(r.lo, r.lo + r.n)} for most in (1 << 27, 64))
+    assert whole == cut
+    rows = S.context_rows(long, 40, 12, 64).collect()
+    text_of = {r.mark: r.text.encode() for r in long.collect()}
+    assert all(r.lo <= r.place <= r.lo + 28 and r.place + 12 <= len(text_of[r.mark]) for r in rows)
+
+
+def test_clashing_columns(spark):
+    texts = ["x" * 50 + "unique", "x" * 50 + "other", None]
+    names = ["doc_id", "text", "mark", "spans", "__spans", "__mark", "slot", "word", "row", "a.b", "SLOT_"]
+    df = spark.createDataFrame([(i, t, *(f"{i}{n}" for n in names[2:])) for i, t in enumerate(texts)], ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    rows = sorted(map(tuple, S.remove_repeats(df, length=40, gram=12).collect()))
+    assert rows == [(i, t and t.replace("x" * 50, ""), *(f"{i}{n}" for n in names[2:])) for i, t in enumerate(texts)]
+    assert {r.doc_id: r.text for r in S.repeat_digests(df, length=40, gram=12).collect()} == {0: "unique", 1: "other", 2: ""}
