@@ -13,15 +13,21 @@ words: all of them as one). Two texts link when ``100 * |A & B| >= percent * |A
    passages seldom meet. Children are counted in one sort-based shuffle of hashes (counts beyond ``COUNTED`` are alike,
    ties go by the key), and only those that two classes share go on. Classes that share a child are joined in stars, and
    the stars' components are the leaves' groups: no link crosses two groups.
-3. Lower tree. A task builds the signature tree of a group: sorted by size, each node holds the OR of its members' token
-   bitmaps, their range of sizes, and the largest count of shingles that share a bit. A dual traversal walks pairs of
-   nodes and prunes those whose sizes, or whose largest possible overlap, rule out a link, and those inside one
-   component. What is left is compared exactly. Groups beyond ``UNIT`` members are split into units by size band and hash,
-   and pairs of units of the same or neighbouring bands are tasks of their own; their links are joined afterwards.
+3. Signature tree. Groups are dealt to buckets of about ``UNIT`` classes; a task builds the signature tree of a bucket,
+   whose leaves are its sets by group and size. A node holds the OR of its members' token bitmaps, their range of sizes,
+   and the largest count of shingles that share a bit. A dual traversal from the root walks pairs of nodes, a node with
+   itself first, and prunes those whose sizes, or whose largest possible overlap, rule out a link, and those inside one
+   component. What is left is compared exactly. This alone finds the links; the groups only say which bucket a set is in.
+4. Large groups. A group beyond a bucket is searched twice. First it is split into units by size band and hash, each with
+   some classes of all units beside its own (``PIVOTS``), which joins most of what is linked. Then only classes of
+   different components are left to compare: components are packed into bags, large ones alone, and pairs of bags of the
+   same or the next two bands are units. A group that has become one component is done after the first step, so copies
+   of one text cost time in proportion; the pairs of bags grow only with different components inside one group.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; repeated rows and exact copies
 are one class; an empty table gives an empty result; only the key and the text are read, so clashing names do no harm.
-The component of a document is the smallest key reachable, its own included. Hashes have 64 bits.
+The component of a document is the smallest key reachable, its own included. Shingles and classes are known by 64-bit
+hashes: among 10^10 different sets, about three pairs are expected to share one.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import byte_blocks, stored
+from .common import byte_blocks, likely, named, stored
 from .components import connected_components
 
 SHINGLE, PERCENT = 3, 90
-UNIT, UNIT_SHINGLES = 2000, 2_000_000
+UNIT, UNIT_SHINGLES, PIVOTS = 2000, 2_000_000, 32
 FANOUT = 8
 REMEMBERED = 500_000
 COUNTED = 4096
@@ -251,12 +257,15 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 class SignatureTree:
-    """Levels of OR-combined bitmaps and size ranges over sets sorted by size; level 0 are the sets."""
+    """Levels of OR-combined bitmaps and size ranges over sets in the order given; level 0 are the sets.
+
+    Bitmaps have about 32 bits a shingle of a set of mean size, so that a node of unlike sets stays sparse.
+    """
 
     def __init__(self, sets: list[np.ndarray], fanout: int = FANOUT):
         self.sets, self.fanout = sets, fanout
         width = 64
-        while width < min(8 * max(map(len, sets)), 1 << 17):
+        while width < min(32 * sum(map(len, sets)) // len(sets), 1 << 17):
             width *= 2
         bits = np.zeros((len(sets), width // 64), np.uint64)
         one = np.zeros(width, np.uint8)
@@ -299,11 +308,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def tree_components(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set, the place of one that stands for its component."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+def tree_components(sets: list[np.ndarray], percent: int, groups: list[int] | None = None) -> list[int]:
+    """For each set, the place of one that stands for its component. Leaves are ordered by group, then by size."""
+    n = len(sets)
+    order = sorted(range(n), key=lambda i: (groups[i] if groups else 0, len(sets[i])))
     own = [sets[i] for i in order]
-    n = len(own)
     parent = np.arange(n)
 
     def find(i: int) -> int:
@@ -319,18 +328,19 @@ def tree_components(sets: list[np.ndarray], percent: int) -> list[int]:
             p[:] = p[p]
         return p
 
-    def compare(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b and linked(own[i], own[j], percent):
-            parent[max(a, b)] = min(a, b)
-
-    for i in range(n - 1):
-        compare(i, i + 1)
-    if n > 2:
-        for i in range(n):
-            compare(i, n // 2)
+    if n > 1:
         tree = SignatureTree(own)
-        stack = [(len(tree.levels) - 1, *np.triu_indices(len(tree.levels[-1][1])))]
+        stack: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def push(level: int, i: np.ndarray, j: np.ndarray) -> None:
+            """A node with itself comes off before pairs: its members may become one component, which spares pairs."""
+            same = i == j
+            if level or (~same).any():
+                stack.append((level, i[~same], j[~same]))
+            if level and same.any():
+                stack.append((level, i[same], j[same]))
+
+        push(len(tree.levels) - 1, *np.triu_indices(len(tree.levels[-1][1])))
         while stack:
             level, i, j = stack.pop()
             # Pairs inside one component add nothing; a node counts as inside if all its sets have one root.
@@ -344,93 +354,123 @@ def tree_components(sets: list[np.ndarray], percent: int) -> list[int]:
             i, j = i[keep], j[keep]
             if level:
                 for a in range(0, len(i), 1024):
-                    stack.append((level - 1, *tree.children(level, i[a : a + 1024], j[a : a + 1024])))
+                    push(level - 1, *tree.children(level, i[a : a + 1024], j[a : a + 1024]))
             else:
                 for x, y in zip(i.tolist(), j.tolist()):
-                    if x != y:
-                        compare(x, y)
-    roots = settle()
+                    a, b = find(x), find(y)
+                    if a != b and linked(own[x], own[y], percent):
+                        parent[max(a, b)] = min(a, b)
+    roots = parent if n < 2 else settle()
     out = [0] * n
     for place, root in zip(order, roots.tolist()):
         out[place] = order[root]
     return out
 
 
-def group_links(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes of one component, for each group of (g, class, text) rows."""
+def group_links(members: DataFrame, k: int, percent: int, unit: int = UNIT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+    """Edges (a, b) between classes of one component, for the groups of (g, class, text) rows: a tree for each bucket."""
     import pyarrow as pa
 
     def rows(batches):
         for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(3)))
+            for i in range(0, b.num_rows, 256):
+                yield from zip(*(b.column(c).slice(i, 256).to_pylist() for c in range(3)))
+
+    def edges(held: dict) -> pa.RecordBatch:
+        names = [name for _, name in held]
+        roots = tree_components(list(held.values()), percent, [g for g, _ in held])
+        found = [(name, names[root]) for name, root in zip(names, roots) if names[root] != name]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        from itertools import groupby
-
-        a, b = [], []
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            own: dict[int, np.ndarray] = {}
-            for _, name, text in group:
-                if name not in own:
-                    own[name] = shingles(text, k)
-            names = list(own)
-            for name, root in zip(names, tree_components(list(own.values()), percent)):
-                if names[root] != name:
-                    a.append(name)
-                    b.append(names[root])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size, last = 0, None
+        for g, name, text in rows(batches):
+            if g != last and (len(held) >= unit or size >= unit_shingles):
+                yield edges(held)
+                held, size = {}, 0
+            last = g
+            if (g, name) not in held:
+                held[g, name] = s = shingles(text, k)
+                size += len(s)
+        if held:
+            yield edges(held)
 
     return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
-def _grouped(clusters: DataFrame, percent: int, unit: int, unit_shingles: int) -> DataFrame:
-    """(class, root, split, g): a group for each cluster, or for each pair of units of a large one that can link."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    large = (F.col("c") > unit) | (F.col("s") > unit_shingles)
-    clusters = clusters.join(sizes.select("root", large.alias("split")), "root")
-    small = clusters.filter("NOT split").select("class", "root", "split", F.col("root").alias("g"))
-    if sizes.filter(large).isEmpty():
-        return small
-    # Bands as `_bands` has them for large sizes; that neighbours differ by one at most is all that is used.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    big = stored(clusters.filter("split").withColumn("band", band), "large")
-    per = big.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") * 2 / unit), F.ceil(F.sum("n") * 2 / unit_shingles)).alias("units"))
-    own = big.join(per, ["root", "band"]).withColumn("unit", F.pmod(F.xxhash64("class"), F.col("units")))
-    # A unit pairs with the units of its band from its own on, and with all of the next two bands.
-    ahead = per.select("root", F.col("band").alias("to_band"), F.col("units").alias("to_units"))
-    units = per.select("root", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("unit"))
-    pairs = units.join(ahead, "root").filter("to_band BETWEEN band AND band + 2").withColumn("to_unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_units") - 1)))
-    pairs = pairs.filter("to_band > band OR to_unit >= unit").withColumn("g", F.xxhash64("root", "band", "unit", "to_band", "to_unit"))
-    ends = pairs.select("root", "band", "unit", "g").unionByName(pairs.select("root", F.col("to_band").alias("band"), F.col("to_unit").alias("unit"), "g")).distinct()
-    return small.unionByName(own.join(ends, ["root", "band", "unit"]).select("class", "root", "split", "g"))
+def _band(percent: int):
+    """Bands as `_bands` has them for large sizes; that linked sets' bands differ by two at most is all that is used."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
+
+
+def _parts(unit: int, unit_shingles: int, count, shingles):
+    """How many units of half the bound hold so much."""
+    return F.greatest(F.ceil(count * 2 / unit), F.ceil(shingles * 2 / unit_shingles), F.lit(1)).cast("long")
+
+
+def _each(parts: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+
+
+def large_links(big: DataFrame, k: int, percent: int, unit: int, unit_shingles: int) -> DataFrame:
+    """Edges between classes of groups beyond a bucket; ``big``: (class, root, n, text), step 4 of the module's text."""
+    texts = big.select("class", "text")
+    bands = stored(big.select("class", "root", "n", _band(percent).alias("band")).distinct(), "bands")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 2
+    per = bands.groupBy("root", "band").agg(_parts(unit, unit_shingles, F.count("*"), F.sum("n")).alias("units"))
+    g = F.xxhash64("root", "band", "unit")
+    own = bands.join(per, ["root", "band"]).withColumn("unit", F.pmod(F.xxhash64("class"), F.col("units"))).select("class", g.alias("g"))
+    first = bands.withColumn("place", F.row_number().over(Window.partitionBy("root", "band").orderBy(F.xxhash64("class", "root"), "class"))).filter(F.col("place") <= PIVOTS)
+    pivots = first.select("class", "root", F.col("band").alias("own")).join(per, "root").filter(near("own", "band")).withColumn("unit", _each("units")).select("class", g.alias("g"))
+    groups = own.unionByName(pivots).distinct()
+    links = stored(group_links(texts.join(groups, "class").select("g", "class", "text"), k, percent, unit, unit_shingles), "links")
+    found = connected_components(links)
+    left = bands.join(found.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    several = left.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("root")
+    left = stored(left.join(several, "root", "left_semi"), "left")
+    sizes = left.groupBy("root", "band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).withColumn("parts", _parts(unit, unit_shingles, F.col("c"), F.col("s")))
+    # Components that fill a unit are bags of their own, of several parts perhaps; the others are packed together.
+    packed = sizes.filter("parts <= 1").groupBy("root", "band").agg(_parts(unit, unit_shingles, F.sum("c"), F.sum("s")).alias("bags"))
+    alone = F.col("parts") > 1
+    bag = F.when(alone, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.col("bags")))
+    bags = stored(sizes.join(packed, ["root", "band"], "left").select("root", "band", "comp", "parts", alone.alias("alone"), bag.alias("bag")), "bags")
+    ends = bags.select("root", "band", "alone", "bag", F.when(F.col("alone"), F.col("parts")).otherwise(1).alias("parts")).distinct()
+    other = ends.select("root", *(F.col(c).alias(f"to_{c}") for c in ("band", "alone", "bag", "parts")))
+    pairs = ends.join(other, "root").filter("to_band BETWEEN band AND band + 2 AND NOT (alone AND to_alone AND bag = to_bag)")
+    pairs = pairs.filter("to_band > band OR struct(alone, bag) <= struct(to_alone, to_bag)").withColumn("part", _each("parts")).withColumn("to_part", _each("to_parts"))
+    pairs = pairs.withColumn("g", F.xxhash64("root", "band", "alone", "bag", "part", "to_band", "to_alone", "to_bag", "to_part"))
+    both = pairs.select("root", "band", "alone", "bag", "part", "g").unionByName(pairs.select("root", *(F.col(f"to_{c}").alias(c) for c in ("band", "alone", "bag", "part")), "g")).distinct()
+    dealt = left.join(bags, ["root", "band", "comp"]).withColumn("part", F.when(F.col("alone"), F.pmod(F.xxhash64("class"), F.col("parts"))).otherwise(0))
+    groups = dealt.join(both, ["root", "band", "alone", "bag", "part"]).select("class", "g").distinct()
+    return links.unionByName(group_links(texts.join(groups, "class").select("g", "class", "text"), k, percent, unit, unit_shingles))
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, unit: int = UNIT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """(key, n_shingles, component_id) of each row."""
-    docs = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`")).alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
+    docs = df.select(named(key).alias("key"), F.xxhash64(named(key)).alias("row"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
     rows = stored(class_rows(docs, k), "classes")
     candidates = connected_components(stars(rare_keys(shared_keys(class_keys(docs, k, percent)))))
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("least"), F.min(F.struct("row", "mark")).alias("one"), F.max("n").alias("n"))
     clusters = stored(candidates.select(F.col("node").alias("class"), "root").join(classes, "class"), "clusters")
-    groups = stored(_grouped(clusters.select("class", "root", "n"), percent, unit, unit_shingles), "groups")
-    asked = groups.groupBy("class").agg(F.collect_list("g").alias("gs")).join(clusters.select("class", "one.row", "one.mark"), "class")
-    members = docs.select("row", "mark", "text").join(asked, ["row", "mark"]).select(F.explode("gs").alias("g"), "class", "text")
-    links = stored(group_links(members, k, percent), "links")
-    split = groups.filter("split").select(F.col("class").alias("a")).distinct()
-    if not split.isEmpty():
-        joined = connected_components(links.join(split, "a", "left_semi"))
-        links = links.join(split, "a", "left_anti").unionAll(joined.select("node", "root").toDF("a", "b").filter("a <> b"))
+    sizes = clusters.groupBy("root").agg(((F.count("*") > unit) | (F.sum("n") > unit_shingles)).alias("split"))
+    asked = clusters.join(sizes, "root").select("class", "root", "n", "split", "one.row", "one.mark", F.xxhash64("one.row", "one.mark").alias("name"))
+    # Only texts that a cluster may have asked for are shuffled.
+    texts = likely(docs.select("row", "mark", "text", F.xxhash64("row", "mark").alias("name")), asked, "name").drop("name")
+    members = stored(texts.join(asked.drop("name"), ["row", "mark"]).select("class", "root", "n", "split", "text"), "members")
+    links = stored(group_links(members.filter("NOT split").select(F.col("root").alias("g"), "class", "text"), k, percent, unit, unit_shingles), "links")
+    big = members.filter("split").drop("split")
+    if not sizes.filter("split").isEmpty():
+        joined = connected_components(large_links(big, k, percent, unit, unit_shingles))
+        links = links.unionAll(joined.select("node", "root").toDF("a", "b").filter("a <> b"))
     # Each class points at one root; the smallest key of a component is that of all classes that point there.
     to_root = clusters.select("class", "least").join(links.select(F.col("a").alias("class"), F.col("b").alias("to")), "class", "left").withColumn("to", F.coalesce("to", "class"))
     least = to_root.groupBy("to").agg(F.min("least").alias("component"))
     found = to_root.join(least, "to").select("class", "component")
-    named = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component", "least").alias("component"))
+    answers = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component", "least").alias("component"))
     # Written, so that the last join shares its shuffle with no aggregate and Spark can split a class of very many copies.
-    named = stored(named, "named")
-    out = rows.select("key", "n", "class").join(named, "class", "left")
+    answers = stored(answers, "named")
+    out = rows.select("key", "n", "class").join(answers, "class", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 

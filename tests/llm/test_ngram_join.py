@@ -139,3 +139,22 @@ def test_components(spark):
 
 def test_empty(spark):
     assert J.jaccard_components(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Groups beyond a bucket: near copies that become one component, and two that stay apart in one group."""
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        w[r.randrange(120)] = f"x{i}"
+        texts.append(" ".join(w))
+    # A chain: neighbours are linked, ends are not.
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(40):
+        chain = chain[1:] + [f"d{i}"]
+        texts.append(" ".join(chain))
+    for unit in (2000, 30, 7):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(frame(spark, texts), k=3, percent=90, unit=unit).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 3, 90)
