@@ -203,7 +203,7 @@ def merge(shards: list[ShardTransform]) -> tuple[np.ndarray, np.ndarray, np.ndar
         c[np.argsort(z, kind="stable")] = np.concatenate([s.preceding[depth] for s in shards])
         move = np.argsort(c, kind="stable")
         # Neighbours with one preceding symbol share it and what all between their old ranks share.
-        least = _least_between(prefix, move)
+        least = _least_between(prefix, move, depth)
         same = np.zeros(n, bool)
         same[1:] = c[move][1:] == c[move][:-1]
         z, prefix = z[move], np.where(same, least + 1, 0).astype(np.int32)
@@ -212,15 +212,16 @@ def merge(shards: list[ShardTransform]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return z, where, prefix
 
 
-def _least_between(prefix: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """At i the least of ``prefix`` behind old rank ``move[i - 1]`` up to ``move[i]``; of no use where ranks fall."""
-    if len(move) < 2:
-        return np.zeros(len(move), np.int32)
-    begin, end = np.minimum(move[:-1], move[1:]) + 1, np.maximum(move[:-1], move[1:]) + 1
-    rising = move[1:] > move[:-1]
-    begin, end = np.where(rising, begin, 0), np.where(rising, end, 1)
-    edges = np.stack([begin, end], axis=1).ravel()
-    return np.concatenate([[0], np.minimum.reduceat(np.append(prefix, 0), edges)[::2]]).astype(np.int32)
+def _least_between(prefix: np.ndarray, move: np.ndarray, most: int) -> np.ndarray:
+    """At i the least of ``prefix`` behind old rank ``move[i - 1]`` up to ``move[i]``; of no use where ranks fall.
+
+    Values are 0 to ``most``: the least is the number of levels that no value between stays below.
+    """
+    out = np.zeros(len(move), np.int32)
+    for level in range(1, most + 1):
+        below = np.cumsum(prefix < level)
+        out[1:] += below[move[1:]] == below[move[:-1]]
+    return out
 
 
 def repeated_windows(data: np.ndarray, at: np.ndarray, length: int, shard: int = SHARD_WINDOWS, steps: int = STEPS) -> np.ndarray:
