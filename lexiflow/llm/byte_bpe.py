@@ -134,9 +134,10 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    from .common import remembered
+
+    return remembered(f"words of {path} {pattern}", lambda: Encoder(path, pattern))
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -90,6 +90,17 @@ def likely(df: DataFrame, keys: DataFrame, name: str, without: bool = False, slo
     return found.filter(~may if without else may).drop(at, word)
 
 
+_memory: dict = {}
+
+
+def remembered(name: str, make):
+    """What an operator keeps between the tasks of a Python worker. A worker keeps one such thing, the last one asked for."""
+    if name not in _memory:
+        _memory.clear()
+        _memory[name] = make()
+    return _memory[name]
+
+
 def byte_blocks(batches, max_bytes: int, column: str = "text"):
     """Slices of Arrow batches that hold about ``max_bytes`` of ``column`` each, and one row at least."""
     import pyarrow.compute as pc

@@ -37,7 +37,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import byte_blocks, likely, named, stored
+from .common import byte_blocks, likely, named, remembered, stored
 from .components import connected_components
 
 SHINGLE, PERCENT = 3, 90
@@ -68,9 +68,8 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return remembered("word hashes", WordHashes)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from .common import byte_blocks, stored
+from .common import byte_blocks, remembered, stored
 from .token_counts import tokenizer
 
 SEQUENCE, END, BLOCK, QUEUES = 2048, 1, 512, 64
@@ -133,9 +133,8 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(2)
 def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return remembered(f"pieces of {path}", lambda: PieceEncoder(path))
 
 
 class Schedule:

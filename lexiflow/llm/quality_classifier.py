@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import carried, named, stored, uncarried
 from .quality_rules import NOT_SPACE, SPACE, STOP_WORDS
 
 DIMENSIONS = 1024
@@ -31,48 +31,49 @@ KEEP = 0.5
 ROUNDS, EPOCHS = 200, 300
 
 
-def _with_words(df: DataFrame, text: str) -> DataFrame:
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(body.alias("__t"), F.array_remove(F.split(body, SPACE), "").alias("__w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("__l"), *(F.col(f"`{c}`") for c in df.columns if not c.startswith("__")))
+def _with_words(df: DataFrame, text: str, but: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(row, text, words, lines), and the names of the row's fields."""
+    body = F.coalesce(named(text), F.lit(""))
+    row, names = carried(df, but)
+    return df.select(row, body.alias("text"), F.array_remove(F.split(body, SPACE), "").alias("words"), F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines")), names
 
 
 def _neighbours() -> Column:
     """Places of words that equal the word before."""
-    w = F.col("__w")
+    w = F.col("words")
     return F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, F.greatest(i - 1, F.lit(0)))))
 
 
 def votes(df: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns and ``pattern``: one character a labeller, 1 good, 0 bad, - abstain."""
-    n = F.greatest(F.size("__w"), F.lit(1))
+    n = F.greatest(F.size("words"), F.lit(1))
     m = {
-        "symbols": F.regexp_count("__t", F.lit(r"[#*$%&|<>]")) / n,
-        "upper": F.regexp_count("__t", F.lit(r"\p{Lu}")) / F.greatest(F.regexp_count("__t", F.lit(r"\p{L}")), F.lit(1)),
-        "bangs": F.regexp_count("__t", F.lit("!!")) / n,
-        "bars": F.regexp_count("__t", F.lit(r"(?:^|\s)\|")) / n,
+        "symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")) / n,
+        "upper": F.regexp_count("text", F.lit(r"\p{Lu}")) / F.greatest(F.regexp_count("text", F.lit(r"\p{L}")), F.lit(1)),
+        "bangs": F.regexp_count("text", F.lit("!!")) / n,
+        "bars": F.regexp_count("text", F.lit(r"(?:^|\s)\|")) / n,
         "echo": F.size(_neighbours()) / n,
-        "variety": F.size(F.array_distinct("__w")) / n,
-        "stops": F.size(F.filter("__w", lambda x: F.lower(x).isin(STOP_WORDS))) / n,
-        "ends": F.regexp_count("__t", F.lit(r"\p{Ll}[.?!](?:\s|$)")) / n,
-        "lines": (F.size("__l") - F.size(F.array_distinct("__l"))) / F.greatest(F.size("__l"), F.lit(1)),
+        "variety": F.size(F.array_distinct("words")) / n,
+        "stops": F.size(F.filter("words", lambda x: F.lower(x).isin(STOP_WORDS))) / n,
+        "ends": F.regexp_count("text", F.lit(r"\p{Ll}[.?!](?:\s|$)")) / n,
+        "repeats": (F.size("lines") - F.size(F.array_distinct("lines"))) / F.greatest(F.size("lines"), F.lit(1)),
     }
-    kept = [c for c in df.columns if c not in {"pattern", *m} and not c.startswith("__")]
-    df = _with_words(df, text)
-    df = df.select(*(F.col(f"`{c}`") for c in kept), F.size("__w").alias("__n"), *(e.alias(f"__{c}") for c, e in m.items()))
-    c, long, no = lambda name: F.col(f"__{name}"), F.col("__n") >= 20, F.lit("-")
+    df, names = _with_words(df, text, ("pattern",))
+    df = df.select("row", F.size("words").alias("n"), *(e.alias(c) for c, e in m.items()))
+    c, long, no = F.col, F.col("n") >= 20, F.lit("-")
     labellers = [
         F.when(c("symbols") > 0.3, "0").when(c("symbols") < 0.02, "1").otherwise(no),
         F.when(c("upper") > 0.5, "0").otherwise(no),
         F.when(c("bangs") > 0.2, "0").otherwise(no),
         F.when(c("bars") > 0.1, "0").otherwise(no),
         F.when(c("echo") > 0.3, "0").otherwise(no),
-        F.when((F.col("__n") >= 50) & (c("variety") < 0.25), "0").otherwise(no),
+        F.when((c("n") >= 50) & (c("variety") < 0.25), "0").otherwise(no),
         F.when(long & (c("stops") < 0.02), "0").when(long & (c("stops") > 0.1) & (c("upper") < 0.2), "1").otherwise(no),
         F.when(long & (c("ends") == 0), "0").when((c("ends") > 0.02) & (c("ends") < 0.4), "1").otherwise(no),
-        F.when(c("lines") > 0.3, "0").otherwise(no),
-        F.when(F.col("__n") == 0, "0").otherwise(no),
+        F.when(c("repeats") > 0.3, "0").otherwise(no),
+        F.when(c("n") == 0, "0").otherwise(no),
     ]
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.concat(*labellers).alias("pattern"))
+    return df.select(*uncarried(names), F.concat(*labellers).alias("pattern"))
 
 
 def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float], np.ndarray, float]:
@@ -100,23 +101,22 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, fl
 
 
 def tokens(dimensions: int) -> Column:
-    """Hashed tokens of a row that has ``__s`` (shapes of words), ``__w`` and ``__l``: indices from 1."""
-    again = F.greatest(F.size("__l") - F.size(F.array_distinct("__l")), F.lit(0))
-    names = F.concat(F.col("__s"), F.transform(_neighbours(), lambda x: F.lit("=again")), F.array_repeat(F.lit("=line"), again))
+    """Hashed tokens of a row that has ``shapes`` (of words), ``words`` and ``lines``: indices from 1."""
+    again = F.greatest(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0))
+    names = F.concat(F.col("shapes"), F.transform(_neighbours(), lambda x: F.lit("=again")), F.array_repeat(F.lit("=line"), again))
     return F.transform(names, lambda x: F.pmod(F.xxhash64(x), F.lit(dimensions)).cast("int") + 1)
 
 
-def hashed(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """The input's columns and ``__f``: hashed tokens of the text."""
-    kept = [c for c in df.columns if not c.startswith("__")]
-    df = _with_words(df, text)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("__t", r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "0")
-    df = df.select(*(F.col(f"`{c}`") for c in kept), "__w", "__l", F.array_remove(F.split(shape, SPACE), "").alias("__s"))
-    return df.select(*(F.col(f"`{c}`") for c in kept), tokens(dimensions).alias("__f"))
+def hashed(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, but: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(row, f): the input's columns but ``but`` as a struct, and the hashed tokens of the text; and the struct's fields."""
+    df, names = _with_words(df, text, but)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "0")
+    df = df.select("row", "words", "lines", F.array_remove(F.split(shape, SPACE), "").alias("shapes"))
+    return df.select("row", tokens(dimensions).alias("f")), names
 
 
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) -> list[float]:
-    """Weights, the constant last, from (__f, p): one task over the bounded sample; rows without tokens don't count."""
+    """Weights, the constant last, from (f, p): one task over the bounded sample; rows without tokens don't count."""
     import pyarrow as pa
 
     def run(batches):
@@ -143,33 +143,36 @@ def fit(rows: DataFrame, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) ->
                 w, c = w - move[:-1], c - move[-1]
         yield pa.RecordBatch.from_arrays([pa.array([[*w.tolist(), c]])], names=["weights"])
 
-    return rows.select("__f", "p").coalesce(1).mapInArrow(run, "weights array<double>").first()["weights"]
+    return rows.select("f", "p").coalesce(1).mapInArrow(run, "weights array<double>").first()["weights"]
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> list[float]:
-    """Weights of the scorer: votes and pattern counts over all documents, the fit over ``sample`` of them."""
-    order = F.xxhash64(F.col(f"`{key}`"))
-    counts = {r["pattern"]: r["count"] for r in votes(docs.select(f"`{text}`"), text).groupBy("pattern").count().collect()}
+    """Weights of the scorer: votes and pattern counts over all documents, the fit over ``sample`` of them.
+
+    The sample are the rows with the least hashes of key and text; of equal rows it has one, so it is bounded.
+    """
+    all_rows = docs.select(F.xxhash64(named(key)).alias("h"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
+    counts = {r["pattern"]: r["count"] for r in votes(all_rows.select("text")).groupBy("pattern").count().collect()}
     posterior, _, _ = estimate(counts)
-    last = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    last = all_rows.select(F.struct("h", "mark").alias("at")).distinct().orderBy("at").limit(sample).agg(F.max("at").alias("at")).first()["at"]
     if last is None:
         return [0.0] * (dimensions + 1)
-    chosen = docs.filter(order <= last).select(f"`{text}`")
+    least = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("mark") <= last["mark"]))
+    chosen = all_rows.filter(least).groupBy("h", "mark").agg(F.first("text").alias("text")).select("text")
     patterns = docs.sparkSession.createDataFrame(list(posterior.items()), "pattern string, p double")
-    rows = hashed(votes(chosen, text).join(F.broadcast(patterns), "pattern"), text, dimensions)
+    rows, _ = hashed(votes(chosen).join(F.broadcast(patterns), "pattern").select("text", "p"), "text", dimensions)
     # Rows without tokens are left out where the model is fitted: a filter here would repeat the hashing below the join.
-    return fit(stored(rows.select("__f", "p"), "sample"), dimensions)
+    return fit(stored(rows.select("f", "row.p"), "sample"), dimensions)
 
 
 def score(docs: DataFrame, weights: list[float], text: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows with ``score``, the probability of good, and ``keep``."""
     dimensions = len(weights) - 1
     table = F.lit(weights[:-1])
-    names = [c for c in docs.columns if c not in ("score", "keep")]
-    rows = hashed(docs.select(*(F.col(f"`{c}`") for c in names)), text, dimensions)
-    total = F.aggregate("__f", F.lit(0.0), lambda a, i: a + F.element_at(table, i)) / F.size("__f") + F.lit(weights[-1])
-    value = F.when(F.size("__f") > 0, 1 / (1 + F.exp(-total))).otherwise(F.lit(0.0))
-    return rows.select(*(F.col(f"`{c}`") for c in names), value.alias("score")).withColumn("keep", F.col("score") >= keep)
+    rows, names = hashed(docs, text, dimensions, ("score", "keep"))
+    total = F.aggregate("f", F.lit(0.0), lambda a, i: a + F.element_at(table, i)) / F.size("f") + F.lit(weights[-1])
+    value = F.when(F.size("f") > 0, 1 / (1 + F.exp(-total))).otherwise(F.lit(0.0))
+    return rows.select("row", value.alias("score")).select(*uncarried(names), "score").withColumn("keep", F.col("score") >= keep)
 
 
 def quality_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import carried, named, uncarried
+
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 WINDOW = 8
@@ -68,35 +70,33 @@ def _shifted_pairs(hashes: Column, by: int) -> Column:
 
 def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add the counts and ratios of ``text``; ``keep`` names the input columns that stay (default: all)."""
-    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c not in {*COUNTS, *DERIVED}]
-    names = [c for c in (df.columns if keep is None else keep) if c not in {*COUNTS, *DERIVED}]
-    carry = [F.col(f"`{c}`") for c in names]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = df.select(*kept, body.alias("__t"), F.array_remove(F.split(body, SPACE), "").alias("__w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("__l"))
+    body = F.coalesce(named(text), F.lit(""))
+    row, names = carried(df if keep is None else df.select(*map(named, keep)), (*COUNTS, *DERIVED))
+    df = df.select(row, body.alias("text"), F.array_remove(F.split(body, SPACE), "").alias("words"), F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"))
     df = df.select(
-        *carry, "__l",
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("__w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("__l", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long").alias("n_bullet_lines"),
-        F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"),
+        "row", "lines",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter("words", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long").alias("n_bullet_lines"),
+        F.transform("words", lambda x: F.xxhash64(x)).alias("hashes"),
     )
     # Hashes of 2, 4, then 8 words that begin at each place.
     for by in (1, 2, 4):
-        df = df.withColumn("__h", _shifted_pairs(F.col("__h"), by))
-    some = F.size(F.array_distinct("__h")) < F.size("__h")
-    df = df.withColumn("__s", F.when(some, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("__s")
+        df = df.withColumn("hashes", _shifted_pairs(F.col("hashes"), by))
+    some = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    df = df.withColumn("sorted", F.when(some, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    s = F.col("sorted")
     twice = F.filter(s, lambda x, i: (x["h"] == F.get(s, i + 1)["h"]) | ((i > 0) & (x["h"] == F.get(s, F.greatest(i - 1, F.lit(0)))["h"])))
-    df = df.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    p = F.col("__p")
+    df = df.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    p = F.col("places")
     reach = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))).cast("long"))
     n = F.col("n_words")
-    lines = F.when(F.size("__l") > 0, F.size("__l"))
+    lines = F.when(F.size("lines") > 0, F.size("lines"))
     return df.select(
-        *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *uncarried(names), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_stop_words", "n_bullet_lines",
         F.when(n > 0, F.col("word_chars") / n).alias("mean_word_chars"),

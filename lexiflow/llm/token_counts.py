@@ -128,9 +128,10 @@ class Counter:
         return out
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    from .common import remembered
+
+    return remembered(f"counts of {path}", lambda: Counter(path))
 
 
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
