@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexiflow.llm.common import stored, where
+from lexiflow.llm.common import carried, likely, stored, uncarried, where
 from lexiflow.llm.ngram_join import jaccard_components
 from lexiflow.llm.packing import pack, padded_length
 from lexiflow.llm.quality_classifier import quality_scores
@@ -27,8 +27,9 @@ PASSAGE = 200
 
 def _kept(docs: DataFrame, judge, verdict: str) -> DataFrame:
     """``docs`` where ``judge`` of (doc_id, text and the row itself) says so; columns that share a name with a measure stay."""
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole row"))
-    return where(judge(rows), verdict).select("`whole row`.*")
+    row, names = carried(docs)
+    rows = docs.select("doc_id", "text", row)
+    return where(judge(rows), verdict).select(*uncarried(names))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +46,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document is known by its id and its text's mark, and a null id is an id like others; so rows without an id take
     part, and so do different texts under one id.
     """
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    named = docs.withColumn("doc mark", name)
-    groups = jaccard_components(named.select("doc mark", "text"), key="doc mark", k=SHINGLE, percent=PERCENT)
-    first = groups.filter("`doc mark` = component_id").select("doc mark").distinct()
-    return named.join(first, "doc mark", "left_semi").dropDuplicates(["doc mark"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row, names = carried(docs)
+    mark = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.select(row, "text", mark.alias("mark"))
+    groups = stored(jaccard_components(rows.select("mark", "text"), key="mark", k=SHINGLE, percent=PERCENT).groupBy("mark").agg(F.count("*").alias("rows"), F.min("component_id").alias("first")), "groups")
+    # Most rows stand for themselves and stay where they are; only those of groups and repeated ones are shuffled.
+    others = groups.filter("rows > 1 OR mark <> first").select("mark", (F.col("mark") == F.col("first")).alias("stays"), F.xxhash64("mark.id", "mark.text").alias("name"))
+    others = stored(others, "others")
+    rows = rows.withColumn("name", F.xxhash64("mark.id", "mark.text")).drop("text")
+    judged = likely(rows, others, "name").join(others.select("mark", "stays"), "mark", "left").filter("stays IS NULL OR stays")
+    once = judged.filter("stays").dropDuplicates(["mark"]).select("row")
+    out = likely(rows, others, "name", without=True).select("row").unionByName(judged.filter("stays IS NULL").select("row")).unionByName(once)
+    return out.select(*uncarried(names))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
