@@ -1,7 +1,7 @@
 """Pointer and answer events in batch form. Each operator needs a total order, here (ts, id) of one actor.
 
-Times are compared as epoch microseconds. Windows stream an actor's events through one task in order and spill; nothing
-gathers an actor's events into an array, except ``cooldown``, whose arrays end at each pause.
+Times are compared as epoch microseconds. Windows and folds stream an actor's events through one task in order; nothing
+gathers an actor's events.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def dwell(df: DataFrame, by: list[str], ts: str, event: str, start: str, hold_us: int, *order: str) -> DataFrame:
-    """Events of kind ``start`` that no other event of the same actor ends within ``hold_us``; ``fired_us`` is when it fires."""
+def dwell(df: DataFrame, by: list[str], ts: str, event: str, start: str, hold_us: int, *order: str, gate: Column | None = None) -> DataFrame:
+    """Events of kind ``start`` that no other event of the same actor ends within ``hold_us``; ``fired_us`` is when it fires.
+
+    ``gate``, if given, has to be true when the event begins; what it becomes later does not matter.
+    """
     w = Window.partitionBy(*by).orderBy(ts, *order)
     nxt = F.lead(micros(F.col(ts))).over(w)
-    held = df.withColumn("__next", nxt).filter(F.col(event) == start).filter(F.col("__next").isNull() | (F.col("__next") - micros(F.col(ts)) >= hold_us))
+    begins = F.col(event) == start if gate is None else (F.col(event) == start) & gate
+    held = df.withColumn("__next", nxt).filter(begins).filter(F.col("__next").isNull() | (F.col("__next") - micros(F.col(ts)) >= hold_us))
     return held.withColumn("fired_us", micros(F.col(ts)) + hold_us).drop("__next")
 
 
@@ -28,21 +32,31 @@ def progress(elapsed: Column, hold: float) -> tuple[Column, Column]:
 
 
 def cooldown(df: DataFrame, by: str, ts: str, key: str, pause_us: int) -> DataFrame:
-    """(by, key, us) of events that fire: those within ``pause_us`` after one that fired are ignored.
+    """(by, key, us) of events that fire: those within ``pause_us`` after one that fired are ignored. State is one time."""
+    from .machines import folded
+
+    kind = dict(df.dtypes)
+
+    def start(actor):
+        last = None
+
+        def step(row):
+            nonlocal last
+            if row is not None and (last is None or row[2] - last >= pause_us):
+                last = row[2]
+                yield row
+
+        return step
 
-    An event at least ``pause_us`` after the one before always fires, so runs of closer events are folded on their own.
+    return folded(df.select(by, key, micros(F.col(ts)).alias("us")), by, ["us", key], f"`{by}` {kind[by]}, `{key}` {kind[key]}, us bigint", start)
+
+
+def gaze_names(df: DataFrame, by: str, ts: str, key: str, event: str, start: str, hold_us: int, pause_us: int) -> DataFrame:
+    """(by, key, us) of gazes that name something: held for ``hold_us``, when they fire; ``us`` is when they began.
+
+    Those that begin within ``pause_us`` after a firing are ignored, however long they are held.
     """
-    w = Window.partitionBy(by).orderBy("us", key)
-    e = df.select(by, key, micros(F.col(ts)).alias("us"))
-    e = e.withColumn("__begins", (F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(pause_us)) >= pause_us).cast("int")).withColumn("__run", F.sum("__begins").over(w))
-    runs = e.groupBy(by, "__run").agg(F.sort_array(F.collect_list(F.struct("us", key))).alias("es"))
-    fired = F.aggregate(
-        "es",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<us:bigint,{key}:{dict(df.dtypes)[key]}>>").alias("out")),
-        lambda a, x: F.when(a["last"].isNull() | (x["us"] - a["last"] >= pause_us), F.struct(x["us"].alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return runs.select(by, F.explode(fired).alias("e")).select(by, f"e.{key}", "e.us")
+    return cooldown(dwell(df, [by], ts, event, start, hold_us, key), by, ts, key, hold_us + pause_us)
 
 
 def funnel(df: DataFrame, by: str, ts: str, key: str, event: str, steps: list[str]) -> DataFrame:
@@ -88,37 +102,37 @@ def turns(df: DataFrame, by: str, ts: str, key: str, card: str, face: str, match
     after a miss. When all ``deck`` cards are matched, a new round begins ``next_us`` later. A last single card is left
     out. State is one round's cards at most, so an actor's clicks stream through one task in order.
     """
-    import pyarrow as pa
-
-    def run(batches):
-        actor, matched, picked, free = None, set(), None, None
-        began = False
-        for b in batches:
-            out = []
-            for who, us, k, c, f in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if not began or who != actor:
-                    began, actor, matched, picked, free = True, who, set(), None, None
-                if free is not None and us < free:
-                    continue
-                if len(matched) == deck:
-                    matched = set()
-                if c in matched or picked and c == picked[1]:
-                    continue
-                if picked is None:
-                    picked = k, c, f
-                    continue
-                same = f == picked[2]
-                out.append((who, picked[0], k, same))
-                free = us + (match_us if same else miss_us)
-                if same:
-                    matched |= {c, picked[1]}
-                    free += next_us if len(matched) == deck else 0
-                picked = None
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((b.schema.field(0).type, b.schema.field(2).type, b.schema.field(2).type, pa.bool_()))], names=[by, "first", "second", "match"])
+    from .machines import folded
 
     kinds = dict(df.dtypes)
+
+    def start(actor):
+        matched, picked, free = set(), None, None
+
+        def step(row):
+            nonlocal matched, picked, free
+            if row is None or free is not None and row[1] < free:
+                return
+            _, us, k, c, f = row
+            if len(matched) == deck:
+                matched = set()
+            if c in matched or picked and c == picked[1]:
+                return
+            if picked is None:
+                picked = k, c, f
+                return
+            same = f == picked[2]
+            yield actor, picked[0], k, same
+            free = us + (match_us if same else miss_us)
+            if same:
+                matched = matched | {c, picked[1]}
+                free += next_us if len(matched) == deck else 0
+            picked = None
+
+        return step
+
     rows = df.select(by, micros(F.col(ts)).alias("us"), key, F.col(card).alias("card"), F.col(face).alias("face"))
-    return rows.repartition(by).sortWithinPartitions(by, "us", key).mapInArrow(run, f"`{by}` {kinds[by]}, first {kinds[key]}, second {kinds[key]}, match boolean")
+    return folded(rows, by, ["us", key], f"`{by}` {kinds[by]}, first {kinds[key]}, second {kinds[key]}, match boolean", start)
 
 
 def drags(df: DataFrame, by: str, ts: str, key: str, event: str, down: str, up: str) -> DataFrame:
@@ -128,6 +142,20 @@ def drags(df: DataFrame, by: str, ts: str, key: str, event: str, down: str, up:
     return e.filter((F.col(event) == up) & (F.col("__b") == down)).select(by, F.col("__k").alias("down_id"), F.col(key).alias("up_id"), (micros(F.col(ts)) - F.col("__t")).alias("us"))
 
 
+def drawn_boxes(df: DataFrame, by: str, ts: str, key: str, event: str, down: str, up: str, x: str, y: str, least: float = 3.0) -> DataFrame:
+    """(by, down_id, up_id, left, top, width, height) of the boxes that drags draw; those below ``least`` on a side are none.
+
+    Corners are clamped to 0..100 before they are joined.
+    """
+    from ..functions.values import clamp, rectangle
+
+    w = Window.partitionBy(by).orderBy(ts, key)
+    e = df.filter(F.col(event).isin(down, up)).withColumns({c: F.lag(v).over(w) for c, v in (("__b", event), ("__k", key), ("__x", x), ("__y", y))})
+    box = rectangle(*(clamp(F.col(c)) for c in ("__x", "__y", x, y)))
+    drawn = e.filter((F.col(event) == up) & (F.col("__b") == down)).select(by, F.col("__k").alias("down_id"), F.col(key).alias("up_id"), box.alias("box"))
+    return drawn.select(by, "down_id", "up_id", "box.*").filter((F.col("width") >= least) & (F.col("height") >= least))
+
+
 def shown_until(df: DataFrame, by: str, ts: str, key: str, most_us: int) -> DataFrame:
     """``shown_us``: how long each note stays lit, until the next or ``most_us``."""
     w = Window.partitionBy(by).orderBy(ts, key)
@@ -151,10 +179,16 @@ def active_by_hour(df: DataFrame, ts: str, hours: int) -> DataFrame:
 
 
 def bounced(x: Column, v: Column, frames: int, dt: float, low: float, high: float) -> Column:
-    """(x, v) after ``frames`` steps of at most 0.05 s between two walls."""
-    step = min(dt, 0.05)
-    def move(s, _):
-        at = s["x"] + s["v"] * F.lit(step)
-        out = (at < low) | (at > high)
-        return F.struct(F.greatest(F.lit(low), F.least(F.lit(high), at)).alias("x"), F.when(out, -s["v"]).otherwise(s["v"]).alias("v"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(frames)), F.struct(x.cast("double").alias("x"), v.cast("double").alias("v")), move)
+    """(x, v) after ``frames`` frames of ``dt`` seconds; see ``moved``."""
+    return moved(x, v, F.array_repeat(F.lit(float(dt)), frames), low, high)
+
+
+def moved(x: Column, v: Column, frames: Column, low: float, high: float) -> Column:
+    """(x, v) after ``frames``, an array of seconds of which each counts 0.05 at most, between two walls.
+
+    A wall that is passed holds the position and sends the speed away from it.
+    """
+    def move(s, dt):
+        at = s["x"] + s["v"] * F.least(dt, F.lit(0.05))
+        return F.struct(F.greatest(F.lit(low), F.least(F.lit(high), at)).alias("x"), F.when(at < low, F.abs(s["v"])).when(at > high, -F.abs(s["v"])).otherwise(s["v"]).alias("v"))
+    return F.aggregate(frames, F.struct(x.cast("double").alias("x"), v.cast("double").alias("v")), move)

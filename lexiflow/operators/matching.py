@@ -19,12 +19,21 @@ def first_match(x: Column, rules: list[tuple[str, str]], default: str) -> Column
     return reduce(lambda c, r: c.when(x.contains(r[0]), r[1]), rest, F.when(x.contains(head), label)).otherwise(default)
 
 
+def counted_words(texts: DataFrame, text: str) -> DataFrame:
+    """(word, count) of normalised words. Tokens are counted as they stand first, so each distinct one is normalised once.
+
+    The count in between is a shuffle of distinct tokens; Spark can't move the normalising below it.
+    """
+    tokens = texts.select(F.explode(tokenize(F.col(text))).alias("w")).groupBy("w").count()
+    return tokens.select(normalize_word(F.col("w")).alias("word"), "count").groupBy("word").agg(F.sum("count").alias("count"))
+
+
 def word_zone_hits(texts: DataFrame, zones: DataFrame, text: str, zone: str, label: str, least: int = 3) -> DataFrame:
     """(zone, hits): occurrences of words in texts that equal a word of the zone's label, one hit per word and zone.
 
     Words are counted before the join, so what is shuffled are distinct words, and the join sees each once.
     """
-    words = texts.select(F.explode(tokenize(F.col(text))).alias("w")).select(normalize_word(F.col("w")).alias("word")).filter(F.length("word") >= least).groupBy("word").count()
+    words = counted_words(texts, text).filter(F.length("word") >= least)
     wanted = zones.select(zone, F.explode(split_space(F.col(label))).alias("w")).select(zone, normalize_word(F.col("w")).alias("word")).filter(F.length("word") >= least).distinct()
     return wanted.join(words, "word").groupBy(zone).agg(F.sum("count").cast("long").alias("hits"))
 
@@ -63,3 +72,51 @@ def slot_changes(old: DataFrame, new: DataFrame, slot: str, value: str) -> DataF
     both = old.select(slot, F.col(value).alias("before")).join(new.select(slot, F.col(value).alias("after")), slot, "full")
     action = F.when(F.col("before").isNull(), "create").when(F.col("after").isNull(), "dispose").when(F.col("before") == F.col("after"), "keep").otherwise("replace")
     return both.withColumn("action", action)
+
+
+def lookup_first(keys: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each key with the first row that has it, or nulls; rows are reduced to one a key before the join."""
+    return keys.join(first_by(rows, key, order), key, "left")
+
+
+def in_order(lists: DataFrame, ids: str, rows: DataFrame, key: str) -> DataFrame:
+    """A row for each id of the array ``ids`` that ``rows`` has, with its place in the array as ``pos``; others are dropped."""
+    columns = [c for c in lists.columns if c != ids]
+    return lists.select(*columns, F.posexplode(ids).alias("pos", key)).join(rows, key)
+
+
+def equal_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(first, second) of rows with equal values, the smaller key first: each row with the next larger one of its value.
+
+    Neighbours link all rows of a value without writing all pairs down; ``same_value`` gives the groups.
+    """
+    w = Window.partitionBy(value).orderBy(key)
+    return df.select(F.col(key).alias("first"), F.lead(key).over(w).alias("second"), F.col(value)).filter("second IS NOT NULL")
+
+
+def same_value(df: DataFrame, value: str, left: Column, right: Column) -> Column:
+    """Whether two chosen rows, given by what identifies them, are different ones of equal value."""
+    return (left != right) & (left[value] == right[value])
+
+
+def mapped(key: Column, table: dict[str, str]) -> Column:
+    """The value of ``key`` in a small literal table, null where it has none."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
+def boxes(parts: DataFrame, key: str, column: str) -> DataFrame:
+    """A row for each box of each part, with the composite key ``part-place`` and numbers for percentages."""
+    flat = parts.select(key, F.posexplode(column).alias("pos", "box")).withColumn("box_key", F.concat_ws("-", F.col(key), F.col("pos").cast("string")))
+    return flat.select(key, "box_key", *(F.rtrim(F.col(f"box.{c}"), F.lit("%")).try_cast("double").alias(c) for c in ("top", "left", "width", "height")))
+
+
+def round_parts(targets: DataFrame, target: str, parts: Column, conflicts: dict[str, tuple[str, ...]], size: int = 4) -> Column:
+    """The target and parts, ``size`` in all, in the order of ``parts``: none has a conflict with one chosen before.
+
+    Conflicts of the target are left out first, then the list is folded greedily.
+    """
+    edges = F.array(*(F.lit(f"{a}|{b}") for a, bs in conflicts.items() for b in bs))
+    t = F.col(target)
+    pool = F.filter(parts, lambda p: (p != t) & ~F.array_contains(edges, F.concat(t, F.lit("|"), p)))
+    return independent_set(F.concat(F.array(t), pool), edges, size)

@@ -19,8 +19,8 @@ def next_and_previous(df: DataFrame, by: str, value: str, *order: str) -> DataFr
 
 
 def play_next(df: DataFrame, by: str, url: str, *order: str) -> DataFrame:
-    """Each distinct url at its first position, with the one after it; no wrap."""
+    """Each distinct url at its first position, with the one before it and the one after it; no wrap."""
     w = Window.partitionBy(by)
     first = df.withColumn("__n", F.row_number().over(Window.partitionBy(by, url).orderBy(*order))).withColumn("__p", F.row_number().over(w.orderBy(*order)))
     following = F.lead(url).over(w.orderBy("__p"))
-    return first.withColumn("following", following).filter("__n = 1").drop("__n").withColumnRenamed("__p", "position")
+    return first.withColumn("following", following).withColumn("preceding", F.lag(url).over(w.orderBy("__p"))).filter("__n = 1").drop("__n").withColumnRenamed("__p", "position")

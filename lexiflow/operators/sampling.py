@@ -19,8 +19,15 @@ def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 
 def sample_with(df: DataFrame, key: str, must: Column, n: int, seed: str) -> DataFrame:
-    """Rows that ``must`` holds for and others, ``n`` altogether."""
-    return df.orderBy((~must).cast("int"), seeded(seed, F.col(key)), key).limit(n)
+    """The row that ``must`` holds for (the first by hash of several) and others that it doesn't hold for, ``n`` altogether.
+
+    ``place`` is their order after a second shuffle, from 1; only the ``n`` rows chosen are numbered.
+    """
+    first = shuffled(df.filter(must), key, seed).limit(1)
+    others = shuffled(df.filter(~F.coalesce(must, F.lit(False))), key, seed).limit(n)
+    chosen = first.withColumn("other", F.lit(0)).unionByName(others.withColumn("other", F.lit(1)))
+    chosen = chosen.orderBy("other", seeded(seed, F.col(key)), key).limit(n).drop("other")
+    return chosen.withColumn("place", F.row_number().over(Window.orderBy(seeded(seed, F.lit("again"), F.col(key)), key)).cast("long"))
 
 
 def pick_other(groups: DataFrame, pool: DataFrame, by: str, key: str, previous: str, seed: str) -> DataFrame:
@@ -49,3 +56,13 @@ def first_of_group(df: DataFrame, by: str, key: str, n: int, seed: str) -> DataF
     """``n`` rows of each group by hash order; the group limit is pushed below the shuffle by Spark."""
     w = Window.partitionBy(by).orderBy(seeded(seed, F.col(key)), key)
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def unit(seed: str, *key: Column) -> Column:
+    """A number of [0, 1) from the hash of seed and key."""
+    return F.conv(F.substring(seeded(seed, *key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def whole_number(seed: str, low: int, high: int, *key: Column) -> Column:
+    """A whole number of ``low`` to ``high``."""
+    return F.lit(low) + F.floor(unit(seed, *key) * (high - low + 1)).cast("int")

@@ -30,8 +30,12 @@ def point_lookup(spark, d):
 
 
 def meta_projection(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("accent"), F.lit(None).cast("string").alias("cover_image"), F.col("o_orderstatus").alias("cover"), (F.col("o_orderkey") % 9).alias("page_count"), F.col("o_custkey").alias("updated_at"))
-    return C.meta(o)
+    """Orders as stored books: accents, covers and page counts get their defaults, then the listing's columns."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).when(F.col("o_orderstatus") == "P", "").alias("accent"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("u"), F.col("o_orderkey"))).alias("cover_image"), F.array_repeat(F.lit("p"), (F.col("o_orderkey") % 9).cast("int")).alias("pages"), F.col("o_custkey").alias("updated_at"),
+    )
+    return C.meta(C.stored_row(o)).withColumn("pageCount", F.col("pageCount").cast("long"))
 
 
 def _customers(spark, d):
@@ -49,6 +53,13 @@ def upsert_keep_old(spark, d):
     return C.upsert_keep_old(*_customers(spark, d), "c_custkey", "c_mktsegment")
 
 
+def upsert_in_place(spark, d):
+    """Customers as a list by key; the changes come in the order of their names."""
+    c, changes = _customers(spark, d)
+    place = lambda x: x.withColumn("pos", F.col("c_custkey") * 10)
+    return C.upsert_in_place(place(c), place(changes), "c_custkey", "pos")
+
+
 def append_absent(spark, d):
     c, changes = _customers(spark, d)
     return C.append_absent(c, changes, "c_custkey")
@@ -91,32 +102,33 @@ def _rectangles(spark, d):
     return l.select("l_orderkey", "l_linenumber", F.array(zone).alias("zones"))
 
 
-def _zone_rows(rows):
-    return rows.select("l_orderkey", "l_linenumber", F.explode("zones").alias("z")).select("l_orderkey", "l_linenumber", "z.*")
-
-
 def zones_server(spark, d):
-    return _zone_rows(_rectangles(spark, d).withColumn("zones", C.zones_stored(F.col("zones"))))
+    return C.zone_rows(_rectangles(spark, d), "zones", "stored").drop("pos")
 
 
 def zones_import(spark, d):
-    return _zone_rows(_rectangles(spark, d).withColumn("zones", C.zones_imported(F.col("zones"))))
+    return C.zone_rows(_rectangles(spark, d), "zones", "imported").drop("pos")
 
 
 def zones_editor(spark, d):
-    return _zone_rows(_rectangles(spark, d).withColumn("zones", C.zones_drawn(C.zones_imported(F.col("zones")))))
+    return C.zone_rows(_rectangles(spark, d), "zones", "drawn").drop("pos")
 
 
 # Cases of the importer.
 BOOKS = (
     '{"title": " Un ", "pages": [{"text": "a", "image": "", "zones": [{"left": -5, "top": "10", "width": 150, "height": 20, "label": "  chat "}, {"left": 1, "top": 1, "width": 0, "height": 5, "label": "x"}]}]}',
     '{"title": "", "pages": [{"text": "a"}]}', '{"title": "t", "pages": [{"text": " ", "image": ""}]}', "not json", '{"title": "t", "pages": [{"image": "u"}, {"text": "b"}]}',
+    '{"title": 5, "pages": [{"text": "a"}]}', '{"title": "t", "pages": "a"}', '{"title": "t", "pages": []}', '{"title": "t", "pages": [null]}', '{"title": "t"}', "[]", "null",
+    '{"title": "t", "pages": [{"text": 5, "image": "data:image/png;base64,AA", "zones": [{"left": "-5", "top": 10.5, "width": "0x20", "height": true, "label": " chat "}, {"width": 5, "height": 5, "label": 7}, {"width": 5, "height": 5, "label": " "}, null, {"width": "x", "height": 5, "label": "z"}, {"left": 1e3, "top": null, "width": 250, "height": "7.5", "label": "y"}]}, 3, {"text": "b", "image": "data:text/plain,x", "zones": [{"width": 5, "height": 5, "label": "q"}]}]}',
 )
 
 
 def json_import(spark, d):
+    """A row for each page of the books, one for each refused file; zones as text."""
     b = C.import_books(literal(spark, list(BOOKS), "json string"))
-    return b.select("ord", "title", "page_count", F.coalesce("reason", F.lit("ok")).alias("reason"), F.to_json(F.col("pages")).alias("pages"))
+    zone = lambda z: F.concat_ws(",", *(z[c].cast("int").cast("string") for c in ("left", "top", "width", "height")), z["label"])
+    p = b.select("ord", "title", "page_count", F.coalesce("reason", F.lit("ok")).alias("reason"), F.posexplode_outer("pages").alias("pos", "p"))
+    return p.select("ord", "title", "page_count", "reason", "pos", "p.text", "p.image", "p.plain", F.array_join(F.transform("p.zones", zone), ";").alias("zones"))
 
 
 def size_gate(spark, d):
@@ -130,7 +142,7 @@ def slot_changes(spark, d):
     return M.slot_changes(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "c_mktsegment")
 
 
-QUERIES = {f.__name__: f for f in (list_recent, list_all, point_lookup, meta_projection, upsert_rows, upsert_keep_old, append_absent, delete_cascade, validity_reason, cover_precedence, page_variant, bag_union, zones_server, zones_import, zones_editor, json_import, size_gate, slot_changes)}
+QUERIES = {f.__name__: f for f in (list_recent, list_all, point_lookup, meta_projection, upsert_rows, upsert_keep_old, upsert_in_place, append_absent, delete_cascade, validity_reason, cover_precedence, page_variant, bag_union, zones_server, zones_import, zones_editor, json_import, size_gate, slot_changes)}
 
 _CHANGES = """WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer),
 u AS (SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END AS c_mktsegment FROM c WHERE c_custkey % 3 = 0
@@ -138,14 +150,29 @@ u AS (SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 2 = 0 THE
 _ZONES = """WITH z AS (SELECT l_orderkey, l_linenumber, (l_quantity - 5)::BIGINT::DOUBLE AS "left", (l_partkey % 130)::DOUBLE AS top, (l_suppkey % 110)::DOUBLE AS width,
   CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE l_linenumber END::DOUBLE AS height, repeat(l_returnflag || 'zone', 15) AS label FROM lineitem WHERE l_returnflag <> 'R'),
 i AS (SELECT l_orderkey, l_linenumber, least(greatest("left", 0), 100) AS "left", least(greatest(top, 0), 100) AS top, least(greatest(width, 0), 100) AS width, least(greatest(height, 0), 100) AS height, label FROM z) """
-_SPACED = r"regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]+', ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]+$', '')"
+_SPACED = r"regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ''), '[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '')"
 SQL = {
     "list_recent": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM (SELECT * FROM orders ORDER BY orders.o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 50)",
     "list_all": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders ORDER BY orders.o_orderdate DESC NULLS FIRST, o_orderkey",
     "point_lookup": "SELECT k AS o_orderkey, o_custkey, CASE WHEN o_custkey IS NULL THEN 404 ELSE 200 END AS status FROM (VALUES (42::BIGINT), (-1::BIGINT)) t(k) LEFT JOIN orders ON o_orderkey = k",
-    "meta_projection": "SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE '#ff6b6b' END AS accent, true AS custom, NULL::VARCHAR AS coverImage, o_orderstatus AS cover, o_orderkey % 9 AS pageCount, o_custkey AS updatedAt FROM orders",
+    "meta_projection": "SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE '#FFD93C' END AS accent, true AS custom, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || o_orderkey END AS coverImage, CASE WHEN o_orderkey % 3 <> 0 THEN '📗' END AS cover, o_orderkey % 9 AS pageCount, o_custkey AS updatedAt FROM orders",
     "upsert_rows": _CHANGES + "SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT * FROM u",
     "upsert_keep_old": _CHANGES + "SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT u.c_custkey, u.c_name, coalesce(u.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM u LEFT JOIN c USING (c_custkey)",
+    "upsert_in_place": _CHANGES + """, n AS (SELECT u.*, c.c_custkey IS NULL AS fresh FROM u LEFT JOIN c USING (c_custkey)), m AS (SELECT max(c_custkey) * 10 + 1 - (SELECT min(c_custkey) * 10 FROM u) AS gap FROM c)
+SELECT *, c_custkey * 10 AS pos FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT c_custkey, c_name, c_mktsegment, CASE WHEN fresh THEN c_custkey * 10 + gap ELSE c_custkey * 10 END FROM n, m""",
+    "json_import": f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f"({i}::BIGINT, '" + b.replace("'", "''") + "')" for i, b in enumerate(BOOKS))}) t(ord, raw)),
+j AS (SELECT ord, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM b),
+t AS (SELECT ord, j, CASE WHEN json_type(j, '$.title') = 'VARCHAR' THEN trim(j->>'$.title') ELSE '' END AS title, CASE WHEN json_type(j, '$.pages') = 'ARRAY' THEN (j->'$.pages')::JSON[] END AS ps FROM j),
+r AS (SELECT *, CASE WHEN j IS NULL THEN 'not json' WHEN title = '' THEN 'no title' WHEN coalesce(len(ps), 0) = 0 THEN 'no pages' WHEN len(list_filter(ps, lambda p: p IS NULL OR json_type(p) = 'NULL')) > 0 THEN 'bad page' ELSE 'ok' END AS reason FROM t),
+p AS (SELECT ord, title, reason, CASE WHEN reason = 'ok' THEN len(ps) ELSE 0 END AS page_count, unnest(CASE WHEN reason = 'ok' THEN range(len(ps)) ELSE [NULL] END) AS pos, ps FROM r),
+q AS (SELECT *, ps[pos + 1] AS p, json_type(ps[pos + 1], '$.image') = 'VARCHAR' AND starts_with(ps[pos + 1]->>'$.image', 'data:image') AS has FROM p),
+z AS (SELECT ord, pos, generate_subscripts(zs, 1) AS i, unnest(zs) AS z FROM (SELECT ord, pos, (p->'$.zones')::JSON[] AS zs FROM q WHERE has AND json_type(p, '$.zones') = 'ARRAY')),
+n AS (SELECT ord, pos, i, trim(z->>'$.label') AS label, list_transform(['left', 'top', 'width', 'height'], lambda c: coalesce(CASE json_type(z, '$.' || c) WHEN 'BOOLEAN' THEN (z->>('$.' || c) = 'true')::INT::DOUBLE
+  WHEN 'VARCHAR' THEN CASE WHEN starts_with(z->>('$.' || c), '0x') THEN ('0x' || (z->>('$.' || c))[3:])::BIGINT::DOUBLE ELSE try_cast(z->>('$.' || c) AS DOUBLE) END WHEN 'NULL' THEN 0 ELSE try_cast(z->>('$.' || c) AS DOUBLE) END, 0)) AS v FROM z WHERE json_type(z, '$.label') = 'VARCHAR'),
+c AS (SELECT ord, pos, i, label, list_transform(v, lambda x: least(100, greatest(0, x))) AS v FROM n WHERE label <> ''),
+s AS (SELECT ord, pos, string_agg(array_to_string(list_transform(v, lambda x: trunc(x)::INT), ',') || ',' || label, ';' ORDER BY i) AS zones FROM c WHERE v[3] > 0 AND v[4] > 0 GROUP BY ALL)
+SELECT q.ord, title, page_count::BIGINT AS page_count, reason, q.pos::INT AS pos, CASE WHEN p IS NOT NULL THEN CASE WHEN json_type(p, '$.text') = 'VARCHAR' THEN p->>'$.text' ELSE '' END END AS text,
+ CASE WHEN has THEN p->>'$.image' END AS image, CASE WHEN p IS NOT NULL THEN NOT coalesce(has, false) END AS plain, CASE WHEN p IS NOT NULL THEN coalesce(zones, '') END AS zones FROM q LEFT JOIN s ON s.ord = q.ord AND s.pos = q.pos""",
     "append_absent": _CHANGES + "SELECT * FROM c UNION ALL SELECT * FROM u WHERE c_custkey NOT IN (SELECT c_custkey FROM c)",
     "delete_cascade": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "validity_reason": rf"SELECT doc_id, CASE WHEN length(t) = 0 THEN 'empty' WHEN len(regexp_split_to_array(t, '\s+')) < 5 THEN 'short' WHEN lang NOT IN ('en', 'fr') THEN 'language' ELSE 'ok' END AS reason FROM (SELECT doc_id, lang, {_SPACED} AS t FROM documents)",
@@ -157,5 +184,5 @@ SQL = {
     "zones_editor": _ZONES + "SELECT * FROM i WHERE width > 0 AND height > 0 AND width >= 3 AND height >= 3",
     "slot_changes": """SELECT coalesce(o.k, n.k) AS c_custkey, o.v AS before, n.v AS after, CASE WHEN o.k IS NULL THEN 'create' WHEN n.k IS NULL THEN 'dispose' WHEN o.v = n.v THEN 'keep' ELSE 'replace' END AS action
 FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0) n ON o.k = n.k""",
-    "size_gate": "SELECT id::BIGINT AS id, round((floor(id * 1048576 / 100) - 8 + 8) / 1048576.0, 1) > 5.5 AS too_large FROM range(540, 560) t(id)",
+    "size_gate": "SELECT id::BIGINT AS id, printf('%.1f', (floor(id * 1048576 / 100) - 8 + 8) / 1048576.0::DOUBLE)::DOUBLE > 5.5 AS too_large FROM range(540, 560) t(id)",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalog, events, reading
+from .plans import catalog, editing, events, reading
 
-_MODULES = (catalog, reading, events)
+_MODULES = (catalog, reading, editing, events)
 
 
 def queries() -> dict:

@@ -4,16 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Emoji and the label that is read aloud for each; unknown ones get DEFAULT_LABEL.
-LABELS = {"🌼": "une fleur", "🚗": "une voiture", "🐷": "le cochon", "🐻": "Nounours"}
-DEFAULT_LABEL = "regarde !"
-# Pairs of body parts that must not be asked for together, and all parts.
-PARTS = ("cheveux", "front", "yeux", "oreilles", "nez", "bouche", "cou", "bras", "mains", "jambes", "pieds")
-CONFLICTS = (("cheveux", "front"), ("front", "yeux"), ("yeux", "oreilles"), ("yeux", "nez"), ("nez", "bouche"), ("bouche", "cou"), ("bras", "mains"), ("jambes", "pieds"))
-ZONE = "left string, top string, width string, height string, label string"
-BOOK = f"title string, pages array<struct<text string, image string, zones array<struct<{ZONE}>>>>"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
