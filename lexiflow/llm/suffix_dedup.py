@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import byte_blocks, carried, likely, named, stored, uncarried
 
 LENGTH, GRAM, STEPS = 400, 32, 4
-SHARD_WINDOWS, MERGE_BYTES, HOT = 1 << 16, 4 << 20, 2000
+SHARD_WINDOWS, MERGE_BYTES, HOT = 1 << 16, 1 << 20, 2000
 #: Distances to the anchor that parts of a hot anchor span, level by level.
 WIDTHS = (64, 8, 1)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PLACE = 28
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,8 +232,7 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, length: int, shard: int =
     width = -(-length // steps)
     hashes = block_hashes(data, width)
     blocks = [hashes[at + o] for o in sorted({min(i * width, length - width) for i in range(steps)}, reverse=True)]
-    names, ranks = np.unique(np.concatenate(blocks), return_inverse=True)
-    ranks = ranks.reshape(len(blocks), len(at)).astype(np.int32)
+    ranks = [np.unique(b, return_inverse=True)[1].astype(np.int32) for b in blocks]
     cuts = range(0, len(at), shard)
     shards = [ShardTransform([r[i : i + shard] for r in ranks]) for i in cuts]
     z, where, prefix = merge(shards)
