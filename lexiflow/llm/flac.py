@@ -1,12 +1,14 @@
 """FLAC: an encoder and decoder for 8-bit mono streams, and payloads stored as their samples.
 
 A stream has STREAMINFO (with the MD5 of the samples), a SEEKTABLE and frames of ``BLOCK`` samples. The encoder takes
-for each frame the cheapest of fixed predictors of order 0 to 2, a quantised linear predictor that is given, or the plain
-samples, with one Rice partition. The decoder reads constant, verbatim, fixed (0 to 4) and linear predictor (1 to 32)
+for each frame the cheapest of fixed predictors of order 0 to 2, linear predictors of the orders ``ORDERS`` fitted to the
+frame's autocorrelation and quantised to ``PRECISION`` bits, one that is given, or the plain samples, with one Rice
+partition, since more of them cost more than they save on 192 samples. The decoder reads constant, verbatim, fixed (0 to 4) and linear predictor (1 to 32)
 subframes of both Rice codings, checks the CRC-8 of each header, the CRC-16 of each frame and the MD5 of the samples, and
 writes PCM blocks with their sample offsets.
 
-Many frames are decoded in lock step: their starts are found by the sync code with the frame number that is due and a
+``media_digests`` writes the streams as a table in the shared scratch folder, reads them back, and takes all it returns
+from the PCM blocks that it decodes. Many frames are decoded in lock step: their starts are found by the sync code with the frame number that is due and a
 right CRC-8, and proven by the CRC-16 over what lies between two starts. Then one NumPy step reads sample i of every
 frame. Where the starts can't be proven so, frames are decoded one after the other. A Spark task holds one block of
 documents of about ``BLOCK_BYTES``.
@@ -25,8 +27,12 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import byte_blocks, named, stored
+
 BLOCK = 192
 SEEK_FRAMES = 256
+ORDERS, PRECISION = (1, 3), 5
+PCM_BLOCK = 64 * BLOCK
 BLOCK_BYTES = 2 << 20
 RATE_CODE, RATE = 4, 8000
 
@@ -116,26 +122,57 @@ def _residuals(x: np.ndarray, order: int) -> np.ndarray:
     return x
 
 
-def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc: tuple[tuple[int, ...], int] | None = None) -> list[bytes]:
-    """Frames of rows of ``BLOCK`` signed 8-bit samples. ``lpc``: coefficients and shift of a linear predictor to try."""
+def fit_predictors(x: np.ndarray, order: int, precision: int = PRECISION) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (a row per frame) and shifts of quantised linear predictors, by Levinson's recursion."""
+    y = x.astype(np.float64)
+    n = x.shape[1]
+    r = np.stack([np.einsum("ij,ij->i", y[:, : n - lag], y[:, lag:]) for lag in range(order + 1)], axis=1)
+    a, error = np.zeros((len(x), order)), r[:, 0] * (1 + 1e-9) + 1e-9
+    for i in range(order):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    top = 1 << (precision - 1)
+    shift = np.clip(precision - 1 - np.ceil(np.log2(np.maximum(np.abs(a).max(1), 1e-4) + 1e-9)), 0, 15).astype(np.int64)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -top, top - 1).astype(np.int64), shift
+
+
+def _rice_parameters(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best Rice parameter of each row, of five around what its mean suggests, and the bits it takes."""
+    guess = np.floor(np.log2(np.maximum(u.mean(1) * 0.7, 1))).astype(np.int32)
+    best, bits = guess, np.full(len(u), np.iinfo(np.int64).max)
+    for step in (-1, 0, 1, 2):
+        k = np.clip(guess + step, 0, 14)
+        now = (u >> k[:, None]).sum(1) + u.shape[1] * (1 + k.astype(np.int64))
+        best, bits = np.where(now < bits, k, best), np.minimum(now, bits)
+    return best, bits
+
+
+def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc: tuple[tuple[int, ...], int] | None = None, orders: tuple[int, ...] = ORDERS) -> list[bytes]:
+    """Frames of rows of ``BLOCK`` signed 8-bit samples.
+
+    ``orders``: of linear predictors to fit to each frame; ``lpc``: coefficients and shift of one more to try.
+    """
     x = samples.astype(np.int32)
     f = len(x)
     best_bits, best = np.full(f, 8 * BLOCK, np.int64), np.full(f, -1)  # -1: verbatim
+    fitted = [(*fit_predictors(x, o), PRECISION) for o in orders if f]
+    if lpc:
+        fitted.append((np.tile(np.array(lpc[0], np.int64), (f, 1)), np.full(f, lpc[1]), 15))
     tried = {}
-    kinds = [0, 1, 2] + (["lpc"] if lpc else [])
-    for code, kind in enumerate(kinds):
-        if kind == "lpc":
-            coefficients, shift = lpc
-            order = len(coefficients)
-            guess = sum(c * x[:, order - 1 - i : BLOCK - 1 - i] for i, c in enumerate(coefficients)) >> shift
-            r, extra = x[:, order:] - guess, 4 + 5 + 15 * order
+    for code, kind in enumerate([0, 1, 2, *fitted]):
+        if isinstance(kind, tuple):
+            coefficients, shift, precision = kind
+            order = coefficients.shape[1]
+            guess = sum(coefficients[:, [i]] * x[:, order - 1 - i : BLOCK - 1 - i] for i in range(order)) >> shift[:, None]
+            r, extra = (x[:, order:] - guess).astype(np.int32), 4 + 5 + precision * order
         else:
             r, order, extra = _residuals(x, kind), kind, 0
         u = np.where(r >= 0, 2 * r, -2 * r - 1)
-        mean = u.sum(1) / u.shape[1]
-        k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int32)
-        bits = 10 + 8 * order + extra + (u >> k[:, None]).sum(1) + u.shape[1] * (1 + k.astype(np.int64))
-        tried[code] = u, k, order
+        k, bits = _rice_parameters(u)
+        bits = bits + 10 + 8 * order + extra
+        tried[code] = u, k, order, kind
         best = np.where(bits < best_bits, code, best)
         best_bits = np.minimum(bits, best_bits)
     headers = [_header(int(n)) for n in numbers]
@@ -157,20 +194,21 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc: tuple[tuple[int
             put(at, np.full(len(rows), 1 << 1), 8)
             put((at[:, None] + 8 + 8 * np.arange(BLOCK)).ravel(), (x[rows] & 0xFF).ravel(), 8)
             continue
-        u, k, order = tried[code]
-        u, k = u[rows], k[rows]
-        put(at, np.full(len(rows), ((32 + order - 1) if kinds[code] == "lpc" else 8 + order) << 1), 8)
+        u, k, order, kind = tried[code]
+        u, k, linear = u[rows], k[rows], isinstance(kind, tuple)
+        put(at, np.full(len(rows), ((32 + order - 1) if linear else 8 + order) << 1), 8)
         at = at + 8
         for j in range(order):
             put(at, x[rows, j] & 0xFF, 8)
             at = at + 8
-        if kinds[code] == "lpc":
-            put(at, np.full(len(rows), 14), 4)  # 15 bits a coefficient
-            put(at + 4, np.full(len(rows), shift), 5)
+        if linear:
+            coefficients, shift, precision = kind
+            put(at, np.full(len(rows), precision - 1), 4)
+            put(at + 4, shift[rows], 5)
             at = at + 9
-            for c in coefficients:
-                put(at, np.full(len(rows), c & 0x7FFF), 15)
-                at = at + 15
+            for j in range(order):
+                put(at, coefficients[rows, j] & ((1 << precision) - 1), precision)
+                at = at + precision
         put(at, k, 10)  # coding 0, partition order 0, then 4 bits of the parameter
         at = at + 10
         q = u >> k[:, None]
@@ -482,71 +520,87 @@ def decode_frames(stream: bytes, meta: dict | None = None, sample: int = 0):
         done, at = done + block, stop + 2
 
 
-def features(payload: bytes) -> str:
-    """Integer measures of the signed samples: peak, mean square, zero crossings."""
-    x = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
-    return f"peak={int(np.abs(x).max())};energy={int((x * x).sum()) // len(x)};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
-
+def pcm_pieces(samples: bytes, block: int = PCM_BLOCK):
+    """(sample offset, samples) of the blocks of decoded samples."""
+    for at in range(0, len(samples), block):
+        yield at, samples[at : at + block]
 
-def pad(text: bytes) -> bytes:
-    return text + b" " * (-len(text) % BLOCK or (0 if text else BLOCK))
 
+class Digest:
+    """What is kept of a payload's PCM blocks as they come by: its hash, its end, and measures of the signed samples."""
 
-def _mapped(df: DataFrame, key: str, text: str, schema: str, rows):
-    import pyarrow as pa
+    def __init__(self):
+        self.sha, self.tail, self.bytes, self.peak, self.energy, self.crossings, self.below = hashlib.sha256(), b"", 0, 0, 0, 0, None
 
-    from .common import byte_blocks
+    def add(self, pcm: bytes) -> None:
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-16:])[-16:]
+        self.bytes += len(pcm)
+        x = (np.frombuffer(pcm, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        below = x < 0
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        self.energy += int((x * x).sum())
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.below is not None and bool(below[0]) != self.below)
+        self.below = bool(below[-1])
 
-    kind = dict(df.dtypes)[key]
+    def feature(self) -> str:
+        """Peak, mean square and zero crossings."""
+        return f"peak={self.peak};energy={self.energy // max(self.bytes, 1)};crossings={self.crossings}"
 
-    def run(batches):
-        for b in byte_blocks(batches, BLOCK_BYTES, "__text"):
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            yield from rows(b.column(0), texts, encode_many([pad(t) for t in texts]), pa)
 
-    return df.selectExpr(f"`{key}`", f"`{text}` AS __text").mapInArrow(run, f"`{key}` {kind}, {schema}")
+def pad(text: bytes) -> bytes:
+    return text + b" " * (-len(text) % BLOCK or (0 if text else BLOCK))
 
 
 def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): the FLAC stream of each padded text."""
-    return _mapped(df, key, text, "n_bytes bigint, media binary", lambda keys, texts, media, pa: [pa.RecordBatch.from_arrays([keys, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])])
+    import pyarrow as pa
+
+    def run(batches):
+        for b in byte_blocks(batches, BLOCK_BYTES):
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            media = encode_many([pad(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
+
+    rows = df.select(named(key).alias("key"), named(text).alias("text"))
+    return rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, n_bytes bigint, media binary").withColumnRenamed("key", key)
 
 
-def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", block: int = 64 * BLOCK) -> DataFrame:
+def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", block: int = PCM_BLOCK) -> DataFrame:
     """(key, sample_offset, pcm): decoded samples as unsigned bytes, in blocks that can be sought by sample offset."""
     import pyarrow as pa
 
-    from .common import byte_blocks
-
     def run(batches):
-        for b in byte_blocks(batches, BLOCK_BYTES, "__media"):
+        for b in byte_blocks(batches, BLOCK_BYTES, "media"):
             keys, streams = b.column(0), b.column(1).to_pylist()
-            rows = [(i, at, pcm[at : at + block]) for i, pcm in enumerate(decode_many(streams)) for at in range(0, len(pcm), block)]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[key, "sample_offset", "pcm"])
+            rows = [(i, at, pcm) for i, samples in enumerate(decode_many(streams)) for at, pcm in pcm_pieces(samples, block)]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "sample_offset", "pcm"])
 
-    return df.filter(f"`{media}` IS NOT NULL").selectExpr(f"`{key}`", f"`{media}` AS __media").mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, sample_offset bigint, pcm binary")
+    rows = df.filter(named(media).isNotNull()).select(named(key).alias("key"), named(media).alias("media"))
+    return rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, sample_offset bigint, pcm binary").withColumnRenamed("key", key)
 
 
 def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each padded text as FLAC, read the stored bytes back, and digest what was read."""
-
-    def rows(keys, texts, media, pa):
-        back = decode_many(media)
-        yield pa.RecordBatch.from_arrays(
-            [
-                keys,
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([len(p) for p in back], pa.int64()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in back]),
-                pa.array([zlib.crc32(p[-16:]) for p in back], pa.int64()),
-                pa.array([len(m) for m in media], pa.int64()),
-                pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                pa.array([features(p) for p in back]),
-            ],
-            names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-        )
-
-    return _mapped(df, key, text, "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", rows)
+    """Store each padded text as FLAC, read the stored bytes back, and digest the blocks that are decoded from them."""
+    import pyarrow as pa
+
+    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batches):
+        for b in byte_blocks(batches, BLOCK_BYTES, "media"):
+            media, found = b.column(2).to_pylist(), []
+            for samples in decode_many(media):
+                d = Digest()
+                for _, pcm in pcm_pieces(samples):
+                    d.add(pcm)
+                found.append((d.bytes, d.sha.hexdigest(), zlib.crc32(d.tail), d.feature()))
+            size, sha, tail, feature = (list(c) for c in zip(*found))
+            columns = (pa.array(size, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=names)
+
+    media = stored(encode_media(df.select(named(key).alias("key"), named(text).alias("text")), "key", "text"), "media")
+    out = media.mapInArrow(run, f"key {dict(df.dtypes)[key]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return out.withColumnRenamed("key", key)
 
 
 def op3_flac(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """URL filter: explicit host/path rules, then an empirical-Bayes reputation of the host.
 
-Labelled page outcomes (1 good, 0 bad) are counted per host, registered domain (last two labels) and suffix (last
-label). Each level is a beta-binomial whose prior mean is the posterior mean of the level above and whose prior
+Labelled page outcomes (1 good, 0 bad) are counted per host, registered domain and suffix. The suffix is the last label,
+or the last two where these are in ``SUFFIXES``; the registered domain has one label more. Each level is a beta-binomial whose prior mean is the posterior mean of the level above and whose prior
 strength is the method-of-moments estimate over all groups of that level. A host is allowed if its posterior lower
 bound reaches ``floor``. Counts are partial aggregates, so a host with a third of all pages costs no more than others;
 the join back goes by host and leaves hot hosts to Spark's skew-join splitting.
@@ -20,6 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: (verdict, host, path prefix): a rule fits its host and every subdomain.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Suffixes of two labels below which names are registered; others have one label. Pass a table of your own for more.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.nz", "org.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp",
+    "co.kr", "or.kr", "com.cn", "net.cn", "org.cn", "gov.cn", "com.tw", "org.tw", "com.hk", "com.sg", "com.my", "co.id", "co.th", "com.vn", "com.ph", "co.in", "net.in",
+    "org.in", "com.br", "org.br", "gov.br", "com.ar", "com.mx", "com.co", "com.pe", "co.za", "org.za", "com.ng", "co.ke", "com.eg", "com.tr", "org.tr", "com.ua", "co.il",
+    "org.il", "com.pl", "com.pt", "com.es", "com.gr",
+)
 Z, FLOOR = 1.645, 0.5
 STRENGTH = (2.0, 1000.0)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +50,18 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return case([r[1] + r[2] for r in order]), case([r[0] for r in order])
 
 
+def _last(n: int) -> Column:
+    """The last ``n`` labels of the host, or all where it has fewer."""
+    labels = F.split("host", r"\.")
+    return F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n))
+
+
+def domain_and_suffix(suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of the column ``host``."""
+    two = _last(2).isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(two, _last(3)).otherwise(_last(2)), F.when(two, _last(2)).otherwise(_last(1))
+
+
 def _strength(groups: DataFrame) -> tuple[float, float]:
     """Base rate and prior strength of (g, n) groups, as one row of moments."""
     row = groups.agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("g") * F.col("g") / F.col("n")).alias("q")).first()
@@ -55,15 +74,15 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return p, min(max(k, STRENGTH[0]), STRENGTH[1])
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """(host, n, g, mean, lower) of labelled hosts, and the rows of domains and suffixes under level.
 
     ``outcomes``: (host, good). The result has a row per (level, name), level one of host, domain, suffix.
     """
     from .common import stored
 
-    last = lambda n: F.concat_ws(".", F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - n + 1, F.lit(1)), n))
-    hosts = stored(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("g"), F.count("good").cast("double").alias("n")).withColumns({"domain": last(2), "suffix": last(1)}).filter("n > 0"), "hosts")
+    domain, suffix = domain_and_suffix(suffixes)
+    hosts = stored(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("g"), F.count("good").cast("double").alias("n")).withColumns({"domain": domain, "suffix": suffix}).filter("n > 0"), "hosts")
     up = lambda by: hosts.groupBy(*by).agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     domains, suffixes = up(["domain", "suffix"]), up(["suffix"])
     base, k_suffix = _strength(suffixes)
@@ -82,22 +101,22 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).withColumn("lower", bound(F.col("m"), F.col("w")))
 
 
-def url_verdicts(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, z: float = Z, floor: float = FLOOR) -> DataFrame:
+def url_verdicts(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, z: float = Z, floor: float = FLOOR, suffixes=SUFFIXES) -> DataFrame:
     """Pages with host, path, rule, verdict and ``lower``, the posterior bound of the most specific level that is known.
 
     ``outcomes``: (``key``, good), any number of rows per page.
     """
     from .common import stored
 
-    last = lambda n: F.concat_ws(".", F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - n + 1, F.lit(1)), n))
+    domain, suffix = domain_and_suffix(suffixes)
     new = {"host", "path", "rule", "verdict", "lower"}
     pages = pages.drop(*new).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     good = outcomes.filter(F.col("good").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("good").alias("good"))
-    reputation = stored(host_reputation(pages.select(key, "host").join(good, key).select("host", "good"), z), "reputation")
+    reputation = stored(host_reputation(pages.select(key, "host").join(good, key).select("host", "good"), z, suffixes), "reputation")
     level = lambda name: reputation.filter(F.col("level") == name).select(F.col("name").alias(f"__{name}"), F.col("lower").alias(f"__{name}_lower"))
     base = reputation.filter("level = 'base'").first()["lower"]
     # The levels are joined to the distinct hosts, then once to the pages.
-    known = pages.select("host").distinct().withColumns({"__domain": last(2), "__suffix": last(1)}).withColumn("__host", F.col("host"))
+    known = pages.select("host").distinct().withColumns({"__domain": domain, "__suffix": suffix}).withColumn("__host", F.col("host"))
     for name in ("host", "domain", "suffix"):
         known = known.join(level(name), f"__{name}", "left")
     known = known.select("host", F.coalesce("__host_lower", "__domain_lower", "__suffix_lower", F.lit(base)).alias("lower"))
@@ -120,7 +139,7 @@ def op10_url_reputation(spark, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, page_outcomes(table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _last(n: int) -> str:
+def _last_sql(n: int) -> str:
     return f"array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - {n - 1}, 1), len(string_split(host, '.'))), '.')"
 
 
@@ -130,20 +149,22 @@ def _k(t: str) -> str:
         FROM (SELECT sum(n) AS n, sum(g) / sum(n) AS p, count(*) AS k, sum(g * g / n) AS q FROM {t}))"""
 
 
+_TWO = f"{_last_sql(2)} IN ({', '.join(repr(x) for x in SUFFIXES)})"
+_NAMES = f"CASE WHEN {_TWO} THEN {_last_sql(3)} ELSE {_last_sql(2)} END AS domain, CASE WHEN {_TWO} THEN {_last_sql(2)} ELSE {_last_sql(1)} END AS suffix"
 _FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
 ORACLE_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
       WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
-h AS (SELECT host, {_last(2)} AS domain, {_last(1)} AS suffix, sum(good)::DOUBLE AS g, count(*)::DOUBLE AS n FROM p JOIN o USING (page_id) GROUP BY host),
+h AS (SELECT host, {_NAMES}, sum(good)::DOUBLE AS g, count(*)::DOUBLE AS n FROM p JOIN o USING (page_id) GROUP BY host),
 d AS (SELECT domain, suffix, sum(g) AS g, sum(n) AS n FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(g) AS g, sum(n) AS n FROM h GROUP BY ALL),
 k AS (SELECT {_k('h')} AS kh, {_k('d')} AS kd, {_k('s')} AS ks, coalesce((SELECT sum(g) / sum(n) FROM s), 0.5) AS base),
 ms AS (SELECT suffix, (g + base * ks) / (n + ks) AS m FROM s, k),
 md AS (SELECT domain, (g + m * kd) / (n + kd) AS m FROM d JOIN ms USING (suffix), k),
 mh AS (SELECT host, (g + m * kh) / (n + kh) AS m, n + kh AS w FROM h JOIN md USING (domain), k),
-u AS (SELECT *, {_last(2)} AS domain, {_last(1)} AS suffix FROM p),
+u AS (SELECT *, {_NAMES} FROM p),
 r AS (SELECT page_id, u.host, path, coalesce(mh.m - {Z} * sqrt(mh.m * (1 - mh.m) / (mh.w + 1)), md.m - {Z} * sqrt(md.m * (1 - md.m) / (kh + 1)),
              ms.m - {Z} * sqrt(ms.m * (1 - ms.m) / (least(kh, kd) + 1)), base - {Z} * sqrt(base * (1 - base) / (least(kh, kd, ks) + 1))) AS lower
       FROM u LEFT JOIN mh ON u.host = mh.host LEFT JOIN md ON u.domain = md.domain LEFT JOIN ms ON u.suffix = ms.suffix, k)

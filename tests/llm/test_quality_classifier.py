@@ -3,6 +3,7 @@
 import numpy as np
 from lexiflow.llm import quality_classifier as Q
 from lexiflow.llm.common import where
+from pyspark.sql import functions as F
 from test_rows import EDGES
 
 SF = "/root/testdata/sf0.01"
@@ -44,3 +45,57 @@ def test_edges(spark):
     kept = where(Q.quality_scores(df), "keep")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in rows.items() if r.keep)
     assert Q.quality_scores(df.limit(0)).count() == 0
+
+
+def test_estimate_equals_em_over_documents():
+    """The same estimate without counting patterns: every document on its own."""
+    rng = np.random.default_rng(8)
+    patterns = ["".join(rng.choice(list("01-"), p=[0.2, 0.5, 0.3], size=5)) for _ in range(300)]
+    got, table, share = Q.estimate({p: patterns.count(p) for p in set(patterns)}, rounds=25)
+    rates = [[[0.35, 0.05, 0.6] for _ in range(5)], [[0.01, 0.3, 0.69] for _ in range(5)]]
+    good, votes = 0.85, [["01-".index(x) for x in p] for p in patterns]
+    for _ in range(25):
+        post = []
+        for v in votes:
+            bad_like, good_like = 1 - good, good
+            for j, x in enumerate(v):
+                bad_like, good_like = bad_like * rates[0][j][x], good_like * rates[1][j][x]
+            post.append(good_like / (good_like + bad_like))
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in post]
+            for j in range(5):
+                sums = [0.5 + sum(w for w, v in zip(weight, votes) if v[j] == x) for x in range(3)]
+                rates[c][j] = [x / sum(sums) for x in sums]
+        good = min(0.99, max(0.01, sum(post) / len(post)))
+    assert abs(share - good) < 1e-9 and np.abs(table - np.array(rates)).max() < 1e-9
+    assert all(abs(got[p] - x) < 1e-9 for p, x in zip(patterns, post))
+
+
+def test_scores_equal_brute_force(spark):
+    import re
+
+    import xxhash
+
+    texts = [*EDGES, "Ab ab 12x Éé été!! | ab ab", "line one\nline one\n\nline two"]
+    weights = np.sin(np.arange(65)).tolist()
+    rows = {r.doc_id: r for r in Q.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), weights).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        split = lambda x: [w for w in re.split(r"[\x20\x09-\x0D]+", x) if w]
+        words, lines = split(t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        shape = "".join("a" if c.islower() and c.isalpha() and c not in "ªº" else "A" if c.isupper() and c.isalpha() else "0" if c.isnumeric() and not c.isalpha() else c for c in t)
+        for c in "aA0":
+            shape = re.sub(f"{c}+", c, shape)
+        tokens = split(shape) + ["=again"] * sum(a == b for a, b in zip(words, words[1:])) + ["=line"] * (len(lines) - len(set(lines)))
+        at = [((xxhash.xxh64_intdigest(x.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)) % 64 for x in tokens]
+        want = 1 / (1 + np.exp(-(sum(weights[x] for x in at) / len(at) + weights[-1]))) if at else 0.0
+        assert abs(rows[i].score - want) < 1e-9, t[:40]
+
+
+def test_clashing_columns_and_repeated_keys(spark):
+    names = ["doc_id", "text", "__mark", "__w", "row", "f", "words", "h", "mark", "a.b", "Score", "p"]
+    df = spark.createDataFrame([(i % 2, f"the house number {i} is by the river.", *(f"v{n}" for n in names[2:])) for i in range(40)], ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    rows = Q.quality_scores(df, sample=5).collect()
+    assert len(rows) == 40 and all(r[n] == f"v{n}" for r in rows for n in names[2:] if n != "Score") and isinstance(rows[0]["score"], float)
+    kept = where(Q.quality_scores(df.withColumn("keep", F.lit("x")).withColumn("row_", F.lit(1)), sample=5), "keep")
+    assert set(kept.columns) >= {"row", "row_"}

@@ -1,6 +1,7 @@
 """Operators that work row by row or turn by turn: brute force, round trips and edge cases."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -84,6 +85,15 @@ def test_flac_round_trip_and_digests(spark):
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert r.media_sha256 == hashlib.sha256(media[i]).hexdigest() and r.media_bytes == len(media[i])
+        x = [v - 128 for v in p]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"peak={max(map(abs, x))};energy={sum(v * v for v in x) // len(x)};crossings={crossings}"
+    # Frames of prose have linear predictors, and the stored form of long prose is smaller than its payload.
+    prose = pathlib.Path(flac.__file__).read_text()
+    m = flac.encode_many([flac.pad(prose.encode())])[0]
+    kinds = [m[at + (6 if n < 128 else 7)] >> 1 for n, (_, at, _) in enumerate(flac.decode_frames(m)) if n < 2048]
+    assert sum(k >= 32 for k in kinds) > len(kinds) / 3 and len(m) < len(prose.encode())
+    assert flac.media_digests(docs(spark, texts).limit(0)).count() == 0
 
 
 def test_flac_predictors_and_sequential_decoding():
@@ -185,3 +195,34 @@ def test_url_rules_and_reputation(spark):
     assert got[10].verdict == "block" and got[90].verdict == "allow" and len(got) == len(urls) + 80
     assert url_reputation.url_verdicts(pages.limit(0), outcomes).count() == 0
     assert url_reputation.url_verdicts(pages, outcomes.limit(0)).count() == len(urls) + 80
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.org": ("example.org", "org"), "org": ("org", "org"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *url_reputation.domain_and_suffix()).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == hosts
+
+
+def test_very_long_rows(spark):
+    """A text of a million words and a URL of a megabyte."""
+    t = "the house of stone\n" * 250_000
+    r = quality_rules.quality_rules(docs(spark, [t])).first()
+    assert (r.n_words, r.n_dup_lines, r.n_repeat_words, r.kept) == (1_000_000, 249_999, 1_000_000, False)
+    pages = spark.createDataFrame([(1, "http://h.net/" + "x" * 1_000_000)], "page_id bigint, url string")
+    r = url_reputation.url_verdicts(pages, spark.createDataFrame([], "page_id bigint, good int")).first()
+    assert r.host == "h.net" and len(r.path) == 1_000_001
+
+
+def test_empty_tables(spark):
+    empty = docs(spark, ["x"]).limit(0)
+    assert token_counts.token_counts(empty, P.path("word_bpe_49k.json")).count() == 0
+    assert byte_bpe.encode_digests(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert quality_rules.quality_rules(empty).count() == 0 and flac.encode_media(empty).count() == 0
+
+
+def test_clashing_columns_of_rules(spark):
+    names = ["doc_id", "text", "__l", "__w", "row", "lines", "hashes", "a.b", "N_WORDS", "whole row"]
+    df = spark.createDataFrame([(1, "one two three", *(f"v{n}" for n in names[2:]))], ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    out = quality_rules.quality_rules(df)
+    r = out.first()
+    assert all(r[n] == f"v{n}" for n in names[2:] if n != "N_WORDS") and r["n_words"] == 3 and "N_WORDS" not in out.columns
