@@ -116,6 +116,30 @@ def access_state(spark, d):
     return c.select("c_custkey", C.access(F.col("configured"), F.col("token")).alias("state"))
 
 
+def photo_kinds(spark, d):
+    """Which pages would bring a photo that browsers do not decode, or an image as a data URL."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    name = F.concat(F.lit("IMG"), F.col("page_id"), F.element_at(F.array(*map(F.lit, (".HEIC", ".heif", ".png", ".heic.jpg"))), (F.col("page_id") % 4 + 1).cast("int")))
+    mime = F.when(F.col("page_id") % 5 == 0, "image/heic").when(F.col("page_id") % 5 == 1, "image/png")
+    source = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("url").cast("binary")))).when(F.col("page_id") % 3 == 1, F.col("url"))
+    return p.select("page_id", X.is_heic(name, mime).alias("heic"), X.is_data_image(source).alias("data_image"))
+
+
+def membership(spark, d):
+    """Whether some word of a part's name passes a test, and whether the list of its words holds a value."""
+    w = F.col("words")
+    return _names(spark, d).select("p_partkey", F.exists(w, lambda x: F.length(x) > 5).alias("some_long"), F.array_contains(w, F.concat(F.lit("Part#"), F.col("p_partkey"))).alias("own_name"), F.array_contains(F.transform(w, lambda x: F.substring(x, 1, 1)), "P").alias("a_p"))
+
+
+def balloon_phrases(spark, d):
+    """What is said when a balloon of the list is popped, right or wrong."""
+    b = T.tables(spark)["balloons"]
+    sound = F.col("sound").isNotNull()
+    right = F.when(sound, F.format_string("Bravo ! %s fait %s !", "name", "sound")).otherwise(F.format_string("Bravo ! C'est %s !", "name"))
+    wrong = F.when(sound, F.format_string("%s fait %s", "name", "sound")).otherwise(F.format_string("C'est %s", "name"))
+    return b.select("ord", right.alias("right"), wrong.alias("wrong"))
+
+
 def book_ids(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "user_id")
     return e.select("event_id", X.random_id("book", C.epoch_ms(F.col("ts")), F.col("event_id").cast("string"), F.col("user_id").cast("string")).alias("id"))
@@ -155,7 +179,7 @@ def source_elements(spark, d):
     return L.source_rows(_sources(spark, d, 0)).select("conv_id", "pos", F.try_variant_get("row", "$.title", "string").alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (replaced_at, dropped_at, set_added, index_of, card_deck, updated_where, drop_by_value, lookup_first, tray_pieces, pair_match, game_screen, body_boxes, literal_tables, story_words, zone_counts, saved_pages, access_state, book_ids, epoch_ms, random_values, migrated_books, source_elements)}
+QUERIES = {f.__name__: f for f in (replaced_at, dropped_at, set_added, index_of, card_deck, updated_where, drop_by_value, lookup_first, tray_pieces, pair_match, game_screen, body_boxes, literal_tables, story_words, zone_counts, saved_pages, access_state, photo_kinds, membership, balloon_phrases, book_ids, epoch_ms, random_values, migrated_books, source_elements)}
 
 _q = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 _unit = lambda seed: f"('0x' || md5('{seed}|' || p_partkey)[1:8])::BIGINT / 4294967296.0::DOUBLE"
@@ -182,6 +206,10 @@ SELECT id, page::INT AS page, pos::INT AS pos, coalesce(nullif(trim(regexp_repla
     "saved_pages": """WITH p AS (SELECT page_id % 40 AS book, page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE trim(url) END AS text, ['none', 'new', 'existing'][page_id % 3 + 1] AS mode FROM pages), k AS (SELECT * FROM p WHERE text <> '' OR mode <> 'none')
 SELECT book, page_id, text, mode, CASE WHEN mode <> 'none' THEN 'img' || page_id END AS image, CASE WHEN mode <> 'none' THEN 'z' END AS zones, row_number() OVER w - 1 AS page, first_value(mode = 'new') OVER w AS cover_new, mode = 'none' AS plain FROM k WINDOW w AS (PARTITION BY book ORDER BY page_id)""",
     "access_state": "SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN 'not-configured' WHEN c_custkey % 7 > 0 AND c_mktsegment = 'BUILDING' THEN 'ok' ELSE 'wrong' END AS state FROM customer",
+    "photo_kinds": "SELECT page_id, page_id % 4 < 2 OR page_id % 5 = 0 AS heic, page_id % 3 = 0 AND url IS NOT NULL AS data_image FROM pages",
+    "membership": "SELECT p_partkey, len(list_filter(w, lambda x: length(x) > 5)) > 0 AS some_long, list_contains(w, 'Part#' || p_partkey) AS own_name, len(list_filter(w, lambda x: starts_with(x, 'P'))) > 0 AS a_p FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)",
+    "balloon_phrases": f"""SELECT ord, CASE WHEN sound IS NULL THEN 'Bravo ! C''est ' || name || ' !' ELSE 'Bravo ! ' || name || ' fait ' || sound || ' !' END AS right, CASE WHEN sound IS NULL THEN 'C''est ' || name ELSE name || ' fait ' || sound END AS wrong
+FROM (VALUES {', '.join(f"({i}::BIGINT, {_q(n)}, {_q(s)})" for i, (_, n, s) in enumerate(T.BALLOONS))}) t(ord, name, sound)""",
     "book_ids": "SELECT event_id, 'book-' || epoch_us(ts) // 1000 || '-' || lower(to_base(('0x' || md5(event_id || '|' || user_id)[1:12])::BIGINT, 36)) AS id FROM events",
     "epoch_ms": "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS past FROM events",
     "random_values": f"SELECT p_partkey, 1 + floor({_unit('n')} * 3)::INT AS n, round(CASE WHEN abs(v) < 45 THEN CASE WHEN v < 0 THEN -55 ELSE 55 END ELSE v END, 6) AS velocity FROM (SELECT p_partkey, ({_unit('vel')} - 0.5) * 150 AS v FROM part)",

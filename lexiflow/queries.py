@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalog, editing, events, reading
+from .plans import catalog, editing, events, reading, streams
 
-_MODULES = (catalog, reading, editing, events)
+_MODULES = (catalog, reading, editing, events, streams)
 
 
 def queries() -> dict:
