@@ -259,7 +259,8 @@ def fold(tree: list[tuple]) -> list[tuple]:
     return out
 
 
-# Closures: an expression takes the names; a statement takes the names and the writer emit(text, under_the_mask).
+# Closures: an expression takes the names and gives a value; a statement takes the names and gives an iterable of
+# (text, under the mask), which is read to its end before the next statement is called.
 
 
 def _expr(e: tuple) -> Callable:
@@ -294,15 +295,16 @@ def _expr(e: tuple) -> Callable:
 def _statement(node: tuple, masked: bool) -> Callable:
     kind = node[0]
     if kind == "text":
-        return lambda names, emit, s=node[1]: emit(s, masked)
+        return lambda names, out=((node[1], masked),): out
     if kind == "emit":
         e = _expr(node[1])
-        return lambda names, emit: emit(_shown(e(names)), masked)
+        return lambda names: ((_shown(e(names)), masked),)
     if kind == "set":
         e, k = _expr(node[2]), node[1]
 
-        def assign(names, emit):
+        def assign(names):
             names[k] = e(names)
+            return ()
 
         return assign
     if kind == "generation":
@@ -310,22 +312,23 @@ def _statement(node: tuple, masked: bool) -> Callable:
     if kind == "if":
         branches = [(_expr(c), _statements(body, masked)) for c, body in node[1]]
 
-        def choose(names, emit):
+        def choose(names):
             for c, body in branches:
                 if c(names):
-                    return body(names, emit)
+                    return body(names)
+            return ()
 
         return choose
     k, xs, body = node[1], _expr(node[2]), _statements(node[3], masked)
 
-    def loop(names, emit):
+    def loop(names):
         it = iter(xs(names) or ())
         at, x = 0, next(it, it)
         inner = dict(names)
         while x is not it:
             y = next(it, it)
             inner[k], inner["loop"] = x, {"index": at + 1, "index0": at, "first": at == 0, "last": y is it}
-            body(inner, emit)
+            yield from body(inner)
             at, x = at + 1, y
 
     return loop
@@ -336,24 +339,22 @@ def _statements(tree: list[tuple], masked: bool) -> Callable:
     if len(steps) == 1:
         return steps[0]
 
-    def run(names, emit):
+    def run(names):
         for step in steps:
-            step(names, emit)
+            yield from step(names)
 
     return run
 
 
 def compile_template(source: str) -> Callable:
-    """A function of (names, emit); ``emit(text, under_the_mask)`` gets the output piece by piece."""
+    """A function of the names that gives the output piece by piece, as (text, under the mask)."""
     return _statements(fold(parse(source)), False)
 
 
 def render(source: str, **names) -> tuple[str, list[tuple[int, int]]]:
     """The whole output and the spans under the loss mask."""
     out, spans, at = [], [], 0
-
-    def emit(s, masked):
-        nonlocal at
+    for s, masked in compile_template(source)(names):
         out.append(s)
         if masked and s:
             if spans and spans[-1][1] == at:
@@ -361,8 +362,6 @@ def render(source: str, **names) -> tuple[str, list[tuple[int, int]]]:
             else:
                 spans.append((at, at + len(s)))
         at += len(s)
-
-    compile_template(source)(names, emit)
     return "".join(out), spans
 
 
@@ -415,8 +414,11 @@ def _conversations(batches) -> Iterable[tuple]:
         yield conv, ({"role": r, "text": t} for _, r, t in turns)
 
 
-def format_conversations(df: DataFrame, template: str = TURNS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, part, formatted, spans): the output in parts of whole emits of about a megabyte, with mask spans per part."""
+def format_conversations(df: DataFrame, template: str = TURNS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = 1 << 20) -> DataFrame:
+    """(conv_id, part, formatted, spans): the output in parts of whole pieces of about ``most`` characters, with their spans.
+
+    A part leaves the task when it is full, so a conversation of any length streams through.
+    """
     import pyarrow as pa
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -424,22 +426,17 @@ def format_conversations(df: DataFrame, template: str = TURNS, conv: str = "conv
     def run(batches):
         write = compile_template(template)
         for conv_id, messages in _conversations(batches):
-            held, marks, at, parts = [], [], 0, []
-
-            def emit(s, masked):
-                nonlocal held, marks, at
-                if held and at + len(s) > 1 << 20:
-                    parts.append(("".join(held), marks))
-                    held, marks, at = [], [], 0
+            held, marks, at, k = [], [], 0, 0
+            row = lambda: pa.RecordBatch.from_arrays([pa.array([conv_id], pa.int64()), pa.array([k], pa.int32()), pa.array(["".join(held)]), pa.array([marks], spans)], names=["conv_id", "part", "formatted", "spans"])
+            for s, masked in write({"messages": messages}):
+                if held and at + len(s) > most:
+                    yield row()
+                    held, marks, at, k = [], [], 0, k + 1
                 if masked and s:
                     marks.append({"start": at, "stop": at + len(s)})
                 held.append(s)
                 at += len(s)
-
-            write({"messages": messages}, emit)
-            parts.append(("".join(held), marks))
-            for k, (s, m) in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([conv_id], pa.int64()), pa.array([k], pa.int32()), pa.array([s]), pa.array([m], spans)], names=["conv_id", "part", "formatted", "spans"])
+            yield row()
 
     return _sorted_turns(df, conv, turn, role, text).mapInArrow(run, "conv_id bigint, part int, formatted string, spans array<struct<start:bigint,stop:bigint>>")
 
@@ -455,7 +452,8 @@ def conversation_digests(df: DataFrame, template: str = TURNS, conv: str = "conv
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=names)
         for conv_id, messages in _conversations(batches):
             d = _Digest()
-            write({"messages": messages}, d.emit)
+            for s, masked in write({"messages": messages}):
+                d.emit(s, masked)
             if d.held:
                 raise ValueError("the output does not end with a turn")
             out.append((conv_id, d.n_turns, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the root is the smallest node of its component.
 
     Each round points nodes at the smallest neighbour they know, which halves the depth of the forest; it ends when a
-    round changes nothing. Only sums are seen by the driver. Rounds are written to the shared scratch folder.
+    round changes nothing. Only sums are seen by the driver. Rounds are written to the shared scratch folder, each in the
+    place of the one before.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     last = None
@@ -23,8 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: smaller neighbours of u and u itself, to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        before, e = e, stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.countDistinct("u").alias("d")).first()
+        discard(before)
         state = (now["n"], now["h"])
         if state == last or now["n"] == 0:
             break

@@ -79,3 +79,90 @@ def test_run_and_empty(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         out = stage(spark, empty, "")
         assert out.count() == 0
+
+
+def brute_score(text, weights):
+    """The scorer's probability of good, from the weights alone."""
+    import math
+    import re
+
+    import xxhash
+
+    split = lambda x: [w for w in re.split(r"[\x20\x09-\x0D]+", x) if w]
+    words, lines = split(text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    shape = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in text)
+    for c in "aA0":
+        shape = re.sub(f"{c}+", c, shape)
+    tokens = split(shape) + ["=again"] * sum(a == b for a, b in zip(words, words[1:])) + ["=line"] * (len(lines) - len(set(lines)))
+    n = len(weights) - 1
+    at = [((xxhash.xxh64_intdigest(x.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)) % n for x in tokens]
+    return 1 / (1 + math.exp(-(sum(weights[x] for x in at) / len(at) + weights[-1]))) if at else 0.0
+
+
+def brute_kept(text):
+    import re
+
+    from lexiflow.llm.quality_rules import STOP_WORDS
+    from test_rows import brute_rules
+
+    n, chars, symbols, dups, repeats = brute_rules(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    if n < 20 or 100 * repeats > 30 * n:
+        return False
+    bullets = sum(x.lstrip(" ")[:1] in ("-", "*", "•") for x in lines)
+    return 1.5 <= chars / n <= 25 and symbols / n <= 0.5 and sum(w.lower() in STOP_WORDS for w in words) / n >= 0.01 and dups / len(lines) <= 0.3 and bullets / len(lines) <= 0.9
+
+
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage again by plain loops; only the classifier's weights are taken from training."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from lexiflow.llm import quality_classifier as Q
+    from lexiflow.llm.token_counts import tokenizer
+    from test_ngram_join import brute as near
+    from test_rows import noise
+
+    docs, texts, _ = corpus(spark)
+    r = random.Random(17)
+    extra = [t + " " + sentence(r, 3) for t in texts[10:14]] + [noise(i, 900, "#$%& |ab ") for i in range(6)] + [texts[20][:400] + sentence(r, 90)]
+    more = [(100 + i, t, "en", "s1", len(t), i) for i, t in enumerate(extra)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(x.doc_id, x.text or "") for x in docs.collect()]
+    weights = Q.train(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    kept = sorted({(i, t) for i, t in rows if brute_score(t, weights) >= 0.5 and brute_kept(t)})
+    groups = near([t for _, t in kept], 5, 80)
+    kept = [kept[k] for k in sorted({root for _, root in groups})]
+    raws = [t.encode() for _, t in kept]
+    windows = Counter(w[i : i + 200] for w in raws for i in range(len(w) - 199))
+    want = {}
+    for (i, _), w in zip(kept, raws):
+        gone = set()
+        for k in range(len(w) - 199):
+            if windows[w[k : k + 200]] > 1:
+                gone.update(range(k, k + 200))
+        want[i] = bytes(b for k, b in enumerate(w) if k not in gone).decode(errors="ignore")
+    assert any(len(want[i]) < len(t) for i, t in kept) and len(kept) > 30
+    tk = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: [*tk.encode(t, add_special_tokens=False).ids, 1] for i, t in want.items()}
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == set(want)
+    for i, all_ids in ids.items():
+        own = sorted((x for x in got if x.doc_id == i), key=lambda x: x.start)
+        assert [x.start for x in own] == [0, *np.cumsum([x.length for x in own])[:-1].tolist()] and sum(x.length for x in own) == len(all_ids)
+        assert all(x.doc_tokens == len(all_ids) and x.ids_crc32 == zlib.crc32(np.array(all_ids[x.start : x.start + x.length], "<u4").tobytes()) for x in own)
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["doc_id", "text", "source", "whole row", "text mark", "doc mark", "row", "mark", "name", "keep", "kept", "a.b"]
+    r = random.Random(3)
+    texts = [" ".join(sentence(r, 12) for _ in range(8)) for _ in range(6)]
+    df = spark.createDataFrame([(i, t, "s", *(f"{n}{i}" for n in names[3:])) for i, t in enumerate([*texts, texts[0], None])], ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    for stage in (pipeline.classify, pipeline.rule_out, pipeline.one_of_each_group, pipeline.cut_repeats):
+        out = stage(spark, df, "")
+        assert out.columns == names
+        for x in out.collect():
+            assert all(x[n] == f"{n}{x.doc_id}" for n in names[3:])

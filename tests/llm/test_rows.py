@@ -160,6 +160,9 @@ def test_conversations(spark):
     assert len(parts[1].formatted) == g.formatted_chars
     assert "".join(chat_template.unescape(parts[1].formatted[s.start : s.stop]) for s in parts[1].spans) == loss
     assert chat_template.conversation_digests(df.limit(0)).count() == 0
+    small = sorted((r for r in chat_template.format_conversations(df, most=30).collect() if r.conv_id == 1), key=lambda r: r.part)
+    assert len(small) > 3 and "".join(r.formatted for r in small) == parts[1].formatted
+    assert "".join(chat_template.unescape(r.formatted[s.start : s.stop]) for r in small for s in r.spans) == loss
 
 
 def brute_rules(t):
