@@ -9,6 +9,9 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: white space, as the inside of a character class.
 SPACES = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters as text, and the class of all others; printable ASCII, by far the most of them, is tested first.
+SPACE_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+NOT_SPACE = rf"[!-~[^{SPACES}]]"
 # Fixed value: marks that stand alone after a word.
 MARKS = "!?.,;:…"
 # Fixed value: marks and quotes that are not read aloud at either end of a word.
@@ -28,7 +31,7 @@ def letters() -> tuple[str, str]:
 
 def trimmed(x: Column) -> Column:
     """Without white space at either end; null is empty."""
-    return F.regexp_replace(F.coalesce(x, F.lit("")), rf"^[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(F.coalesce(x, F.lit("")), F.lit(SPACE_CHARACTERS))
 
 
 def non_blank(x: Column) -> Column:
@@ -42,7 +45,7 @@ def or_default(x: Column, default: Column) -> Column:
 
 def tokenize(x: Column) -> Column:
     """Words; tokens of ``MARKS`` only belong to the word before, after one space. A leading one stands alone."""
-    found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(rf"[^{SPACES}]+(?:[{SPACES}]+[{MARKS}]+(?=[{SPACES}]|\z))*"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(rf"{NOT_SPACE}+(?:[{SPACES}]+[{MARKS}]+(?=[{SPACES}]|\z))*"), F.lit(0))
     return F.transform(found, lambda w: F.regexp_replace(w, rf"[{SPACES}]+", " "))
 
 

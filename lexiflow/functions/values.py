@@ -14,9 +14,10 @@ def number(x: Column) -> Column:
     knows (``1d``) makes a string no number.
     """
     text = x.cast("string")
-    plain = F.when(~F.lower(F.right(text, F.lit(1))).isin("d", "f"), x.try_cast("double"))
+    plain = F.when(~F.substring(text, -1, 1).isin("d", "D", "f", "F"), x.try_cast("double"))
     d = F.coalesce(plain, F.when(text.rlike(r"^\s*0[xX][0-9a-fA-F]{1,15}\s*\z"), F.conv(F.substring(F.trim(text), 3, 15), 16, 10).cast("double")))
-    return F.when(F.abs(d) < math.inf, d).otherwise(0.0)
+    # Infinities become NaN by the product, and NaN becomes 0: so the number is worked out once.
+    return F.coalesce(F.nanvl(d + d * 0.0, F.lit(0.0)), F.lit(0.0))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:

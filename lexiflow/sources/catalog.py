@@ -83,14 +83,15 @@ def zone_rows(df: DataFrame, zones: str, rule: str = "imported", least: float =
     """
     keys = [F.col(f"`{c}`") for c in df.columns if c != zones]
     names = [F.col(f"`{c}`") for c in df.columns if c != zones]
-    flat = df.select(*keys, F.posexplode(zones).alias("pos", "z")).filter(non_blank(F.col("z.label")))
+    # The outer form: for the plain one Spark infers a filter on the array, which would build it twice.
+    flat = df.select(*keys, F.posexplode_outer(zones).alias("pos", "z")).filter(non_blank(F.col("z.label")))
     limit = (lambda n: n) if rule == "stored" else clamp
     label = trimmed(F.col("z.label"))
     out = flat.select(*names, "pos", *_numbers(F.col("z"), limit), (F.substring(label, 1, 60) if rule == "stored" else label).alias("label"))
     if rule == "stored":
         return out
-    floor = F.lit(least if rule == "drawn" else 0.0)
-    return out.filter((F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") >= floor) & (F.col("height") >= floor))
+    large = (lambda c: F.col(c) >= least) if rule == "drawn" and least > 0 else (lambda c: F.col(c) > 0)
+    return out.filter(large("width") & large("height"))
 
 
 def zone_count(zones: Column) -> Column:
