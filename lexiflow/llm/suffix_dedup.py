@@ -321,9 +321,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     spans = None
     for width in (*WIDTHS, None):
         twice = rows.groupBy("anchor").agg(F.sum("copies").alias("c")).filter("c > 1").select("anchor")
-        near = rows.join(twice, "anchor", "left_semi")
+        # A few rows of other anchors may pass here: they are classes of their own, alone with their anchor, and drop out.
+        near = likely(rows, twice, "anchor")
         classes = stored(near.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "mark", "lo", "n", "place")).alias("one")), "classes")
-        whole = rows.join(classes.filter("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("mark", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+        several_copies = classes.filter("copies > 1").select("anchor", "content", F.xxhash64("anchor", "content").alias("name"))
+        some = likely(rows.withColumn("name", F.xxhash64("anchor", "content")), several_copies, "name")
+        whole = some.join(several_copies.select("anchor", "content"), ["anchor", "content"], "left_semi").select("mark", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
         counts = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
         several = classes.join(counts, "anchor").select("anchor", "k", "copies", "one.*", (F.col("copies") == 1).alias("single"))
         few = F.col("k") <= hot if width else F.lit(True)
