@@ -166,6 +166,13 @@ s(user_id, i, event_id, round, placed, free, target, piece, shown, hit, asked) A
  FROM (SELECT *, CASE WHEN ignored OR piece <> tgt THEN held ELSE list_append(held, piece) END AS now FROM (SELECT *, CASE WHEN NOT ignored AND target IS NULL THEN list_sort([md5(user_id || '|' || rnd || '|0|' || x) || x for x in ['0-0', '0-1', '1-0', '1-1']])[1][33:] ELSE target END AS tgt FROM
   (SELECT *, CASE WHEN NOT ignored AND target IS NULL THEN round + 1 ELSE round END AS rnd, CASE WHEN NOT ignored AND target IS NULL THEN [] ELSE placed END AS held FROM (SELECT s.user_id, n.i, n.event_id, n.us, n.piece, s.round, s.placed, s.free, s.target, free IS NOT NULL AND n.us < free AS ignored FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)))))
 SELECT user_id, event_id, round, piece, hit AS placed, asked AS target FROM s WHERE i > 0 AND shown""",
+    "memory_turns": f"""WITH RECURSIVE {_E}, n AS (SELECT *, row_number() OVER {_W} AS i, event_id % 6 AS card, event_id % 3 AS face FROM e),
+s(user_id, i, matched, k, c, f, free, a, b, same) AS (SELECT user_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+ SELECT user_id, i, CASE WHEN turned AND f = face THEN list_concat(held, [card, c]) ELSE held END, CASE WHEN skipped THEN k WHEN k IS NULL THEN event_id END, CASE WHEN skipped THEN c WHEN k IS NULL THEN card END, CASE WHEN skipped THEN f WHEN k IS NULL THEN face END,
+  CASE WHEN turned THEN us + CASE WHEN f = face THEN {4 * HOUR} + CASE WHEN len(held) = 4 THEN {30 * HOUR} ELSE 0 END ELSE {11 * HOUR} END ELSE free END, CASE WHEN turned THEN k END, CASE WHEN turned THEN event_id END, CASE WHEN turned THEN f = face END
+ FROM (SELECT *, NOT skipped AND k IS NOT NULL AS turned FROM (SELECT *, ignored OR list_contains(held, card) OR (k IS NOT NULL AND c = card) AS skipped FROM (SELECT *, CASE WHEN NOT ignored AND len(matched) = 6 THEN []::BIGINT[] ELSE matched END AS held FROM
+  (SELECT s.user_id, n.i, n.us, n.event_id, n.card, n.face, s.matched, s.k, s.c, s.f, s.free, s.free IS NOT NULL AND n.us < s.free AS ignored FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)))))
+SELECT user_id, a AS first, b AS second, same AS match FROM s WHERE a IS NOT NULL""",
     "auto_turns": f"WITH {_E}, n AS (SELECT *, event_id % 6 AS page, lead(us) OVER {_W} - us AS gap FROM e), t AS (SELECT event_id, page, least(5 - page, coalesce(gap // {3 * HOUR}, 5 - page))::BIGINT AS turns FROM n) SELECT *, page + turns AS page_after FROM t",
     "page_visits": f"WITH {_E}, n AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER {_W} THEN 0 ELSE 1 END AS b FROM e), v AS (SELECT *, sum(b) OVER {_W} AS visit FROM n) SELECT event_id, visit::BIGINT AS visit, row_number() OVER (PARTITION BY user_id, visit ORDER BY us, event_id) - 1 AS place FROM v",
     "confetti": """WITH u AS (SELECT event_id, ('0x' || md5('dur|' || event_id)[1:8])::BIGINT / 4294967296.0::DOUBLE AS a, ('0x' || md5('del|' || event_id)[1:8])::BIGINT / 4294967296.0::DOUBLE AS b, ('0x' || md5('life|' || event_id)[1:8])::BIGINT / 4294967296.0::DOUBLE * 2 - 1.2 AS life FROM events)

@@ -298,7 +298,8 @@ FROM (SELECT p_partkey, {_list([*(e for e, _ in CHARACTERS), '🐭'])}[p_partkey
 a AS (SELECT * FROM (SELECT *, 0 AS k FROM f UNION ALL SELECT *, 1 FROM o) ORDER BY k, md5('s2|' || p_partkey), p_partkey LIMIT 6) SELECT p_partkey, p_size, row_number() OVER (ORDER BY md5('s2|again|' || p_partkey), p_partkey) AS place FROM a""",
     "jigsaw_pieces": _PIECES + """SELECT r || '-' || c AS id, 'M' || string_agg(printf('%.2f', x) || ' ' || printf('%.2f', y), ' L' ORDER BY pos) || ' Z' AS d, round(c * 100 - (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS x, round(r * (400.0::DOUBLE / 3) - (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS y,
  round(100 + 2 * (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS w, round(400.0::DOUBLE / 3 + 2 * (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS h, c * 100 + 50.0::DOUBLE AS home_x, round(r * (400.0::DOUBLE / 3) + 400.0::DOUBLE / 6, 6) AS home_y FROM o GROUP BY r, c""",
-    "fixed_decimals": "SELECT l_orderkey, l_linenumber, printf('%.2f', x) AS two, printf('%.1f', x) AS one FROM (SELECT *, l_extendedprice * (l_discount - 0.05::DOUBLE) / 7 AS x FROM lineitem)",
+    # Only eighths and quarters are ties in binary; they go away from zero.
+    "fixed_decimals": "SELECT l_orderkey, l_linenumber, printf('%.2f', x + CASE WHEN x * 8 = floor(x * 8) AND (x * 8)::BIGINT % 2 <> 0 THEN sign(x) * 0.001 ELSE 0 END) AS two, printf('%.1f', x + CASE WHEN x * 4 = floor(x * 4) AND (x * 4)::BIGINT % 2 <> 0 THEN sign(x) * 0.01 ELSE 0 END) AS one FROM (SELECT *, l_extendedprice * (l_discount - 0.05::DOUBLE) / 7 AS x FROM lineitem)",
     "layer_delays": """SELECT l_orderkey, l_linenumber, l_partkey - 10.0::DOUBLE AS "left", l_suppkey - l_quantity AS top, l_quantity AS width, l_quantity * 2 AS height, least(l_partkey, l_suppkey) AS box_left, abs(l_suppkey - l_partkey) AS box_width, abs(l_quantity::BIGINT - l_suppkey) AS box_height,
  round(least(l_linenumber * 3, 10) * 0.05::DOUBLE, 6) AS stagger, round((l_partkey % 6) * 0.35::DOUBLE, 6) AS sway, round(0.2::DOUBLE + l_linenumber * 0.15::DOUBLE, 6) AS fade FROM lineitem""",
     "url_rewrite": r"SELECT page_id, CASE WHEN contains(u, 'Open.example.org/') THEN split_part(replace(u, 'Open.example.org/', 'open.example.org/embed/'), '?', 1) ELSE u END AS link, CASE WHEN regexp_matches(url, '(?i)example\.org') THEN 'embed' ELSE 'audio' END AS type FROM (SELECT page_id, url, replace(url, 'example', 'Open.example') AS u FROM pages)",
