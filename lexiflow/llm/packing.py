@@ -25,7 +25,6 @@ are not read, so clashing names do no harm.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from functools import lru_cache
 
@@ -57,14 +56,16 @@ KNOWN = {
     },
     "end": "</w>",
 }
-_capital_before_other = re.compile(r"[A-Z][^\x00-\x7F]").search
+#: First bytes in UTF-8 of U+0300 to U+037F, where all marks lie that have a composed form with an ASCII letter.
+MARK_BYTES = (b"\xcc", b"\xcd")
 
 
 def _cut(text: str) -> list[bytes]:
     """Pieces between ASCII white space, in lower case where that gives the same ids."""
-    if text.isascii() or not _capital_before_other(text):
-        return text.encode().lower().split()
-    return [p.lower() if p.isascii() else p for p in text.encode().split()]
+    raw = text.encode()
+    if MARK_BYTES[0] in raw or MARK_BYTES[1] in raw:
+        return [p.lower() if p.isascii() else p for p in raw.split()]
+    return raw.lower().split()
 
 
 class PieceEncoder:
@@ -72,8 +73,8 @@ class PieceEncoder:
 
     White space is a stable boundary of the tokenizer, and so is the edge between an ASCII letter or digit and the run of
     ``TAIL`` characters that ends a piece (no pre-split reaches over it). ASCII letters are lower-cased beforehand, but for
-    pieces with other characters in a text where one stands right behind a capital letter: NFC comes before lower case,
-    and a capital may have no composed form where its small letter has one. A text that might hold a special token goes to
+    pieces with other characters in a text that has combining marks: NFC comes before lower case, and a capital may have
+    no composed form where its small letter has one. A text that might hold a special token goes to
     the library whole. New pieces of lower-case Latin letters are one word each, and a word's last token, and no other,
     has the end mark; so they are encoded ``TOGETHER`` and cut behind these tokens.
 
