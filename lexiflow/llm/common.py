@@ -24,15 +24,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
+def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it back; ``level`` is that of compression.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation. The files go when the
     driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

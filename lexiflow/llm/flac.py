@@ -31,7 +31,7 @@ from .common import byte_blocks, named, stored
 
 BLOCK = 192
 SEEK_FRAMES = 256
-ORDERS, PRECISION = (1, 3), 5
+ORDERS, PRECISION = (1, 3), 4
 PCM_BLOCK = 64 * BLOCK
 BLOCK_BYTES = 2 << 20
 RATE_CODE, RATE = 4, 8000
@@ -598,7 +598,7 @@ def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             columns = (pa.array(size, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=names)
 
-    media = stored(encode_media(df.select(named(key).alias("key"), named(text).alias("text")), "key", "text"), "media")
+    media = stored(encode_media(df.select(named(key).alias("key"), named(text).alias("text")), "key", "text"), "media", level=9)
     out = media.mapInArrow(run, f"key {dict(df.dtypes)[key]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
     return out.withColumnRenamed("key", key)
 
