@@ -76,7 +76,7 @@ class PieceEncoder:
     pieces with other characters in a text that has combining marks: NFC comes before lower case, and a capital may have
     no composed form where its small letter has one. A text that might hold a special token goes to
     the library whole. New pieces of lower-case Latin letters are one word each, and a word's last token, and no other,
-    has the end mark; so they are encoded ``TOGETHER`` and cut behind these tokens.
+    has the end mark; so they are encoded ``TOGETHER``, without normalising, and cut behind these tokens.
 
     All this holds for a tokenizer with the settings in ``KNOWN``; with another one all texts go to the library whole.
     """
@@ -90,6 +90,13 @@ class PieceEncoder:
         own = json.loads(self.tk.to_str())
         added = [a["content"] for a in own["added_tokens"]]
         self.known = {"normalizer": own["normalizer"], "splits": own["pre_tokenizer"], "end": own["model"].get("end_of_word_suffix")} == KNOWN and all(a.startswith("<|") for a in added)
+        self.words = self.tk
+        if self.known:
+            # For words that normalising and splitting leave as they are: the same model without these two.
+            from tokenizers import Tokenizer
+
+            plain = [{"type": "WhitespaceSplit"}, KNOWN["splits"]["pretokenizers"][1]]
+            self.words = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": plain}, "added_tokens": []}))
         self.id_bytes = 2 if len(self.ends) <= 1 << 16 else 4
 
     def _learn(self, new: list[bytes]) -> None:
@@ -108,7 +115,7 @@ class PieceEncoder:
         for t, e in zip(others, self.tk.encode_batch_fast(others, add_special_tokens=False)):
             stems[t.encode()] = np.array(e.ids, "<u4").tobytes()
         if letters:
-            rows = self.tk.encode_batch_fast([" ".join(letters[i : i + TOGETHER]) for i in range(0, len(letters), TOGETHER)], add_special_tokens=False)
+            rows = self.words.encode_batch_fast([" ".join(letters[i : i + TOGETHER]) for i in range(0, len(letters), TOGETHER)], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "<u4") for e in rows])
             raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) != len(letters) + 1:
