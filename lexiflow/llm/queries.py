@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_classifier, quality_rules, spelling_variants, suffix_dedup, token_counts, url_reputation
+from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_classifier, quality_rules, spelling_variants, suffix_dedup, token_alignment, token_counts, url_reputation
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_url_reputation": url_reputation.op10_url_reputation,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
         "op13_spelling_variants": spelling_variants.op13_spelling_variants,
     }
 
