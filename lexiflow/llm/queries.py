@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_classifier, quality_rules, spelling_variants, suffix_dedup, token_alignment, token_counts, url_reputation
+from . import byte_bpe, chat_template, flac, ngram_join, packing, quality_classifier, quality_rules, secret_scan, spelling_variants, suffix_dedup, token_alignment, token_counts, url_reputation
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_url_reputation": url_reputation.op10_url_reputation,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_secret_scan": secret_scan.op12_secret_scan,
         "op13_spelling_variants": spelling_variants.op13_spelling_variants,
     }
 
