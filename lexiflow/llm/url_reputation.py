@@ -32,12 +32,18 @@ STRENGTH = (2.0, 1000.0)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``; empty where there is none."""
+    return F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_rest(url), "^[^/?#]*", 0), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """The path right behind the host; empty where ``?``, ``#`` or the end comes first."""
+    return F.regexp_extract(_rest(url), "^[^/?#]*(/[^?#]*)", 1)
 
 
 def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -152,9 +158,11 @@ def _k(t: str) -> str:
 _TWO = f"{_last_sql(2)} IN ({', '.join(repr(x) for x in SUFFIXES)})"
 _NAMES = f"CASE WHEN {_TWO} THEN {_last_sql(3)} ELSE {_last_sql(2)} END AS domain, CASE WHEN {_TWO} THEN {_last_sql(2)} ELSE {_last_sql(1)} END AS suffix"
 _FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
-ORACLE_SQL = rf"""
-WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
-           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+ORACLE_SQL = f"""
+WITH p0 AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p1 AS (SELECT page_id, rest, split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1) AS name FROM p0),
+p AS (SELECT page_id, translate(name, '{UPPER}', '{LOWER}') AS host,
+      CASE WHEN substr(rest, length(name) + 1, 1) = '/' THEN split_part(split_part(substr(rest, length(name) + 1), '?', 1), '#', 1) ELSE '' END AS path FROM p1),
 o AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
       WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
 h AS (SELECT host, {_NAMES}, sum(good)::DOUBLE AS g, count(*)::DOUBLE AS n FROM p JOIN o USING (page_id) GROUP BY host),

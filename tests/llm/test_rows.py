@@ -186,6 +186,26 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, [clean])).first().kept
 
 
+def test_url_parts(spark):
+    """A later ``://`` belongs to the query, fragment or path; by the code and by its SQL."""
+    import duckdb
+
+    parts = {
+        "http://shop.com?next=http://x/fr/": ("shop.com", ""), "http://A.com#http://x/de/": ("a.com", ""), "http://a?x=http://b/fr/": ("a", ""), "x://a/b://c?d": ("a", "/b://c"), "://": ("", ""), ":///p#q?": ("", "/p"),
+        "http://ÄB.com\n/x\ny?z": ("Äb.com\n", "/x\ny"), "//a/b": ("", ""), "": ("", ""), None: ("", ""), "u:p@h:80://z": ("z", ""), "h?://i/j": ("i", "/j"),
+    }
+    pages = spark.createDataFrame(list(enumerate(parts)), "page_id bigint, url string")
+    got = {r.page_id: r for r in url_reputation.url_verdicts(pages, spark.createDataFrame([], "page_id bigint, good int")).collect()}
+    assert [(got[i].host, got[i].path) for i in range(len(parts))] == list(parts.values())
+    assert got[0].rule is None and got[1].rule is None
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(parts)))
+    c.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    sql = {r[0]: r[1:] for r in c.execute(url_reputation.ORACLE_SQL).fetchall()}
+    assert sql == {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()}
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://A.org/x?y", "https://s.example.org/es/1", "http://example.org/en/12#a", "http://com/fr/", "x://b.com/de/?q", "nourl", None, "http://h.net", "a://b://c/d", "http://xorg/", "http://bad.host.net/1"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(50 + i, "http://bad.host.net/z", "r") for i in range(40)] + [(90 + i, "http://good.net/", "r") for i in range(40)], "page_id bigint, url string, rule string")
