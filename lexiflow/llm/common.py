@@ -90,19 +90,34 @@ def uncarried(names: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in names]
 
 
-def likely(df: DataFrame, keys: DataFrame, name: str, without: bool = False, slots: int = 1 << 17) -> DataFrame:
+#: Keys of a ``likely`` filter; beyond them nothing is broadcast. A word of 64 bits is kept for at most ``PER_WORD`` keys.
+MOST_KEYS, PER_WORD, WORDS = 50_000_000, 4, 64
+
+
+def likely(df: DataFrame, keys: DataFrame, name: str, without: bool = False, most: int = MOST_KEYS) -> DataFrame:
     """Rows of ``df`` whose 64-bit column ``name`` may be one of ``keys``, or the rest: a Bloom filter of 64-bit words.
 
-    What is broadcast has ``slots`` rows at most, however many keys there are; with very many keys more rows pass. An
-    exact join has to follow.
+    ``keys`` must be a stored table; its rows are counted first. The filter grows with them: each key sets four bits of one
+    word, and a word has four keys at most on average, so about one row in a hundred passes that is not asked for. With
+    ``most`` keys its words take 134 MB; with more, nothing is broadcast and every row passes. An exact join has to follow.
     """
-    at = free_name(df, "slot")
-    word = free_name(df, "word")
-    slot, bit = F.pmod(F.col(name), F.lit(slots)), F.expr(f"shiftleft(1L, CAST(pmod(shiftrightunsigned(`{name}`, 40), 64L) AS INT))")
-    words = F.broadcast(keys.select(slot.alias(at), bit.alias("bit")).groupBy(at).agg(F.bit_or("bit").alias(word)))
-    found = df.withColumn(at, slot).join(words, at, "left" if without else "inner")
-    may = F.coalesce(F.col(word).bitwiseAND(bit) != 0, F.lit(False))
-    return found.filter(~may if without else may).drop(at, word)
+    n = keys.count()
+    if n > most:
+        return df.filter(F.lit(not without))
+    words = 1 << max(6, (max(n, 1) - 1).bit_length() - PER_WORD.bit_length() + 1)
+    at, of = free_name(df, "chunk"), free_name(df, "words")
+    h = F.xxhash64(named(name))
+    word = F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(words - 1))
+    bits = F.lit(0).cast("long")
+    for i in range(4):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    chunk, place = F.shiftrightunsigned(word, 6).cast("int"), word.bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    held = keys.select(chunk.alias(at), place.alias("place"), bits.alias("bits")).groupBy(at, "place").agg(F.bit_or("bits").alias("bits"))
+    held = held.groupBy(at).agg(F.map_from_entries(F.collect_list(F.struct("place", "bits"))).alias("m"))
+    held = held.select(at, F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias(of))
+    found = df.withColumn(at, chunk).join(F.broadcast(held), at, "left")
+    may = F.coalesce(F.get(of, place).bitwiseAND(bits) == bits, F.lit(False))
+    return found.filter(~may if without else may).drop(at, of)
 
 
 _memory: dict = {}

@@ -19,14 +19,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: larger neighbours of u, to the smallest neighbour of u (or u).
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # The least ones are written, so that the joins share their shuffle with no aggregate and Spark can split a hot node.
+        least = nearest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(e.join(least, "u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = stored(large, "large")
         # Small star: smaller neighbours of u and u itself, to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         before, e = e, stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.countDistinct("u").alias("d")).first()
-        discard(before)
+        for old in (before, nearest, large, least):
+            discard(old)
         state = (now["n"], now["h"])
         if state == last or now["n"] == 0:
             break

@@ -452,8 +452,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     candidates = connected_components(stars(rare_keys(shared_keys(class_keys(docs, k, percent)))))
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("least"), F.min(F.struct("row", "mark")).alias("one"), F.max("n").alias("n"))
     clusters = stored(candidates.select(F.col("node").alias("class"), "root").join(classes, "class"), "clusters")
-    sizes = clusters.groupBy("root").agg(((F.count("*") > unit) | (F.sum("n") > unit_shingles)).alias("split"))
+    # Written, like all aggregates that rows are joined to: Spark then can split a root or a text that is very common.
+    sizes = stored(clusters.groupBy("root").agg(((F.count("*") > unit) | (F.sum("n") > unit_shingles)).alias("split")), "sizes")
     asked = clusters.join(sizes, "root").select("class", "root", "n", "split", "one.row", "one.mark", F.xxhash64("one.row", "one.mark").alias("name"))
+    asked = stored(asked, "asked")
     # Only texts that a cluster may have asked for are shuffled.
     texts = likely(docs.select("row", "mark", "text", F.xxhash64("row", "mark").alias("name")), asked, "name").drop("name")
     members = stored(texts.join(asked.drop("name"), ["row", "mark"]).select("class", "root", "n", "split", "text"), "members")
@@ -464,7 +466,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
         links = links.unionAll(joined.select("node", "root").toDF("a", "b").filter("a <> b"))
     # Each class points at one root; the smallest key of a component is that of all classes that point there.
     to_root = clusters.select("class", "least").join(links.select(F.col("a").alias("class"), F.col("b").alias("to")), "class", "left").withColumn("to", F.coalesce("to", "class"))
-    least = to_root.groupBy("to").agg(F.min("least").alias("component"))
+    to_root = stored(to_root, "to-root")
+    least = stored(to_root.groupBy("to").agg(F.min("least").alias("component")), "least")
     found = to_root.join(least, "to").select("class", "component")
     answers = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component", "least").alias("component"))
     # Written, so that the last join shares its shuffle with no aggregate and Spark can split a class of very many copies.

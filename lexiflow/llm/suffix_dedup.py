@@ -307,7 +307,7 @@ def _cut_contexts(texts: DataFrame, length: int) -> DataFrame:
 
 def _asked(contexts: DataFrame, long: DataFrame, *fields: str) -> DataFrame:
     """The texts of ``long`` that own some of the contexts, with these as ``asked``; other texts aren't shuffled."""
-    asked = contexts.groupBy("row", "mark").agg(F.collect_list(F.struct(*fields)).alias("asked")).withColumn("name", F.xxhash64("row", "mark"))
+    asked = stored(contexts.groupBy("row", "mark").agg(F.collect_list(F.struct(*fields)).alias("asked")).withColumn("name", F.xxhash64("row", "mark")), "asked")
     return likely(long.withColumn("name", F.xxhash64("row", "mark")), asked, "name").drop("name").join(asked.drop("name"), ["row", "mark"])
 
 
@@ -321,13 +321,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     spans = None
     for width in (*WIDTHS, None):
         twice = rows.groupBy("anchor").agg(F.sum("copies").alias("c")).filter("c > 1").select("anchor")
+        twice = stored(twice, "twice")
         # A few rows of other anchors may pass here: they are classes of their own, alone with their anchor, and drop out.
         near = likely(rows, twice, "anchor")
         classes = stored(near.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "mark", "lo", "n", "place")).alias("one")), "classes")
-        several_copies = classes.filter("copies > 1").select("anchor", "content", F.xxhash64("anchor", "content").alias("name"))
+        several_copies = stored(classes.filter("copies > 1").select("anchor", "content", F.xxhash64("anchor", "content").alias("name")), "copies")
         some = likely(rows.withColumn("name", F.xxhash64("anchor", "content")), several_copies, "name")
         whole = some.join(several_copies.select("anchor", "content"), ["anchor", "content"], "left_semi").select("mark", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-        counts = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
+        # Written, so that the join below shares its shuffle with no aggregate and Spark can split a hot anchor.
+        counts = stored(classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "counts")
         several = classes.join(counts, "anchor").select("anchor", "k", "copies", "one.*", (F.col("copies") == 1).alias("single"))
         few = F.col("k") <= hot if width else F.lit(True)
         merged = merged_contexts(_cut_contexts(_asked(several.filter(few), long, "anchor", "lo", "n", "single").select("mark", "text", "asked"), length), length)
