@@ -34,11 +34,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import byte_blocks, remembered, stored
 
 #: Bytes of text in a block; pieces and bytes of them beyond which the memory starts anew.
-BLOCK_BYTES, REMEMBERED, HELD = 4 << 20, 250_000, 32 << 20
+BLOCK_BYTES, REMEMBERED, HELD = 4 << 20, 400_000, 32 << 20
 #: Links of a group beyond which it goes by its distinct ids.
 WIDE = 1 << 16
 #: Pairs that a task merges before it passes them on, and pairs in a row of a shard.
 MERGED, CHUNK = 2_000_000, 1 << 16
+INNER = re.compile(r"[^\s\u180e]{2}")
+#: Pieces in a call of the libraries.
+ROW = 64
 CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 
 
@@ -87,23 +90,48 @@ class Aligner:
         self.bad: set[int] = set()  # pieces that the tokens don't give back
         self.held = 0
 
-    def _learn(self, new: list[str]):
-        """Encode and align pieces, all of which start with a space."""
+    def _together(self, new: list[str], raw: list[bytes]):
+        """Ids of both sides and their numbers for each piece, encoded ``ROW`` pieces to a call; None if a piece is not given back."""
+        import numpy as np
+
+        rows = ["".join(new[i : i + ROW]) for i in range(0, len(new), ROW)]
+        ids_a = list(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(rows, add_special_tokens=False)))
+        ids_b = list(chain.from_iterable(self.b.encode([r[1:] for r in rows], num_threads=1)))
+        whole, ends = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw)).cumsum()
+        out = []
+        for ids, tokens, size in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b)):
+            if b"".join(map(tokens.__getitem__, ids)) != whole:
+                return None
+            ids = np.array(ids, np.int64)
+            stops = size[ids].cumsum()
+            to = stops.searchsorted(ends)
+            if (stops[to] != ends).any():
+                return None
+            out.append((ids, np.diff(to + 1, prepend=0)))
+        (a, n_a), (b, n_b) = out
+        return a, b, n_a, n_b
+
+    def _learn(self, new: list[str], together: bool):
+        """Encode and align pieces, all of which start with a space; ``together``: those that may stand side by side in a text."""
         import numpy as np
 
-        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        ids_b = self.b.encode([p[1:] for p in new], num_threads=1)
         at, raw = len(self.texts), [p.encode() for p in new]
         self.held += sum(map(len, raw))
         while len(self.sums) < at + len(new):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        good = [i for i, r in enumerate(raw) if b"".join(map(self.bytes_b.__getitem__, ids_b[i])) == r and b"".join(map(self.bytes_a.__getitem__, ids_a[i])) == r]
         texts, pairs, times = [""] * len(new), [b""] * len(new), [None] * len(new)
-        if len(good) < len(new):
+        good, found = list(range(len(new))), together and self._together(new, raw)
+        if not found:
+            ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+            ids_b = self.b.encode([p[1:] for p in new], num_threads=1)
+            good = [i for i, r in enumerate(raw) if b"".join(map(self.bytes_b.__getitem__, ids_b[i])) == r and b"".join(map(self.bytes_a.__getitem__, ids_a[i])) == r]
             self.bad.update(at + i for i in set(range(len(new))).difference(good))
         if good:
-            n_a, n_b = (np.array([len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
-            a, b = (np.fromiter(chain.from_iterable(map(ids.__getitem__, good)), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+            if found:
+                a, b, n_a, n_b = found
+            else:
+                n_a, n_b = (np.array([len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
+                a, b = (np.fromiter(chain.from_iterable(map(ids.__getitem__, good)), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
             end_a, end_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
             common = np.intersect1d(end_a, end_b)
             g_a, g_b = common.searchsorted(end_a), common.searchsorted(end_b)
@@ -160,9 +188,12 @@ class Aligner:
             self._forget()
         cut = [CUT.split(t) if t else [] for t in texts]
         known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        for k in range(0, len(new), 1 << 14):
-            known.update(zip(new[k : k + (1 << 14)], self._learn([" " + p for p in new[k : k + (1 << 14)]])))
+        new = set().union(*cut).difference(known)
+        # Only a text's first and last piece may have white space at an end.
+        edges = {p for ps in cut if ps for p in (ps[0], ps[-1]) if p in new and not (p and INNER.fullmatch(p[0] + p[-1]))}
+        for pieces, together in ((list(new - edges), True), (list(edges), False)):
+            for k in range(0, len(pieces), 1 << 14):
+                known.update(zip(pieces[k : k + (1 << 14)], self._learn([" " + p for p in pieces[k : k + (1 << 14)]], together)))
         out = [list(map(known.__getitem__, ps)) for ps in cut]
         return [[] if not self.bad.isdisjoint(x) else x for x in out] if self.bad else out
 
