@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import cooldown_stream, dwell_stream, funnel_stream
-from ..streaming.replay import replayed
+from ..sources.tables import table
+from ..streaming.replay import dealt, replayed
 
 HOUR = 3_600_000
+#: Files of a late stream, and its delay.
+FILES, LATE = 6, 24 * HOUR
 
 
 def _events(stream):
@@ -16,20 +19,38 @@ def _events(stream):
     return stream.select("user_id", element.alias("element_id"), F.when(F.col("event_type") == "view", "enter").otherwise(F.col("event_type")).alias("event_type"), F.col("ts").cast("timestamp").alias("ts"))
 
 
+def _closed(spark, d, files=1, late=HOUR):
+    """Pattern of events in files that a stream reads one by one, with a last row that ends the wait for late ones."""
+    return dealt(table(spark, d, "events"), "ts", "event_id", files, late * 1000)
+
+
 def dwell_replay(spark, d):
     """Dwells of four hours; those that nothing ends fire once the watermark, an hour behind, has passed them."""
     return replayed(spark, f"{d}/events.parquet", lambda s: dwell_stream(_events(s), 4 * HOUR, "1 hour"))
 
 
 def cooldown_replay(spark, d):
-    return replayed(spark, f"{d}/events.parquet", lambda s: cooldown_stream(_events(s), 24 * HOUR, "1 hour"))
+    return replayed(spark, _closed(spark, d), lambda s: cooldown_stream(_events(s), 24 * HOUR, "1 hour"), 1)
 
 
 def funnel_replay(spark, d):
-    return replayed(spark, f"{d}/events.parquet", lambda s: funnel_stream(_events(s), ["enter", "click", "purchase"], "1 hour"))
+    return replayed(spark, _closed(spark, d), lambda s: funnel_stream(_events(s), ["enter", "click", "purchase"], "1 hour"), 1)
+
+
+def dwell_late(spark, d):
+    """Dwells of eight hours from files whose rows come up to a day late."""
+    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: dwell_stream(_events(s), 8 * HOUR, "24 hours"), 1)
+
 
+def cooldown_late(spark, d):
+    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: cooldown_stream(_events(s), 16 * HOUR, "24 hours"), 1)
 
-QUERIES = {f.__name__: f for f in (dwell_replay, cooldown_replay, funnel_replay)}
+
+def funnel_late(spark, d):
+    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: funnel_stream(_events(s), ["enter", "click", "enter", "purchase", "error"], "24 hours"), 1)
+
+
+QUERIES = {f.__name__: f for f in (dwell_replay, cooldown_replay, funnel_replay, dwell_late, cooldown_late, funnel_late)}
 
 _E = "e AS (SELECT event_id, user_id, 'e' || event_id % 3 AS element_id, CASE WHEN event_type = 'view' THEN 'enter' ELSE event_type END AS kind, epoch_us(ts) // 1000 AS ms FROM events)"
 SQL = {
@@ -42,4 +63,13 @@ SELECT user_id, element_id, ms AS fired_ms FROM f""",
 b AS (SELECT e.user_id, arg_min(e.element_id, e.ms) AS element_id, min(e.ms) AS ms FROM e JOIN a USING (user_id) WHERE kind = 'click' AND e.ms > a.ms GROUP BY 1),
 c AS (SELECT e.user_id, arg_min(e.element_id, e.ms) AS element_id, min(e.ms) AS ms FROM e JOIN b USING (user_id) WHERE kind = 'purchase' AND e.ms > b.ms GROUP BY 1)
 SELECT user_id, element_id, ms AS fired_ms FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+    "dwell_late": f"""WITH {_E}, n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id, element_id ORDER BY ms) AS nxt FROM e)
+SELECT user_id, element_id, ms + {8 * HOUR} AS fired_ms FROM n WHERE kind = 'enter' AND (nxt - ms >= {8 * HOUR} OR nxt IS NULL)""",
+    "cooldown_late": f"""WITH RECURSIVE {_E}, f AS (SELECT user_id, element_id, ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS r FROM e) WHERE r = 1
+ UNION ALL SELECT n.user_id, n.element_id, n.ms FROM f, LATERAL (SELECT * FROM e x WHERE x.user_id = f.user_id AND x.ms - f.ms >= {16 * HOUR} ORDER BY ms LIMIT 1) n)
+SELECT user_id, element_id, ms AS fired_ms FROM f""",
+    "funnel_late": f"""WITH RECURSIVE {_E}, s AS (SELECT * FROM (VALUES (1, 'enter'), (2, 'click'), (3, 'enter'), (4, 'purchase'), (5, 'error')) t(i, kind)),
+f AS (SELECT user_id, arg_min(element_id, ms) AS element_id, min(ms) AS ms, 1 AS i FROM e WHERE kind = 'enter' GROUP BY 1
+ UNION ALL SELECT n.user_id, n.element_id, n.ms, n.i FROM f, LATERAL (SELECT e.user_id, e.element_id, e.ms, s.i FROM e JOIN s ON s.i = f.i + 1 AND s.kind = e.kind WHERE e.user_id = f.user_id AND e.ms > f.ms ORDER BY e.ms LIMIT 1) n)
+SELECT user_id, element_id, ms AS fired_ms FROM f""",
 }

@@ -1,4 +1,4 @@
-"""Event operators on Structured Streaming: keyed state with event-time order inside a micro-batch and time-outs."""
+"""Event operators on Structured Streaming: keyed state in the order of event time, across micro-batches, and timers."""
 
 from .gaze import dwell_stream, cooldown_stream, funnel_stream
 

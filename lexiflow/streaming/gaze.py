@@ -1,8 +1,12 @@
-"""Dwell, cooldown and funnel as keyed state machines.
+"""Dwell, cooldown and funnel as keyed state machines in the order of event time.
 
-Input streams have (user_id, element_id, event_type, ts). Events of a key are taken in the order of ``ts``; those later
-than the watermark are dropped by Spark. State is three numbers for each key. A dwell that nothing ends fires through an
-event-time time-out once the watermark has passed its due time.
+Input streams have (user_id, element_id, event_type, ts). Rows of a micro-batch, and micro-batches among each other, may
+come in any order within the watermark's delay: a key's events wait in its state, and an event-time timer releases them,
+sorted by (ts, event_type, element_id), once the watermark has reached them. What comes later than the watermark is
+dropped by Spark. The same timer fires what is due without an event (a dwell) and forgets what has no more effect, so
+state is the events of one delay and a few numbers for each key that is active.
+
+The state store must be able to hold several states of a key (``spark.sql.streaming.stateStore.providerClass``: RocksDB).
 """
 
 from __future__ import annotations
@@ -11,81 +15,167 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "user_id bigint, element_id string, fired_ms bigint"
+#: How long a funnel waits for its next step in event time.
+IDLE_MS = 365 * 24 * 3_600_000
 
 
-def _ms(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[ms]").astype("int64")
+class Dwell:
+    """An ``enter`` that no other event of its key ends for ``hold_ms`` fires once."""
 
+    schema = "open_at bigint"
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple[int, str, str]]:
-    """(ms, type, element) of a key's new events, in order of time."""
-    rows: list[tuple[int, str, str]] = []
-    for f in frames:
-        rows += zip(_ms(f["ts"]).tolist(), f["event_type"].tolist(), f["element_id"].tolist())
-    return sorted(rows)
+    def __init__(self, hold_ms: int):
+        self.hold_ms = hold_ms
 
+    def step(self, state, ms: int, kind: str, element: str):
+        fired = None
+        if state and ms - state[0] >= self.hold_ms:
+            fired = state[0] + self.hold_ms
+        return ((ms,) if kind == "enter" else None), fired
 
-def dwell_stream(events: DataFrame, hold_ms: int = 1500, delay: str = "1 minute") -> DataFrame:
-    """An ``enter`` that no leave, down, cancel or other enter of the same element ends for ``hold_ms`` fires once."""
+    def due(self, state) -> int:
+        return state[0] + self.hold_ms
+
+    def at(self, state):
+        return None, state[0] + self.hold_ms
+
+
+class Cooldown:
+    """Events less than ``pause_ms`` after one that fired are ignored."""
+
+    schema = "last bigint"
+
+    def __init__(self, pause_ms: int):
+        self.pause_ms = pause_ms
+
+    def step(self, state, ms: int, kind: str, element: str):
+        if state and ms - state[0] < self.pause_ms:
+            return state, None
+        return (ms,), ms
+
+    def due(self, state) -> int:
+        return state[0] + self.pause_ms
+
+    def at(self, state):
+        return None, None
+
+
+class Funnel:
+    """``steps`` taken in their order, each firing; a funnel ends ``idle_ms`` after its last step, and another may begin."""
+
+    schema = "done bigint, last bigint"
+
+    def __init__(self, steps: list[str], idle_ms: int):
+        self.steps, self.idle_ms = steps, idle_ms
+
+    def step(self, state, ms: int, kind: str, element: str):
+        done, last = state or (0, ms)
+        if ms - last >= self.idle_ms:
+            done, state = 0, None
+        if done < len(self.steps) and kind == self.steps[done]:
+            return (done + 1, ms), ms
+        return state, None
+
+    def due(self, state) -> int:
+        return state[1] + self.idle_ms
 
-    def step(key, frames, state: GroupState):
-        fired = []
-        open_at = state.get[0] if state.exists else -1
-        if state.hasTimedOut:
-            fired, open_at = [open_at + hold_ms], -1
+    def at(self, state):
+        return None, None
+
+
+class InOrder(StatefulProcessor):
+    """Runs a machine over each key's events in the order of event time.
+
+    A machine has ``step(state, ms, kind, element)`` and ``at(state)`` for the moment ``due(state)``, both giving the next
+    state (None: nothing to remember) and when something fired or None.
+    """
+
+    def __init__(self, machine):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ms bigint, kind string, element string")
+        self.state = handle.getValueState("state", self.machine.schema)
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _wake(self, ms: int | None) -> None:
+        """Keep one timer for the key, at ``ms``."""
+        old = self.timer.get() if self.timer.exists() else None
+        if ms == (old and old[0]):
+            return
+        if old:
+            self.handle.deleteTimer(old[0])
+        if ms is None:
+            self.timer.clear()
         else:
-            for ms, kind, _ in _ordered(frames):
-                if open_at >= 0 and ms - open_at >= hold_ms:
-                    fired.append(open_at + hold_ms)
-                    open_at = -1
-                open_at = ms if kind == "enter" else -1
-        if open_at < 0:
-            if state.exists:
-                state.remove()
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for f in rows:
+            new += zip(f["ts"].astype("datetime64[ms]").astype("int64").tolist(), f["event_type"].tolist(), f["element_id"].tolist())
+        self.held.appendList(new)
+        first = min(x[0] for x in new)
+        self._wake(min(first, self.timer.get()[0]) if self.timer.exists() else first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        ready = sorted((x for x in held if x[0] <= now), key=lambda x: tuple((v is not None, v) for v in x))
+        left = [x for x in held if x[0] > now]
+        state = self.state.get() if self.state.exists() else None
+        fired: list[tuple[str, int]] = []
+        for ms, kind, element in ready:
+            if state and self.machine.due(state) < ms:
+                state, at = self.machine.at(state)
+                if at is not None:
+                    fired.append((key[1] if len(key) > 1 else None, at))
+            state, at = self.machine.step(state, ms, kind, element)
+            if at is not None:
+                fired.append((element, at))
+        if state and self.machine.due(state) <= now:
+            state, at = self.machine.at(state)
+            if at is not None:
+                fired.append((key[1] if len(key) > 1 else None, at))
+        if left:
+            self.held.put(left)
         else:
-            state.update((open_at,))
-            state.setTimeoutTimestamp(max(open_at + hold_ms, state.getCurrentWatermarkMs() + 1))
+            self.held.clear()
+        if state:
+            self.state.update(tuple(state))
+        else:
+            self.state.clear()
+        wake = [x[0] for x in left] + ([self.machine.due(state)] if state else [])
+        self._wake(min(wake) if wake else None)
         if fired:
-            yield pd.DataFrame({"user_id": key[0], "element_id": key[1], "fired_ms": fired})
+            yield pd.DataFrame({"user_id": key[0], "element_id": [x[0] for x in fired], "fired_ms": [x[1] for x in fired]})
 
-    return events.withWatermark("ts", delay).groupBy("user_id", "element_id").applyInPandasWithState(step, OUT, "open_at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
-def cooldown_stream(firings: DataFrame, pause_ms: int = 1500, delay: str = "1 minute") -> DataFrame:
-    """Events of a user less than ``pause_ms`` after one that fired are ignored."""
-
-    def step(key, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        fired, names = [], []
-        for ms, _, name in _ordered(frames):
-            if last is None or ms - last >= pause_ms:
-                last = ms
-                fired.append(ms)
-                names.append(name)
-        if last is not None:
-            state.update((last,))
-        if fired:
-            yield pd.DataFrame({"user_id": key[0], "element_id": names, "fired_ms": fired})
+def in_order(events: DataFrame, by: list[str], machine, delay: str) -> DataFrame:
+    """What ``machine`` fires over each key's events, as a stream of (user_id, element_id, fired_ms)."""
+    return events.withWatermark("ts", delay).groupBy(*by).transformWithStateInPandas(InOrder(machine), OUT, "append", "eventTime")
 
-    return firings.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(step, OUT, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
+def dwell_stream(events: DataFrame, hold_ms: int = 1500, delay: str = "1 minute") -> DataFrame:
+    """An ``enter`` that no leave, down, cancel or other enter of the same element ends for ``hold_ms`` fires once."""
+    return in_order(events, ["user_id", "element_id"], Dwell(hold_ms), delay)
 
-def funnel_stream(events: DataFrame, steps: list[str], delay: str = "1 minute") -> DataFrame:
-    """(user_id, element_id, fired_ms) of each step taken in its turn; other events are ignored."""
 
-    def step(key, frames, state: GroupState):
-        at = state.get[0] if state.exists else 0
-        fired, names = [], []
-        for ms, kind, name in _ordered(frames):
-            if at < len(steps) and kind == steps[at]:
-                at += 1
-                fired.append(ms)
-                names.append(name)
-        state.update((at,))
-        if fired:
-            yield pd.DataFrame({"user_id": key[0], "element_id": names, "fired_ms": fired})
+def cooldown_stream(firings: DataFrame, pause_ms: int = 1500, delay: str = "1 minute") -> DataFrame:
+    """Events of a user less than ``pause_ms`` after one that fired are ignored; after that the user is forgotten."""
+    return in_order(firings, ["user_id"], Cooldown(pause_ms), delay)
 
-    return events.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(step, OUT, "at bigint", "append", GroupStateTimeout.NoTimeout)
+
+def funnel_stream(events: DataFrame, steps: list[str], delay: str = "1 minute", idle_ms: int = IDLE_MS) -> DataFrame:
+    """(user_id, element_id, fired_ms) of each step taken in its turn; other events are ignored."""
+    return in_order(events, ["user_id"], Funnel(steps, idle_ms), delay)

@@ -6,23 +6,63 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: State store with several states for each key and timers.
+PROVIDER, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def replayed(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows that ``make``'s stream over the Parquet files at ``path`` writes, once it has seen all of them.
 
-    Rows and state go to the folder that the session names in spark.checkpoint.dir, a local one only for a local master
-    without it.
-    """
+def scratch(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local one only for a local master without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexiflow-")
-    base = f"{root.rstrip('/')}/replay-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def replayed(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame], files_each: int | None = None) -> DataFrame:
+    """The rows that ``make``'s stream over the Parquet files at ``path`` writes, once it has seen all of them.
+
+    ``files_each``: files in a micro-batch, all by default. Rows and state go to the shared scratch folder.
+    """
+    base = f"{scratch(spark)}/replay-{uuid.uuid4().hex}"
     # A stream takes folders or patterns; as a pattern the path may be a single file too.
     folder, _, name = path.rpartition("/")
-    stream = make(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}"))
-    stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    pattern = path if "*" in path else f"{folder}/[{name[0]}]{name[1:]}"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = make((source.option("maxFilesPerTrigger", files_each) if files_each else source).parquet(pattern))
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, STORE)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def dealt(df: DataFrame, ts: str, key: str, files: int, within_us: int, close: bool = True) -> str:
+    """Write ``df`` to ``files`` folders of files that come one after the other, as a late and shuffled stream would.
+
+    Rows go by their time plus up to ``within_us`` that their key's hash says, so a row comes less than ``within_us`` after
+    later ones: inside a watermark of that delay. ``close``: a last file with one row of nulls, two delays later than all
+    others, that lets the watermark pass them. Returns the pattern of their paths.
+    """
+    spark = df.sparkSession
+    base = f"{scratch(spark)}/dealt-{uuid.uuid4().hex}"
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    lo, hi = df.agg(F.min(us), F.max(us)).first()
+    if lo is None:
+        df.write.parquet(f"{base}/file0")
+        return f"{base}/*"
+    width = (hi + within_us - lo) // files + 1
+    rows = df.withColumn("__file", F.floor((us + F.pmod(F.xxhash64(key), F.lit(within_us)) - lo) / width))
+    for i in range(files):
+        # One after the other: a stream takes files in the order of their times.
+        rows.filter(F.col("__file") == i).drop("__file").write.parquet(f"{base}/file{i}")
+    if close:
+        end = F.timestamp_micros(F.lit(hi + 2 * within_us)).cast(dict(df.dtypes)[ts])
+        spark.range(1).select(*((end if c == ts else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes)).write.parquet(f"{base}/file{files}")
+    return f"{base}/*"

@@ -4,10 +4,14 @@ from datetime import datetime, timedelta
 
 import pytest
 from lexiflow.streaming import cooldown_stream, dwell_stream, funnel_stream
+from lexiflow.streaming.replay import PROVIDER, STORE, dealt
 
 START = datetime(2024, 1, 1)
 SCHEMA = "user_id bigint, element_id string, event_type string, ts timestamp"
 
+#: Lets the watermark pass all events.
+END = [(None, None, None, 10**9)]
+
 
 def run(spark, tmp_path, batches, make):
     """The rows that ``make``'s stream writes, one file for each batch."""
@@ -17,6 +21,7 @@ def run(spark, tmp_path, batches, make):
         part = spark.createDataFrame([(u, e, k, START + timedelta(milliseconds=ms)) for u, e, k, ms in rows], SCHEMA).coalesce(1)
         part.write.mode("append").json(str(source / f"b{i}"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(source / "*"))
+    spark.conf.set(PROVIDER, STORE)
     q = make(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     base = int(START.timestamp() * 1000)
@@ -40,9 +45,53 @@ def test_dwell(utc, tmp_path):
 
 def test_cooldown(utc, tmp_path):
     rows = [(1, "c", "hit", 3000), (1, "a", "hit", 700), (1, "b", "hit", 1700), (2, "a", "hit", 0)]
-    assert run(utc, tmp_path, [rows, [(1, "d", "hit", 4400), (1, "e", "hit", 4500)]], cooldown_stream) == [(1, "a", 700), (1, "c", 3000), (1, "e", 4500), (2, "a", 0)]
+    assert run(utc, tmp_path, [rows, [(1, "d", "hit", 4400), (1, "e", "hit", 4500)], END], cooldown_stream) == [(1, "a", 700), (1, "c", 3000), (1, "e", 4500), (2, "a", 0)]
 
 
 def test_funnel(utc, tmp_path):
     held = [(1, str(i), k, 1000 * i) for i, k in enumerate("bacbc")]
-    assert run(utc, tmp_path, [held[:3][::-1], held[3:]], lambda s: funnel_stream(s, ["a", "b", "c"])) == [(1, "1", 1000), (1, "3", 3000), (1, "4", 4000)]
+    assert run(utc, tmp_path, [held[:3][::-1], held[3:], END], lambda s: funnel_stream(s, ["a", "b", "c"])) == [(1, "1", 1000), (1, "3", 3000), (1, "4", 4000)]
+
+
+def test_order_across_batches(utc, tmp_path):
+    """The step that comes a batch late, but inside the watermark, is taken; one behind the watermark is not."""
+    batches = [[(1, "x", "a", 10_000), (1, "z", "c", 30_000)], [(1, "y", "b", 20_000)], END]
+    assert run(utc, tmp_path, batches, lambda s: funnel_stream(s, ["a", "b", "c"])) == [(1, "x", 10_000), (1, "y", 20_000), (1, "z", 30_000)]
+    more = tmp_path / "behind"
+    more.mkdir()
+    batches = [[(1, "x", "a", 10_000), (1, "z", "c", 30_000), (2, "o", "a", 200_000)], [(3, "n", "c", 210_000)], [(1, "y", "b", 20_000)], END]
+    assert run(utc, more, batches, lambda s: funnel_stream(s, ["a", "b", "c"])) == [(1, "x", 10_000), (2, "o", 200_000)]
+
+
+def test_cooldown_across_batches(utc, tmp_path):
+    batches = [[(1, "c", "hit", 3000)], [(1, "a", "hit", 700)], [(1, "b", "hit", 1700)], END]
+    assert run(utc, tmp_path, batches, cooldown_stream) == [(1, "a", 700), (1, "c", 3000)]
+
+
+def test_dwell_across_batches(utc, tmp_path):
+    batches = [[(1, "a", "enter", 0), (1, "a", "enter", 5000)], [(1, "a", "leave", 900)], [(1, "a", "down", 6000)], END]
+    assert run(utc, tmp_path, batches, dwell_stream) == []
+    more = tmp_path / "held"
+    more.mkdir()
+    assert run(utc, more, [batches[0], [(1, "a", "leave", 1600)], batches[2], END], dwell_stream) == [(1, "a", 1500)]
+
+
+def test_state_expires(utc, tmp_path):
+    """A funnel is forgotten a minute after its last step; then it can begin anew."""
+    rows = [(1, "p", "a", 0), (1, "q", "b", 59_000), (1, "r", "a", 60_000), (1, "s", "a", 119_000), (1, "t", "b", 120_000)]
+    assert run(utc, tmp_path, [rows, END], lambda s: funnel_stream(s, ["a", "b"], idle_ms=60_000)) == [(1, "p", 0), (1, "q", 59_000), (1, "s", 119_000), (1, "t", 120_000)]
+
+
+def test_state_holds_active_keys_only(utc, tmp_path):
+    rows = [[(u, "e", "hit", 1000 * u) for u in range(200)], [(0, "e", "hit", 400_000)], [(0, "e", "hit", 800_000)]]
+    run(utc, tmp_path, rows, cooldown_stream)
+    state = utc.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "state"))
+    assert {r.key[0] for r in state.collect()} <= {0}
+
+
+def test_dealt_rows_come_late_across_files(utc):
+    rows = utc.range(400).selectExpr("id", "timestamp_millis(id * 60000) AS ts")
+    path = dealt(rows, "ts", "id", 5, 3600 * 10**6)
+    files = [utc.read.parquet(path.replace("*", f"file{i}")).selectExpr("min(id)", "max(id)", "count(*)").first() for i in range(5)]
+    assert sum(f[2] for f in files) == 400 and all(f[1] > g[0] for f, g in zip(files, files[1:]))
+    assert utc.read.parquet(path).count() == 401
