@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import scan
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -32,23 +34,11 @@ def progress(elapsed: Column, hold: float) -> tuple[Column, Column]:
 
 
 def cooldown(df: DataFrame, by: str, ts: str, key: str, pause_us: int) -> DataFrame:
-    """(by, key, us) of events that fire: those within ``pause_us`` after one that fired are ignored. State is one time."""
-    from .machines import folded
-
-    kind = dict(df.dtypes)
-
-    def start(actor):
-        last = None
+    """(by, key, us) of events that fire: those within ``pause_us`` after one that fired are ignored.
 
-        def step(row):
-            nonlocal last
-            if row is not None and (last is None or row[2] - last >= pause_us):
-                last = row[2]
-                yield row
-
-        return step
-
-    return folded(df.select(by, key, micros(F.col(ts)).alias("us")), by, ["us", key], f"`{by}` {kind[by]}, `{key}` {kind[key]}, us bigint", start)
+    An actor's events may be spread over many tasks, see ``scan.cooldown``.
+    """
+    return scan.cooldown(df.select(by, key, micros(F.col(ts)).alias("us")), by, key, pause_us)
 
 
 def gaze_names(df: DataFrame, by: str, ts: str, key: str, event: str, start: str, hold_us: int, pause_us: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalog, editing, events, reading, streams
+from .plans import catalog, editing, events, reading, scans, streams
 
-_MODULES = (catalog, reading, editing, events, streams)
+_MODULES = (catalog, reading, editing, events, scans, streams)
 
 
 def queries() -> dict:

@@ -1,9 +1,13 @@
-"""Parquet tables and small literal tables."""
+"""Parquet tables, small literal tables and scratch tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -11,3 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def literal(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A literal table; each row gets its ordinal as ``ord``, since order is identity where names repeat."""
     return spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], f"ord bigint, {schema}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local one only for a local master without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lexiflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the scratch folder: its plan ends here, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import scratch
+
 #: State store with several states for each key and timers.
 PROVIDER, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a local one only for a local master without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lexiflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def replayed(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame], files_each: int | None = None) -> DataFrame:
     """The rows that ``make``'s stream over the Parquet files at ``path`` writes, once it has seen all of them.
 
