@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalog, editing, events, patterns, reading, scans, streams
+from .plans import catalog, editing, events, geometry, patterns, reading, scans, streams
 
-_MODULES = (catalog, reading, editing, events, patterns, scans, streams)
+_MODULES = (catalog, reading, editing, events, geometry, patterns, scans, streams)
 
 
 def queries() -> dict:
