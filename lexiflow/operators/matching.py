@@ -41,9 +41,9 @@ def word_zone_hits(texts: DataFrame, zones: DataFrame, text: str, zone: str, lab
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key; one without an order comes last."""
     columns = df.columns
-    return df.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("r")).select("r.*")
+    return df.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(F.col(order).isNull(), F.col(order))).alias("r")).select("r.*")
 
 
 def modular_lookup(df: DataFrame, position: str, values: list[str]) -> DataFrame:
@@ -70,10 +70,11 @@ def independent_set(candidates: Column, edges: Column, size: int) -> Column:
 
 
 def slot_changes(old: DataFrame, new: DataFrame, slot: str, value: str) -> DataFrame:
-    """What has to be done for each slot: create, keep, replace or dispose."""
-    both = old.select(slot, F.col(value).alias("before")).join(new.select(slot, F.col(value).alias("after")), slot, "full")
-    action = F.when(F.col("before").isNull(), "create").when(F.col("after").isNull(), "dispose").when(F.col("before") == F.col("after"), "keep").otherwise("replace")
-    return both.withColumn("action", action)
+    """What has to be done for each slot: create, keep, replace or dispose. A slot whose value is null is a slot."""
+    here = lambda df, name, flag: df.select(slot, F.col(value).alias(name), F.lit(True).alias(flag))
+    both = here(old, "before", "__old").join(here(new, "after", "__new"), slot, "full")
+    action = F.when(F.col("__old").isNull(), "create").when(F.col("__new").isNull(), "dispose").when(F.col("before").eqNullSafe(F.col("after")), "keep").otherwise("replace")
+    return both.withColumn("action", action).drop("__old", "__new")
 
 
 def lookup_first(keys: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -90,10 +91,10 @@ def in_order(lists: DataFrame, ids: str, rows: DataFrame, key: str) -> DataFrame
 def equal_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     """(first, second) of rows with equal values, the smaller key first: each row with the next larger one of its value.
 
-    Neighbours link all rows of a value without writing all pairs down; ``same_value`` gives the groups.
+    Neighbours link all rows of a value without writing all pairs down. Rows without a value equal nothing.
     """
     w = Window.partitionBy(value).orderBy(key)
-    return df.select(F.col(key).alias("first"), F.lead(key).over(w).alias("second"), F.col(value)).filter("second IS NOT NULL")
+    return df.filter(F.col(value).isNotNull()).select(F.col(key).alias("first"), F.lead(key).over(w).alias("second"), F.col(value)).filter("second IS NOT NULL")
 
 
 def same_value(df: DataFrame, value: str, left: Column, right: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import matching as M
 from ..sources import catalog as C
-from ..sources.tables import literal, table
+from ..sources.store import Store
+from ..sources.tables import literal, scratch, table
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -49,6 +52,24 @@ def upsert_rows(spark, d):
     return C.upsert(*_customers(spark, d), "c_custkey")
 
 
+def upsert_doubled(spark, d):
+    """Orders of a customer as changes to the customer: the last one counts."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("price"), F.lit(0).cast("long").alias("orderkey"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("orderkey"))
+    return C.upsert(c, o, "c_custkey", "orderkey")
+
+
+def stored_versions(spark, d):
+    """Orders in a store of 256 buckets: changed by one in a hundred, each change given twice, then some deleted; both versions."""
+    store = Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", "o_orderkey", 256)
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.lit(0).alias("turn"))
+    store.create(o)
+    changes = o.filter("o_orderkey % 100 = 7").select(F.explode(F.array(F.lit(2), F.lit(1))).alias("turn"), F.when(F.col("o_orderkey") % 200 == 7, F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit("changed").alias("o_orderpriority"))
+    second = store.upsert(changes, "turn")
+    third = store.delete(o.filter("o_orderkey % 300 = 9").select("o_orderkey"))
+    return store.read(second).withColumn("version", F.lit(second)).unionByName(store.read(third).withColumn("version", F.lit(third)))
+
+
 def upsert_keep_old(spark, d):
     return C.upsert_keep_old(*_customers(spark, d), "c_custkey", "c_mktsegment")
 
@@ -142,7 +163,15 @@ def slot_changes(spark, d):
     return M.slot_changes(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "c_mktsegment")
 
 
-QUERIES = {f.__name__: f for f in (list_recent, list_all, point_lookup, meta_projection, upsert_rows, upsert_keep_old, upsert_in_place, append_absent, delete_cascade, validity_reason, cover_precedence, page_variant, bag_union, zones_server, zones_import, zones_editor, json_import, size_gate, slot_changes)}
+def slot_changes_nulls(spark, d):
+    """As ``slot_changes``, where some slots have no value before, after or both."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    old = c.filter("c_custkey % 3 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    new = c.filter("c_custkey % 5 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 8 > 1, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return M.slot_changes(old, new, "c_custkey", "c_mktsegment")
+
+
+QUERIES = {f.__name__: f for f in (slot_changes_nulls, upsert_doubled, stored_versions, list_recent, list_all, point_lookup, meta_projection, upsert_rows, upsert_keep_old, upsert_in_place, append_absent, delete_cascade, validity_reason, cover_precedence, page_variant, bag_union, zones_server, zones_import, zones_editor, json_import, size_gate, slot_changes)}
 
 _CHANGES = """WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer),
 u AS (SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END AS c_mktsegment FROM c WHERE c_custkey % 3 = 0
@@ -184,5 +213,11 @@ SELECT q.ord, title, page_count::BIGINT AS page_count, reason, q.pos::INT AS pos
     "zones_editor": _ZONES + "SELECT * FROM i WHERE width > 0 AND height > 0 AND width >= 3 AND height >= 3",
     "slot_changes": """SELECT coalesce(o.k, n.k) AS c_custkey, o.v AS before, n.v AS after, CASE WHEN o.k IS NULL THEN 'create' WHEN n.k IS NULL THEN 'dispose' WHEN o.v = n.v THEN 'keep' ELSE 'replace' END AS action
 FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0) n ON o.k = n.k""",
+    "slot_changes_nulls": """SELECT coalesce(o.k, n.k) AS c_custkey, o.v AS before, n.v AS after, CASE WHEN o.k IS NULL THEN 'create' WHEN n.k IS NULL THEN 'dispose' WHEN o.v IS NOT DISTINCT FROM n.v THEN 'keep' ELSE 'replace' END AS action
+FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 8 > 1 THEN c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0) n ON o.k = n.k""",
+    "upsert_doubled": "SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(price, c_acctbal) AS price, coalesce(k, 0) AS orderkey FROM customer FULL JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+    "stored_versions": """WITH v AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 200 = 7 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 200 = 7 THEN 2 ELSE 0 END AS turn FROM orders
+UNION ALL SELECT -o_orderkey, o_totalprice, 'changed', 2 FROM orders WHERE o_orderkey % 200 = 107)
+SELECT *, 2 AS version FROM v UNION ALL SELECT *, 3 FROM v WHERE o_orderkey < 0 OR o_orderkey % 300 <> 9""",
     "size_gate": "SELECT id::BIGINT AS id, printf('%.1f', (floor(id * 1048576 / 100) - 8 + 8) / 1048576.0::DOUBLE)::DOUBLE > 5.5 AS too_large FROM range(540, 560) t(id)",
 }

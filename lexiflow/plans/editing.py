@@ -213,6 +213,6 @@ FROM (VALUES {', '.join(f"({i}::BIGINT, {_q(n)}, {_q(s)})" for i, (_, n, s) in e
     "book_ids": "SELECT event_id, 'book-' || epoch_us(ts) // 1000 || '-' || lower(to_base(('0x' || md5(event_id || '|' || user_id)[1:12])::BIGINT, 36)) AS id FROM events",
     "epoch_ms": "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS past FROM events",
     "random_values": f"SELECT p_partkey, 1 + floor({_unit('n')} * 3)::INT AS n, round(CASE WHEN abs(v) < 45 THEN CASE WHEN v < 0 THEN -55 ELSE 55 END ELSE v END, 6) AS velocity FROM (SELECT p_partkey, ({_unit('vel')} - 0.5) * 150 AS v FROM part)",
-    "migrated_books": _SOURCES + """SELECT 'book-' || md5(title || chr(10) || string_agg(text, chr(10) ORDER BY turn, text)) AS id, title, '#FFD93C' AS accent, count(*)::INT AS n_pages, string_agg(CASE WHEN shown THEN 'i' ELSE '-' END, '' ORDER BY turn, text) AS images, count(*) FILTER (NOT shown)::INT AS plain, CASE WHEN kind = 1 THEN 'c' END AS coverThumb FROM c WHERE conv_id % 5 > 0 GROUP BY conv_id, kind, title""",
+    "migrated_books": _SOURCES + """SELECT 'book-' || md5(length(title) || ':' || title || '7:#FFD93C' || string_agg(length(text) || ':' || text || CASE WHEN shown THEN '1:i' ELSE '-' END, '' ORDER BY turn, text)) AS id, title, '#FFD93C' AS accent, count(*)::INT AS n_pages, string_agg(CASE WHEN shown THEN 'i' ELSE '-' END, '' ORDER BY turn, text) AS images, count(*) FILTER (NOT shown)::INT AS plain, CASE WHEN kind = 1 THEN 'c' END AS coverThumb FROM c WHERE conv_id % 5 > 0 GROUP BY conv_id, kind, title""",
     "source_elements": _SOURCES + "SELECT DISTINCT conv_id, 0::INT AS pos, CASE WHEN conv_id % 5 > 0 THEN title END AS title FROM c WHERE kind = 0",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as X, values as V
 from ..operators import matching as M, positional as P, sampling as S
@@ -68,7 +68,7 @@ def data_url_decode(spark, d):
 
 def data_url_lenient(spark, d):
     """Payloads of URLs made from texts: lines, marks and padding that strict decoding refuses."""
-    b = F.translate(F.base64(F.encode(F.substring("text", 1, 60), "utf-8")), "\r\n", "")
+    b = F.translate(F.base64(F.encode("text", "utf-8")), "\r\n", "")
     broken = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("data:image/png,x;base64,"), F.regexp_replace(b, "(.{7})", "$1 *"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("data:a/b;base64,"), F.translate(F.rtrim(b, F.lit("=")), "+/", "-_"))).when(F.col("doc_id") % 4 == 2, F.lit("data:text/plain;base64,")).otherwise(F.concat(F.lit("data:;base64,"), b))
     u = table(spark, d, "documents").select("doc_id", broken.alias("url"))
     return u.select("doc_id", X.data_url_mime(F.col("url")).alias("mime"), F.hex(X.data_url_bytes(F.col("url"))).alias("payload"))
@@ -143,8 +143,9 @@ def family_others(spark, d):
 def zip_positional(spark, d):
     n = table(spark, d, "nation")
     colours = F.array(*map(F.lit, ("#ff6b6b", "#4ecdc4", "#ffe66d")))
-    g = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    return g.select("n_regionkey", F.explode(F.slice(F.arrays_zip(F.col("names").alias("names"), colours.alias("colours")), 1, 3)).alias("z")).select("n_regionkey", "z.names", "z.colours")
+    # Only the first three of a region are kept, before the shuffle too.
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name"))
+    return n.withColumn("place", place).filter("place <= 3").select("n_regionkey", F.col("n_name").alias("names"), F.element_at(colours, F.col("place")).alias("colours"))
 
 
 def modular_lookup(spark, d):
@@ -172,17 +173,13 @@ def next_prev_wrap(spark, d):
     return P.next_and_previous(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", "turn")
 
 
-def play_next(spark, d):
-    return P.play_next(table(spark, d, "events").select("user_id", "event_id", F.substring("props", 1, 7).alias("url")), "user_id", "url", "event_id").select("user_id", "url", F.col("position").cast("long").alias("position"), "following")
-
-
 def play_previous(spark, d):
     """As ``play_next_url``, with the song before."""
     return P.play_next(table(spark, d, "events").select("user_id", "event_id", F.col("props").alias("url")), "user_id", "url", "event_id").select("user_id", "url", "preceding", "following")
 
 
 def play_next_url(spark, d):
-    """As ``play_next``, which knows urls by their first seven characters; here a url is the whole value."""
+    """Each distinct url of a user at its first position, with the one after it."""
     return P.play_next(table(spark, d, "events").select("user_id", "event_id", F.col("props").alias("url")), "user_id", "url", "event_id").select("user_id", "url", F.col("position").cast("long").alias("position"), "following")
 
 
@@ -257,7 +254,7 @@ def easing(spark, d):
     return s.select("id", F.round(V.ease_out_back(F.col("t")), 6).alias("ease"), F.round(F.sin(F.col("t")) * 4.0, 6).alias("bob"), F.least(F.col("id"), F.lit(10)).cast("double").alias("steps"), V.percent_of(F.col("id") * 5.0, F.lit(20.0), F.lit(120.0)).alias("pct"), V.placed(F.col("t"), F.lit(2.0), F.lit(1.0)).alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (word_zone_hits, all_zone_hits, tokenize, spoken_word, normalize_word, tokenize_foreign, normalize_foreign, words_of_labels, data_url_decode, data_url_lenient, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, character_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next, play_next_url, play_previous, sample_n, pick_with_must, pick_with_must_shuffled, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, jigsaw_pieces, fixed_decimals, layer_delays, easing)}
+QUERIES = {f.__name__: f for f in (word_zone_hits, all_zone_hits, tokenize, spoken_word, normalize_word, tokenize_foreign, normalize_foreign, words_of_labels, data_url_decode, data_url_lenient, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, character_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next_url, play_previous, sample_n, pick_with_must, pick_with_must_shuffled, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, jigsaw_pieces, fixed_decimals, layer_delays, easing)}
 
 _TOKENS = r"""WITH t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all({0}, '[^{1}]+') AS w FROM documents)),
 g AS (SELECT *, sum(CASE WHEN regexp_full_match(tok, '[!?.,;:…]+') AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM t),
@@ -290,7 +287,7 @@ SELECT item_id, sum(n)::BIGINT AS hits FROM z JOIN w USING (word) WHERE length(w
     "tokenize_foreign": _TOKENS.format(_FOREIGN, SPACE_SQL) + f"SELECT doc_id, pos, {_SPOKEN} AS spoken FROM k",
     "normalize_foreign": _TOKENS.format(_FOREIGN, SPACE_SQL) + f"SELECT {_NORMAL} AS word, count(*)::BIGINT AS count FROM k GROUP BY 1",
     "words_of_labels": f"SELECT doc_id, len(regexp_split_to_array({_FOREIGN}, '[{SPACE_SQL}]+'))::INT AS words FROM documents",
-    "data_url_lenient": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png,x' WHEN 1 THEN 'a/b' WHEN 2 THEN 'text/plain' END AS mime, CASE WHEN doc_id % 4 < 2 THEN hex(encode(text[1:60])) WHEN doc_id % 4 = 2 THEN '' END AS payload FROM documents""",
+    "data_url_lenient": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png,x' WHEN 1 THEN 'a/b' WHEN 2 THEN 'text/plain' END AS mime, CASE WHEN doc_id % 4 < 2 THEN hex(encode(text)) WHEN doc_id % 4 = 2 THEN '' END AS payload FROM documents""",
     "character_label": f"""SELECT p_partkey, ch AS "character", CASE {' '.join("WHEN contains(ch, '%s') THEN '%s'" % (e, n.replace("'", "''")) for e, n in CHARACTERS)} ELSE '{DEFAULT_CHARACTER}' END AS label
 FROM (SELECT p_partkey, {_list([*(e for e, _ in CHARACTERS), '🐭'])}[p_partkey % 9 + 1] || {_list([*(e for e, _ in CHARACTERS), '🐭'])}[(p_partkey // 9) % 9 + 1] AS ch FROM part)""",
     "play_previous": "SELECT user_id, url, preceding, following FROM (SELECT user_id, props AS url, lag(props) OVER (PARTITION BY user_id ORDER BY event_id) AS preceding, lead(props) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS n FROM events) WHERE n = 1",
@@ -324,7 +321,6 @@ f(n_nationkey, i, chosen) AS (SELECT n_nationkey, 0::BIGINT, [target] FROM t UNI
 SELECT n_nationkey, array_to_string(arg_max(chosen, i), ',') AS chosen FROM f GROUP BY n_nationkey""",
     "page_ordinals": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS pages FROM conversations",
     "next_prev_wrap": "SELECT conv_id, turn, coalesce(lead(turn) OVER w, first_value(turn) OVER w) AS following, coalesce(lag(turn) OVER w, turn) AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "play_next": "SELECT user_id, url, position, following FROM (SELECT user_id, url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, lead(url) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id, url ORDER BY event_id) AS n FROM (SELECT user_id, event_id, props[1:7] AS url FROM events)) WHERE n = 1",
     "play_next_url": "SELECT user_id, url, position, following FROM (SELECT user_id, url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, lead(url) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id, url ORDER BY event_id) AS n FROM (SELECT user_id, event_id, props AS url FROM events)) WHERE n = 1",
     "sample_n": "SELECT p_partkey, p_brand FROM part ORDER BY md5('s1|' || p_partkey), p_partkey LIMIT 40",
     "pick_with_must": "SELECT p_partkey, p_size FROM part ORDER BY p_partkey <> 17, md5('s2|' || p_partkey), p_partkey LIMIT 6",

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import fixed, is_data_image, non_blank, trimmed
 from ..functions.values import clamp, number
+from .store import last_of_key
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes`` replace those of their key or are added."""
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``changes`` replace those of their key or are added; of several for one key the last by ``order`` counts."""
+    changes = last_of_key(changes, key, order).select(*base.columns)
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 

@@ -6,9 +6,13 @@ spoil the others.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import or_default
+from .store import Store, files, read_small, write_once
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -41,30 +45,95 @@ def from_database(rows: DataFrame) -> DataFrame:
     return rows.select(get("title"), get("accent"), _pages(F.col("row"), True).alias("pages"), cover.alias("coverThumb"))
 
 
+def _sized(x: Column) -> Column:
+    """A text with its length in front, so that texts side by side can't be taken for others; ``-`` for null."""
+    return F.coalesce(F.concat(F.length(x), F.lit(":"), x), F.lit("-"))
+
+
 def migrated(local: DataFrame, database: DataFrame) -> DataFrame:
-    """Both sources' books that have a title and pages, with an ``id`` that follows from title and texts.
+    """Both sources' books that have a title and pages, with an ``id`` that follows from title, accent, texts and images.
 
-    A second run gives the same ids, so an upsert after a failure midway repeats nothing.
+    A second run gives the same ids, so an upsert after a failure midway repeats nothing. Books of one id are one book: that
+    with a cover is kept, or the first of the sources.
     """
     books = local.unionByName(database, allowMissingColumns=True).filter((F.length("title") > 0) & (F.size("pages") > 0))
-    texts = F.array_join(F.transform("pages", lambda p: p["text"]), "\n")
-    return books.withColumn("id", F.concat(F.lit("book-"), F.md5(F.concat_ws("\n", "title", texts))))
+    pages = F.array_join(F.transform("pages", lambda p: F.concat(_sized(p["text"]), _sized(p["image"]))), "")
+    books = books.withColumn("id", F.concat(F.lit("book-"), F.md5(F.concat(_sized(F.col("title")), _sized(F.col("accent")), pages))))
+    one = books.groupBy("id").agg(F.max_by(F.struct(*(F.col(c) for c in books.columns)), F.struct(F.col("coverThumb").isNotNull(), F.col("coverThumb"))).alias("r"))
+    return one.select("r.*")
+
+
+def _books(spark: SparkSession, local_path: str, database_path: str) -> DataFrame:
+    return migrated(from_local(source_rows(read_sources(spark, local_path))), from_database(source_rows(read_sources(spark, database_path))))
 
 
 def migrate(spark: SparkSession, local_path: str, database_path: str, store_path: str) -> int:
-    """Write the books of both sources as a new table at ``store_path``, then, and only then, empty the sources.
+    """Write the books of both sources as a table at ``store_path``, then, and only then, empty the sources.
 
-    Returns how many there are. With nothing to migrate nothing is written.
+    Returns how many there are. With nothing to migrate nothing is written. After a crash a rerun adds what the table lacks
+    by id, so each book is there once.
     """
-    books = migrated(from_local(source_rows(read_sources(spark, local_path))), from_database(source_rows(read_sources(spark, database_path))))
+    books = _books(spark, local_path, database_path)
     n = books.count()
     if n:
-        books.write.parquet(store_path)
+        if read_small(spark, f"{store_path}/_SUCCESS") is not None:
+            books.join(spark.read.parquet(store_path).select("id"), "id", "left_anti").select(*books.columns).write.mode("append").parquet(store_path)
+        else:
+            books.write.mode("overwrite").parquet(store_path)
         for path in (local_path, database_path):
             truncate(spark, path)
     return n
 
 
+def _listing(spark: SparkSession, path: str) -> list[list]:
+    """Name, length and time of each file of a source."""
+    fs, make = files(spark, path)
+    return sorted([f.getPath().getName(), f.getLen(), f.getModificationTime()] for f in fs.listStatus(make(path)) if f.isFile() and not f.getPath().getName().startswith(("_", "."))) if fs.exists(make(path)) else []
+
+
+#: Steps of a migration, in order; each leaves a note in the journal when it is done.
+STEPS = ("books", "stored", "local emptied", "database emptied")
+
+
+def migrate_into(store: Store, local_path: str, database_path: str, after=lambda step: None) -> int:
+    """Move the books of both sources into ``store`` by id; returns how many there were.
+
+    A journal beside the store notes each step: the books are written down with what the sources looked like, upserted,
+    then each source is emptied. A rerun goes on behind the last note. Repeating a step changes nothing, so a crash before
+    its note does no harm. A source that has changed since its books were written down is not emptied: the journal ends,
+    and the next run takes what is new. ``after(step)`` is called behind each note.
+    """
+    spark, journal = store.spark, f"{store.path}/_migration"
+    note = lambda step: f"{journal}/{STEPS.index(step)}.json"
+    sources = {"local emptied": local_path, "database emptied": database_path}
+    fs, make = files(spark, store.path)
+    told = read_small(spark, note("books"))
+    if not told:
+        seen = {step: _listing(spark, path) for step, path in sources.items()}
+        name = f"{journal}/books-{uuid.uuid4().hex}"
+        books = _books(spark, local_path, database_path)
+        if books.isEmpty():
+            return 0
+        books.write.parquet(name)
+        told = json.dumps({"books": name, "seen": seen, "n": spark.read.parquet(name).count()})
+        write_once(spark, note("books"), told)
+        after("books")
+    told = json.loads(told)
+    if read_small(spark, note("stored")) is None:
+        store.upsert(spark.read.parquet(told["books"]))
+        write_once(spark, note("stored"), "done")
+        after("stored")
+    for step, path in sources.items():
+        if read_small(spark, note(step)) is None:
+            now = _listing(spark, path)
+            if now == told["seen"][step]:
+                truncate(spark, path)
+            write_once(spark, note(step), "done")
+            after(step)
+    fs.delete(make(journal), True)
+    return told["n"]
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Leave no rows at ``path``; what is there is only replaced once the empty table is written."""
     spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
