@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import cooldown_stream, dwell_stream, funnel_stream
+from ..streaming import cooldown_stream, dwell_stream, funnel_stream, slot_stream
 from ..sources.tables import table
 from ..streaming.replay import dealt, replayed
 
@@ -50,7 +50,16 @@ def funnel_late(spark, d):
     return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: funnel_stream(_events(s), ["enter", "click", "enter", "purchase", "error"], "24 hours"), 1)
 
 
-QUERIES = {f.__name__: f for f in (dwell_replay, cooldown_replay, funnel_replay, dwell_late, cooldown_late, funnel_late)}
+def slots_late(spark, d):
+    """Each user's events of a day as a snapshot of three slots, some without a value, from files whose rows come up to a day late."""
+    def rows(s):
+        value = F.when(F.col("event_id") % 4 > 0, F.col("event_type"))
+        return s.select("user_id", F.concat(F.lit("s"), F.col("event_id") % 3).alias("slot"), value.alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+
+    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: slot_stream(rows(s), 24 * HOUR, "24 hours"), 1)
+
+
+QUERIES = {f.__name__: f for f in (dwell_replay, cooldown_replay, funnel_replay, dwell_late, cooldown_late, funnel_late, slots_late)}
 
 _E = "e AS (SELECT event_id, user_id, 'e' || event_id % 3 AS element_id, CASE WHEN event_type = 'view' THEN 'enter' ELSE event_type END AS kind, epoch_us(ts) // 1000 AS ms FROM events)"
 SQL = {
@@ -72,4 +81,10 @@ SELECT user_id, element_id, ms AS fired_ms FROM f""",
 f AS (SELECT user_id, arg_min(element_id, ms) AS element_id, min(ms) AS ms, 1 AS i FROM e WHERE kind = 'enter' GROUP BY 1
  UNION ALL SELECT n.user_id, n.element_id, n.ms, n.i FROM f, LATERAL (SELECT e.user_id, e.element_id, e.ms, s.i FROM e JOIN s ON s.i = f.i + 1 AND s.kind = e.kind WHERE e.user_id = f.user_id AND e.ms > f.ms ORDER BY e.ms LIMIT 1) n)
 SELECT user_id, element_id, ms AS fired_ms FROM f""",
+    "slots_late": f"""WITH x AS (SELECT user_id, epoch_us(ts) // 1000 // {24 * HOUR} * {24 * HOUR} AS day, 's' || event_id % 3 AS slot, arg_max(struct_pack(v := CASE WHEN event_id % 4 > 0 THEN event_type END), ts).v AS v FROM events GROUP BY 1, 2, 3),
+n AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS prev FROM (SELECT DISTINCT user_id, day FROM x)),
+a AS (SELECT n.user_id, n.day, slot, v FROM n JOIN x USING (user_id, day)), b AS (SELECT n.user_id, n.day, slot, v FROM n JOIN x ON x.user_id = n.user_id AND x.day = n.prev)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS at_ms, coalesce(a.slot, b.slot) AS slot, b.v AS before, a.v AS after,
+ CASE WHEN b.slot IS NULL THEN 'create' WHEN a.slot IS NULL THEN 'dispose' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'keep' ELSE 'replace' END AS action
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.day = b.day AND a.slot = b.slot""",
 }
