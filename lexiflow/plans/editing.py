@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X, values as V
 from ..operators import arrays as A, matching as M, sampling as S
-from ..sources import catalog as C, legacy as L, literals as T
-from ..sources.tables import literal, table
+from ..sources import catalog as C, json_lists as J, legacy as L, literals as T
+from ..sources.tables import literal, scratch, table, written
 
 
 def _names(spark, d):
@@ -179,7 +181,21 @@ def source_elements(spark, d):
     return L.source_rows(_sources(spark, d, 0)).select("conv_id", "pos", F.try_variant_get("row", "$.title", "string").alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (replaced_at, dropped_at, set_added, index_of, card_deck, updated_where, drop_by_value, lookup_first, tray_pieces, pair_match, game_screen, body_boxes, literal_tables, story_words, zone_counts, saved_pages, access_state, photo_kinds, membership, balloon_phrases, book_ids, epoch_ms, random_values, migrated_books, source_elements)}
+def listed_turns(spark, d):
+    """Conversations written as three files of one list each and read back in ranges of 64 kB."""
+    c = table(spark, d, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("json"))
+    path = f"{scratch(spark)}/lists-{uuid.uuid4().hex}"
+    J.write_lists(c, "json", path, 3)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = written(J.list_elements(spark, path), "turns")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    return rows.select(F.from_json("json", "conv_id bigint, turn bigint, role string, text string").alias("r")).select("r.*")
+
+
+QUERIES = {f.__name__: f for f in (replaced_at, dropped_at, set_added, index_of, card_deck, updated_where, drop_by_value, lookup_first, tray_pieces, pair_match, game_screen, body_boxes, literal_tables, story_words, zone_counts, saved_pages, access_state, photo_kinds, membership, balloon_phrases, book_ids, epoch_ms, random_values, migrated_books, source_elements, listed_turns)}
 
 _q = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 _unit = lambda seed: f"('0x' || md5('{seed}|' || p_partkey)[1:8])::BIGINT / 4294967296.0::DOUBLE"
@@ -215,4 +231,5 @@ FROM (VALUES {', '.join(f"({i}::BIGINT, {_q(n)}, {_q(s)})" for i, (_, n, s) in e
     "random_values": f"SELECT p_partkey, 1 + floor({_unit('n')} * 3)::INT AS n, round(CASE WHEN abs(v) < 45 THEN CASE WHEN v < 0 THEN -55 ELSE 55 END ELSE v END, 6) AS velocity FROM (SELECT p_partkey, ({_unit('vel')} - 0.5) * 150 AS v FROM part)",
     "migrated_books": _SOURCES + """SELECT 'book-' || md5(length(title) || ':' || title || '7:#FFD93C' || string_agg(length(text) || ':' || text || CASE WHEN shown THEN '1:i' ELSE '-' END, '' ORDER BY turn, text)) AS id, title, '#FFD93C' AS accent, count(*)::INT AS n_pages, string_agg(CASE WHEN shown THEN 'i' ELSE '-' END, '' ORDER BY turn, text) AS images, count(*) FILTER (NOT shown)::INT AS plain, CASE WHEN kind = 1 THEN 'c' END AS coverThumb FROM c WHERE conv_id % 5 > 0 GROUP BY conv_id, kind, title""",
     "source_elements": _SOURCES + "SELECT DISTINCT conv_id, 0::INT AS pos, CASE WHEN conv_id % 5 > 0 THEN title END AS title FROM c WHERE kind = 0",
+    "listed_turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
