@@ -5,8 +5,8 @@ The language: text, ``{{ expression }}``, ``{% for x in xs %}``, ``{% if %} {% e
 names, ``a.b`` and ``a["b"]`` on mappings only, ``== != and or not in + ~``, parentheses and the filters of ``FILTERS``.
 There are no calls, no attribute access on Python objects, no assignments outside the template's own names, and loops
 run over given sequences only. A template is parsed to a syntax tree, constants are folded (operators and filters on
-literals, conditions that are known, neighbouring text), and each node becomes one closure. Closures write to a
-callback, so a conversation is rendered turn by turn in bounded memory, however long it is.
+literals, conditions that are known, neighbouring text), and each node becomes one closure. A conversation is
+rendered turn by turn in bounded memory, however long it is; keys of conversations are of any type.
 
 ``TURNS`` is the default template. Its filter ``esc`` writes ``^`` before or after each character that could begin a
 control string (``^`` as ``^^``, ``<`` as ``<^``, ``[`` as ``[^``; ``line`` also writes a line end as ``^n``), and ``unescape`` takes these marks out, so a text
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -351,6 +352,27 @@ def compile_template(source: str) -> Callable:
     return _statements(fold(parse(source)), False)
 
 
+def _inside(node):
+    """All nodes of a part of the tree but texts and constants."""
+    if isinstance(node, tuple) and node and node[0] in ("text", "const"):
+        return
+    if isinstance(node, tuple) and node and isinstance(node[0], str):
+        yield node
+    if isinstance(node, (tuple, list)):
+        for x in node:
+            yield from _inside(x)
+
+
+def by_turn(source: str) -> bool:
+    """True if the output is that of each message alone, one behind the other: one loop over ``messages`` that sets nothing
+    and knows no other name than its own."""
+    tree = fold(parse(source))
+    if len(tree) != 1 or tree[0][0] != "for" or tree[0][2] != ("name", "messages"):
+        return False
+    nodes = list(_inside(tree[0][3]))
+    return not any(n[0] in ("set", "for") or n[0] == "name" and n[1] != tree[0][1] for n in nodes)
+
+
 def render(source: str, **names) -> tuple[str, list[tuple[int, int]]]:
     """The whole output and the spans under the loss mask."""
     out, spans, at = [], [], 0
@@ -382,6 +404,16 @@ class _Digest:
     def __init__(self):
         self.turns, self.loss, self.n_turns, self.loss_chars, self.chars, self.held = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, []
 
+    def turn(self, role: str, text: str, loss: str | None, masked: bool, chars: int) -> None:
+        """A turn that was read back already."""
+        self.turns.update(f"{role}\n{text}\n".encode())
+        self.n_turns += 1
+        self.chars += chars
+        if masked:
+            loss = text if loss is None else loss
+            self.loss_chars += len(loss)
+            self.loss.update(loss.encode())
+
     def emit(self, s: str, masked: bool) -> None:
         self.chars += len(s)
         self.held.append(s)
@@ -396,22 +428,28 @@ class _Digest:
             self.held = []
 
 
-def _sorted_turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def _turn_rows(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def _in_turn(rows: DataFrame) -> DataFrame:
     """One task holds all turns of a conversation, in order; they stream through it."""
-    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _conversations(batches) -> Iterable[tuple]:
-    """(conv_id, iterator of messages) in the order of the rows; each iterator is used up before the next."""
+def _conversations(batches, fields: tuple[str, ...] = ("role", "text")) -> Iterable[tuple]:
+    """(conv_id as an array of one, iterator of messages) in the order of the rows; each iterator is used up before the next."""
     from itertools import groupby
 
     def rows():
         for b in batches:
-            yield from zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
+            names = b.column("conv_id")
+            for i, (name, *values) in enumerate(zip(names.to_pylist(), *(b.column(f).to_pylist() for f in fields))):
+                yield name, names.slice(i, 1), values
 
-    for conv, turns in groupby(rows(), key=lambda r: r[0]):
-        yield conv, ({"role": r, "text": t} for _, r, t in turns)
+    for _, turns in groupby(rows(), key=lambda r: r[0]):
+        first = next(turns)
+        yield first[1], (dict(zip(fields, r[2])) for r in chain([first], turns))
 
 
 def format_conversations(df: DataFrame, template: str = TURNS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = 1 << 20) -> DataFrame:
@@ -427,7 +465,7 @@ def format_conversations(df: DataFrame, template: str = TURNS, conv: str = "conv
         write = compile_template(template)
         for conv_id, messages in _conversations(batches):
             held, marks, at, k = [], [], 0, 0
-            row = lambda: pa.RecordBatch.from_arrays([pa.array([conv_id], pa.int64()), pa.array([k], pa.int32()), pa.array(["".join(held)]), pa.array([marks], spans)], names=["conv_id", "part", "formatted", "spans"])
+            row = lambda: pa.RecordBatch.from_arrays([conv_id, pa.array([k], pa.int32()), pa.array(["".join(held)]), pa.array([marks], spans)], names=["conv_id", "part", "formatted", "spans"])
             for s, masked in write({"messages": messages}):
                 if held and at + len(s) > most:
                     yield row()
@@ -438,22 +476,60 @@ def format_conversations(df: DataFrame, template: str = TURNS, conv: str = "conv
                 at += len(s)
             yield row()
 
-    return _sorted_turns(df, conv, turn, role, text).mapInArrow(run, "conv_id bigint, part int, formatted string, spans array<struct<start:bigint,stop:bigint>>")
+    rows = _turn_rows(df, conv, turn, role, text)
+    return _in_turn(rows).mapInArrow(run, f"conv_id {dict(rows.dtypes)['conv_id']}, part int, formatted string, spans array<struct<start:bigint,stop:bigint>>")
+
+
+def _read_turns(rows: DataFrame, template: str) -> DataFrame:
+    """Each turn written and read back by itself: role, text, what is under the loss mask (null: the text) and sizes."""
+    import pyarrow as pa
+
+    names = ["conv_id", "turn", "role", "text", "loss", "masked", "chars"]
+
+    def run(batches):
+        write = compile_template(template)
+        for b in batches:
+            out = []
+            for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                pieces = list(write({"messages": [{"role": role, "text": text}]}))
+                whole = "".join(s for s, _ in pieces)
+                role, text = read_turn(whole)
+                masked = [unescape(s) for s, m in pieces if m]
+                loss = "".join(masked)
+                out.append((role, text, None if loss == text else loss, bool(masked), len(whole)))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())))], names=names)
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, loss string, masked boolean, chars bigint")
 
 
 def conversation_digests(df: DataFrame, template: str = TURNS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the output."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the output.
+
+    A template that writes each message by itself is rendered, and its turns read back, where the rows are; what follows
+    the shuffle is the hashing that needs the order of turns. Other templates are rendered behind it, by conversation.
+    """
     import pyarrow as pa
 
+    alone = by_turn(template)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    fields = ("role", "text", "loss", "masked", "chars") if alone else ("role", "text")
 
     def run(batches):
         write, out = compile_template(template), []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=names)
-        for conv_id, messages in _conversations(batches):
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x[0] for x in out]), *(pa.array(c, t) for c, t in zip(list(zip(*out))[1:], (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())))], names=names)
+
+        for conv_id, messages in _conversations(batches, fields):
             d = _Digest()
-            for s, masked in write({"messages": messages}):
-                d.emit(s, masked)
+            if alone:
+                for m in messages:
+                    d.turn(**m)
+            else:
+                for s, masked in write({"messages": messages}):
+                    d.emit(s, masked)
             if d.held:
                 raise ValueError("the output does not end with a turn")
             out.append((conv_id, d.n_turns, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))
@@ -463,7 +539,9 @@ def conversation_digests(df: DataFrame, template: str = TURNS, conv: str = "conv
         if out:
             yield flush()
 
-    return _sorted_turns(df, conv, turn, role, text).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    rows = _turn_rows(df, conv, turn, role, text)
+    kind = dict(rows.dtypes)["conv_id"]
+    return _in_turn(_read_turns(rows, template) if alone else rows).mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 #: Conversation -1: control strings of another format as plain text.

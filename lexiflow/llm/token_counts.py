@@ -9,7 +9,8 @@ offsets in both. Where the overlap has no such position it is doubled, at worst
 A position is proven stable when no match of the tokenizer's pre-splitting pattern, no normalisation and no special
 token can reach across it: next to ASCII white space (which the pattern drops), or between an ASCII digit and an ASCII
 letter or digit (letters are matched in runs, digits one by one, and special tokens hold no digits or spaces). Tokens
-never cross a pre-split, so what stands left of such a position has no effect on what stands right of it.
+never cross a pre-split, so what stands left of such a position has no effect on what stands right of it. This holds for
+tokenizers with the settings in ``packing.KNOWN``; others get every text whole.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted one by one; an empty table gives
 an empty result; columns of the input that are not asked for are dropped, so clashing names do no harm.
@@ -102,14 +103,29 @@ def encode_long(tk, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> li
     return ids + left.ids[left.first :]
 
 
+def proven(tk) -> bool:
+    """True for a tokenizer with the settings for which the module's stable positions are proven."""
+    import json
+
+    from .packing import KNOWN
+
+    own = json.loads(tk.to_str())
+    settings = {"normalizer": own["normalizer"], "splits": own["pre_tokenizer"], "end": own["model"].get("end_of_word_suffix")}
+    return settings == KNOWN and all(a["content"].startswith("<|") for a in own["added_tokens"])
+
+
 class Counter:
     """Token counts of short texts as sums over their pieces between white space, which are stable boundaries.
 
-    Counts of pieces are remembered up to ``REMEMBERED``; beyond it the memory starts anew.
+    Counts of pieces are remembered up to ``REMEMBERED``; beyond it the memory starts anew. A tokenizer that is not
+    ``proven`` gets every text whole, however long it is.
     """
 
     def __init__(self, path: str):
         self.tk, self.known = tokenizer(path), {}
+        self.proven = proven(self.tk)
+        self.tk.no_truncation()
+        self.tk.no_padding()
 
     def short(self, texts: list[str]) -> list[int]:
         pieces = [t.encode().split() for t in texts]  # bytes are split at ASCII white space only
@@ -121,6 +137,8 @@ class Counter:
         return [sum(map(known.__getitem__, ps)) for ps in pieces]
 
     def __call__(self, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+        if not self.proven:
+            return [len(e.ids) for e in self.tk.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         out = self.short([t if t and len(t) <= chunk else "" for t in texts])
         for k, t in enumerate(texts):
             if t and len(t) > chunk:

@@ -249,3 +249,30 @@ def test_clashing_columns_of_rules(spark):
     out = quality_rules.quality_rules(df)
     r = out.first()
     assert all(r[n] == f"v{n}" for n in names[2:] if n != "N_WORDS") and r["n_words"] == 3 and "N_WORDS" not in out.columns
+
+
+def test_token_counts_of_other_tokenizers(spark):
+    """A tokenizer without the proven settings gets whole texts."""
+    from tokenizers import Tokenizer
+
+    texts = ["two  words\n\nand   spaces ", "x" * 300 + " y" * 200, "", None, " a", "tab\tand é 🐷"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tk = Tokenizer.from_file(P.path(name))
+        rows = token_counts.token_counts(docs(spark, texts), P.path(name), chunk=120, overlap=70).collect()
+        assert sorted(r.n_tokens for r in rows) == sorted(len(tk.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    assert not token_counts.proven(Tokenizer.from_file(P.path("byte_bpe_50k.json")))
+
+
+def test_chat_keys_and_templates(spark):
+    rows = [("b", 1, "user", "hi <|end|>"), ("b", 2, "assistant", "a^b[c"), ("b", 2, "assistant", "a^b[c"), ("a", None, None, None), (None, 5, "assistant", ""), ("é", 1, "x\ny", "t" * 40_000)]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], "conv_id string, turn bigint, role string, text string, n_turns string, chars int")
+    whole = chat_template.TURNS.replace("{% for", "{% set unused = 1 %}{% for", 1)
+    assert chat_template.by_turn(chat_template.TURNS) and not chat_template.by_turn(whole)
+    for t in ("{% for m in messages %}{{ loop.index }}{% endfor %}", "{% for m in messages %}{{ other }}{% endfor %}", "{% for m in messages %}{% set x = m %}{% endfor %}", "{% for m in all %}{{ m }}{% endfor %}", "a{% for m in messages %}{% endfor %}"):
+        assert not chat_template.by_turn(t)
+    key = lambda r: str(r[0])
+    one, other = (sorted(map(tuple, chat_template.conversation_digests(df, t).collect()), key=key) for t in (chat_template.TURNS, whole))
+    assert one == other and [r[0] for r in one] == [None, "a", "b", "é"]
+    assert {r.conv_id for r in chat_template.format_conversations(df).collect()} == {None, "a", "b", "é"}
+    dates = df.selectExpr("date'2024-01-01' AS conv_id", "turn", "role", "text")
+    assert chat_template.conversation_digests(dates).first().n_turns == len(rows)
