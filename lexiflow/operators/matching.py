@@ -51,16 +51,25 @@ def modular_lookup(df: DataFrame, position: str, values: list[str]) -> DataFrame
     return df.withColumn("picked", F.element_at(F.array(*map(F.lit, values)), (F.col(position) % len(values) + 1).cast("int")))
 
 
-def grid(spark, rows: int, cols: int) -> DataFrame:
-    return spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("r"), (F.col("id") % cols).alias("c"))
+def modular_rows(df: DataFrame, position: str, rows: DataFrame, size: int) -> DataFrame:
+    """Each row with the row of a small table of ``size`` rows whose ``ord`` is the position modulo their number."""
+    return df.join(F.broadcast(rows), F.col(position) % size == F.col("ord"))
 
 
-def edge_signs(cells: DataFrame, own: Column) -> DataFrame:
-    """``top`` and ``left`` of each cell are the opposite of the ``bottom`` above and the ``right`` before; 0 at the rim."""
-    last_row = F.max("r").over(Window.partitionBy("c"))
-    last_col = F.max("c").over(Window.partitionBy("r"))
-    d = cells.withColumn("bottom", F.when(F.col("r") == last_row, 0).otherwise(own)).withColumn("right", F.when(F.col("c") == last_col, 0).otherwise(-own))
-    return d.withColumn("top", F.coalesce(-F.lag("bottom").over(Window.partitionBy("c").orderBy("r")), F.lit(0))).withColumn("left", F.coalesce(-F.lag("right").over(Window.partitionBy("r").orderBy("c")), F.lit(0)))
+def grid(boards: DataFrame, rows: Column, cols: Column) -> DataFrame:
+    """Each board with its cells (r, c)."""
+    cell = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    return boards.withColumns({"rows": rows, "cols": cols}).withColumn("r", cell(F.col("rows"))).withColumn("c", cell(F.col("cols")))
+
+
+def edge_signs(cells: DataFrame, own: Column, board: str) -> DataFrame:
+    """``top`` and ``left`` of each cell are the opposite of the ``bottom`` above and the ``right`` before; 0 at the rim.
+
+    ``cells`` come from ``grid``; a board's cells are few, so its windows are.
+    """
+    d = cells.withColumn("bottom", F.when(F.col("r") == F.col("rows") - 1, 0).otherwise(own)).withColumn("right", F.when(F.col("c") == F.col("cols") - 1, 0).otherwise(-own))
+    above, before = Window.partitionBy(board, "c").orderBy("r"), Window.partitionBy(board, "r").orderBy("c")
+    return d.withColumn("top", F.coalesce(-F.lag("bottom").over(above), F.lit(0))).withColumn("left", F.coalesce(-F.lag("right").over(before), F.lit(0)))
 
 
 def independent_set(candidates: Column, edges: Column, size: int) -> Column:

@@ -145,16 +145,18 @@ BOOKS = (
 
 
 def json_import(spark, d):
-    """A row for each page of the books, one for each refused file; zones as text."""
-    b = C.import_books(literal(spark, list(BOOKS), "json string"))
+    """A file for each customer, of a few kinds: a row for each page of its book, one if it is refused; zones as text."""
+    files = M.modular_rows(table(spark, d, "customer").select("c_custkey"), "c_custkey", literal(spark, list(BOOKS), "json string"), len(BOOKS))
+    b = C.import_books(files.select(F.col("c_custkey").alias("ord"), "json"))
     zone = lambda z: F.concat_ws(",", *(z[c].cast("int").cast("string") for c in ("left", "top", "width", "height")), z["label"])
     p = b.select("ord", "title", "page_count", F.coalesce("reason", F.lit("ok")).alias("reason"), F.posexplode_outer("pages").alias("pos", "p"))
     return p.select("ord", "title", "page_count", "reason", "pos", "p.text", "p.image", "p.plain", F.array_join(F.transform("p.zones", zone), ";").alias("zones"))
 
 
 def size_gate(spark, d):
-    rows = spark.range(540, 560).select("id", F.repeat(F.lit("x"), (F.col("id") * 1048576 / 100).cast("int") - 8).alias("a"))
-    return rows.select("id", C.size_reason(F.struct("a")).alias("s")).select("id", "s.too_large")
+    """Documents by their size as JSON, in units of a kilobyte, and whether it is over 5.5."""
+    rows = table(spark, d, "documents").select("doc_id", F.translate("text", "\\\"/\t\r\n", "......").alias("a"))
+    return rows.select("doc_id", C.size_reason(F.struct("a"), unit=1024).alias("s")).select("doc_id", "s.mb", "s.too_large")
 
 
 def slot_changes(spark, d):
@@ -189,7 +191,7 @@ SQL = {
     "upsert_keep_old": _CHANGES + "SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT u.c_custkey, u.c_name, coalesce(u.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM u LEFT JOIN c USING (c_custkey)",
     "upsert_in_place": _CHANGES + """, n AS (SELECT u.*, c.c_custkey IS NULL AS fresh FROM u LEFT JOIN c USING (c_custkey)), m AS (SELECT max(c_custkey) * 10 + 1 - (SELECT min(c_custkey) * 10 FROM u) AS gap FROM c)
 SELECT *, c_custkey * 10 AS pos FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT c_custkey, c_name, c_mktsegment, CASE WHEN fresh THEN c_custkey * 10 + gap ELSE c_custkey * 10 END FROM n, m""",
-    "json_import": f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f"({i}::BIGINT, '" + b.replace("'", "''") + "')" for i, b in enumerate(BOOKS))}) t(ord, raw)),
+    "json_import": f"""WITH b AS (SELECT c_custkey AS ord, raw FROM customer JOIN (VALUES {', '.join(f"({i}::BIGINT, '" + b.replace("'", "''") + "')" for i, b in enumerate(BOOKS))}) t(n, raw) ON n = c_custkey % {len(BOOKS)}),
 j AS (SELECT ord, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM b),
 t AS (SELECT ord, j, CASE WHEN json_type(j, '$.title') = 'VARCHAR' THEN trim(j->>'$.title') ELSE '' END AS title, CASE WHEN json_type(j, '$.pages') = 'ARRAY' THEN (j->'$.pages')::JSON[] END AS ps FROM j),
 r AS (SELECT *, CASE WHEN j IS NULL THEN 'not json' WHEN title = '' THEN 'no title' WHEN coalesce(len(ps), 0) = 0 THEN 'no pages' WHEN len(list_filter(ps, lambda p: p IS NULL OR json_type(p) = 'NULL')) > 0 THEN 'bad page' ELSE 'ok' END AS reason FROM t),
@@ -219,5 +221,6 @@ FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END A
     "stored_versions": """WITH v AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 200 = 7 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 200 = 7 THEN 2 ELSE 0 END AS turn FROM orders
 UNION ALL SELECT -o_orderkey, o_totalprice, 'changed', 2 FROM orders WHERE o_orderkey % 200 = 107)
 SELECT *, 2 AS version FROM v UNION ALL SELECT *, 3 FROM v WHERE o_orderkey < 0 OR o_orderkey % 300 <> 9""",
-    "size_gate": "SELECT id::BIGINT AS id, printf('%.1f', (floor(id * 1048576 / 100) - 8 + 8) / 1048576.0::DOUBLE)::DOUBLE > 5.5 AS too_large FROM range(540, 560) t(id)",
+    "size_gate": r"""WITH m AS (SELECT doc_id, CASE WHEN text IS NULL THEN 2 ELSE length(text) + 8 END / 1024.0::DOUBLE AS kb FROM documents)
+SELECT doc_id, printf('%.1f', kb + CASE WHEN kb * 4 = floor(kb * 4) AND (kb * 4)::BIGINT % 2 <> 0 THEN 0.01 ELSE 0 END)::DOUBLE AS mb, printf('%.1f', kb + CASE WHEN kb * 4 = floor(kb * 4) AND (kb * 4)::BIGINT % 2 <> 0 THEN 0.01 ELSE 0 END)::DOUBLE > 5.5 AS too_large FROM m""",
 }

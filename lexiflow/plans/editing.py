@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X, values as V
 from ..operators import arrays as A, matching as M, sampling as S
 from ..sources import catalog as C, json_lists as J, legacy as L, literals as T
-from ..sources.tables import literal, scratch, table, written
+from ..sources.tables import scratch, table, written
 
 
 def _names(spark, d):
@@ -80,20 +80,25 @@ def game_screen(spark, d):
 
 
 def body_boxes(spark, d):
-    return M.boxes(T.tables(spark)["body_parts"], "id", "boxes")
+    """A figure for each supplier, of one part of the body each."""
+    parts = M.modular_rows(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", T.tables(spark)["body_parts"], len(T.BODY_PARTS))
+    return M.boxes(parts.select(F.concat_ws("/", "id", F.col("s_suppkey").cast("string")).alias("id"), "boxes"), "id", "boxes")
 
 
 def literal_tables(spark, d):
-    """Name, rows and a checksum of every literal table."""
+    """For each literal table how many customers are dealt to each of its rows, and the row's length as JSON."""
     from functools import reduce
 
-    rows = [f.select(F.lit(n).alias("name"), F.to_json(F.struct(*f.columns)).alias("row")) for n, f in T.tables(spark).items()]
-    return reduce(lambda a, b: a.unionAll(b), rows).groupBy("name").agg(F.count("*").alias("n"), F.sum(F.length("row")).alias("chars"))
+    c = table(spark, d, "customer").select("c_custkey")
+    sizes = {n: f.count() for n, f in T.tables(spark).items()}
+    rows = [M.modular_rows(c, "c_custkey", f.select("ord", F.length(F.to_json(F.struct(*f.columns))).alias("chars")), sizes[n]).select(F.lit(n).alias("name"), "ord", "chars") for n, f in T.tables(spark).items()]
+    return reduce(lambda a, b: a.unionAll(b), rows).groupBy("name", "ord").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
 
 
 def story_words(spark, d):
-    """Every word of the stories as it is read aloud, with the labels of its page's props."""
-    s = T.tables(spark)["stories"].select("id", F.posexplode("pages").alias("page", "p"))
+    """A story for each supplier: every word as it is read aloud, with the labels of its page's props."""
+    own = M.modular_rows(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", T.tables(spark)["stories"], len(T.STORIES))
+    s = own.select(F.concat_ws("/", "id", F.col("s_suppkey").cast("string")).alias("id"), F.posexplode("pages").alias("page", "p"))
     labels = F.transform("p.props", lambda e: F.coalesce(M.mapped(e, T.PROP_LABELS), F.lit(T.DEFAULT_LABEL)))
     return s.select("id", "page", F.array_join(labels, ", ").alias("labels"), F.posexplode(X.tokenize(F.col("p.text"))).alias("pos", "w")).select("id", "page", "pos", X.spoken(F.col("w")).alias("word"), "labels")
 
@@ -134,12 +139,12 @@ def membership(spark, d):
 
 
 def balloon_phrases(spark, d):
-    """What is said when a balloon of the list is popped, right or wrong."""
-    b = T.tables(spark)["balloons"]
+    """What is said when a part's balloon is popped, right or wrong."""
+    b = M.modular_rows(table(spark, d, "part").select("p_partkey"), "p_partkey", T.tables(spark)["balloons"], len(T.BALLOONS))
     sound = F.col("sound").isNotNull()
     right = F.when(sound, F.format_string("Bravo ! %s fait %s !", "name", "sound")).otherwise(F.format_string("Bravo ! C'est %s !", "name"))
     wrong = F.when(sound, F.format_string("%s fait %s", "name", "sound")).otherwise(F.format_string("C'est %s", "name"))
-    return b.select("ord", right.alias("right"), wrong.alias("wrong"))
+    return b.select("p_partkey", right.alias("right"), wrong.alias("wrong"))
 
 
 def book_ids(spark, d):
@@ -202,6 +207,8 @@ _unit = lambda seed: f"('0x' || md5('{seed}|' || p_partkey)[1:8])::BIGINT / 4294
 _SOURCES = """WITH c AS (SELECT conv_id, conv_id % 2 AS kind, 'livre ' || conv_id AS title, turn, coalesce(text, '') AS text, turn % 2 = 0 AND conv_id % 2 = 1 AS shown FROM conversations WHERE conv_id % 7 <> 0) """
 _STORIES = ", ".join(f"({_q(i)}, {k}, {_q(None if not p else ', '.join(T.PROP_LABELS.get(e, T.DEFAULT_LABEL) for e in p))}, {_q(x)})" for i, _, _, _, pages in T.STORIES for k, (_, _, p, x) in enumerate(pages))
 _BOXES = ", ".join(f"({_q(i)}, '{i}-{k}', {', '.join(x.rstrip('%') + '::DOUBLE' for x in b)})" for i, _, bs in T.BODY_PARTS for k, b in enumerate(bs))
+_PLACES = ", ".join(f"({i}, {_q(p[0])})" for i, p in enumerate(T.BODY_PARTS))
+_OWN = ", ".join(f"({i}, {_q(p[0])})" for i, p in enumerate(T.STORIES))
 SQL = {
     "replaced_at": "SELECT p_partkey, array_to_string([CASE WHEN i = p_size % 5 - 1 THEN upper(w[i + 1] || '!') ELSE w[i + 1] END for i in range(len(w))], ' ') AS words FROM (SELECT p_partkey, p_size, string_split(p_name, ' ') AS w FROM part)",
     "dropped_at": "SELECT p_partkey, array_to_string([w[i + 1] for i in range(len(w)) if i <> p_size % 4 - 1], ' ') AS words FROM (SELECT p_partkey, p_size, string_split(p_name, ' ') AS w FROM part)",
@@ -214,8 +221,8 @@ SQL = {
     "tray_pieces": "SELECT s_suppkey, i::INT - 1 AS pos, p_partkey AS id, p_name FROM supplier, range(1, 7) t(i) JOIN part ON p_partkey = (s_suppkey * 37 * i) % 400 WHERE p_size > 20",
     "pair_match": "SELECT * FROM (SELECT p_partkey AS first, lead(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS second, p_brand || '/' || p_size AS face FROM part) WHERE second IS NOT NULL",
     "game_screen": "SELECT event_id, CASE event_type WHEN 'view' THEN 'Reader' WHEN 'click' THEN 'Xylophone' END AS screen FROM events",
-    "body_boxes": f'SELECT * FROM (VALUES {_BOXES}) t(id, box_key, top, "left", width, height)',
-    "story_words": rf"""WITH s AS (SELECT * FROM (VALUES {_STORIES}) t(id, page, labels, text)), t AS (SELECT id, page, labels, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT *, regexp_extract_all(text, '[^{X.SPACES}]+') AS w FROM s)),
+    "body_boxes": f"""SELECT b.id || '/' || s_suppkey AS id, b.id || '/' || s_suppkey || substr(box_key, length(b.id) + 1) AS box_key, top, "left", width, height FROM supplier JOIN (VALUES {_PLACES}) p(ord, id) ON ord = s_suppkey % {len(T.BODY_PARTS)} JOIN (VALUES {_BOXES}) b(id, box_key, top, "left", width, height) ON b.id = p.id""",
+    "story_words": rf"""WITH s AS (SELECT t.id || '/' || s_suppkey AS id, page, labels, text FROM supplier JOIN (VALUES {_OWN}) o(ord, id) ON ord = s_suppkey % {len(T.STORIES)} JOIN (VALUES {_STORIES}) t(id, page, labels, text) ON t.id = o.id), t AS (SELECT id, page, labels, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT *, regexp_extract_all(text, '[^{X.SPACES}]+') AS w FROM s)),
 g AS (SELECT *, sum(CASE WHEN regexp_full_match(tok, '[!?.,;:…]+') AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY id, page ORDER BY i) - 1 AS pos FROM t), k AS (SELECT id, page, pos, labels, string_agg(tok, ' ' ORDER BY i) AS word FROM g GROUP BY ALL)
 SELECT id, page::INT AS page, pos::INT AS pos, coalesce(nullif(trim(regexp_replace(regexp_replace(word, '^[!?.,;:…«»"''“”]+', ''), '[!?.,;:…«»"''“”]+$', '')), ''), word) AS word, labels FROM k""",
     "zone_counts": "SELECT l_orderkey, CASE WHEN max(l_returnflag) <> 'R' THEN ' (' || count(*) || ')' ELSE '' END AS shown FROM lineitem GROUP BY l_orderkey",
@@ -224,8 +231,8 @@ SELECT book, page_id, text, mode, CASE WHEN mode <> 'none' THEN 'img' || page_id
     "access_state": "SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN 'not-configured' WHEN c_custkey % 7 > 0 AND c_mktsegment = 'BUILDING' THEN 'ok' ELSE 'wrong' END AS state FROM customer",
     "photo_kinds": "SELECT page_id, page_id % 4 < 2 OR page_id % 5 = 0 AS heic, page_id % 3 = 0 AND url IS NOT NULL AS data_image FROM pages",
     "membership": "SELECT p_partkey, len(list_filter(w, lambda x: length(x) > 5)) > 0 AS some_long, list_contains(w, 'Part#' || p_partkey) AS own_name, len(list_filter(w, lambda x: starts_with(x, 'P'))) > 0 AS a_p FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)",
-    "balloon_phrases": f"""SELECT ord, CASE WHEN sound IS NULL THEN 'Bravo ! C''est ' || name || ' !' ELSE 'Bravo ! ' || name || ' fait ' || sound || ' !' END AS right, CASE WHEN sound IS NULL THEN 'C''est ' || name ELSE name || ' fait ' || sound END AS wrong
-FROM (VALUES {', '.join(f"({i}::BIGINT, {_q(n)}, {_q(s)})" for i, (_, n, s) in enumerate(T.BALLOONS))}) t(ord, name, sound)""",
+    "balloon_phrases": f"""SELECT p_partkey, CASE WHEN sound IS NULL THEN 'Bravo ! C''est ' || name || ' !' ELSE 'Bravo ! ' || name || ' fait ' || sound || ' !' END AS right, CASE WHEN sound IS NULL THEN 'C''est ' || name ELSE name || ' fait ' || sound END AS wrong
+FROM (VALUES {', '.join(f"({i}::BIGINT, {_q(n)}, {_q(s)})" for i, (_, n, s) in enumerate(T.BALLOONS))}) t(ord, name, sound) JOIN part ON ord = p_partkey % {len(T.BALLOONS)}""",
     "book_ids": "SELECT event_id, 'book-' || epoch_us(ts) // 1000 || '-' || lower(to_base(('0x' || md5(event_id || '|' || user_id)[1:12])::BIGINT, 36)) AS id FROM events",
     "epoch_ms": "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS past FROM events",
     "random_values": f"SELECT p_partkey, 1 + floor({_unit('n')} * 3)::INT AS n, round(CASE WHEN abs(v) < 45 THEN CASE WHEN v < 0 THEN -55 ELSE 55 END ELSE v END, 6) AS velocity FROM (SELECT p_partkey, ({_unit('vel')} - 0.5) * 150 AS v FROM part)",

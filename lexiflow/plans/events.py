@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E, machines as G
 from ..sources.literals import BALLOONS
-from ..sources.tables import literal, table
+from ..sources.tables import table
 
 HOUR = 3_600_000_000
 KINDS = "signup error click view purchase".split()
@@ -21,8 +21,9 @@ def dwell(spark, d):
 
 
 def dwell_progress(spark, d):
-    p, jitter = E.progress(F.col("id") * 100.0, 1500.0)
-    return spark.range(0, 31).select("id", p.alias("progress"), jitter.alias("jitter"))
+    """Events as moments of a dwell of 1500 ms."""
+    p, jitter = E.progress(F.col("event_id") % 31 * 100.0, 1500.0)
+    return table(spark, d, "events").select("event_id", p.alias("progress"), jitter.alias("jitter"))
 
 
 def cooldown(spark, d):
@@ -136,7 +137,8 @@ def ttl_active(spark, d):
 
 
 def bounce(spark, d):
-    balls = literal(spark, [(5.0, 120.0), (50.0, -75.0), (0.0, 300.0)], "x double, v double")
+    """Users as balls between two walls, after three seconds."""
+    balls = table(spark, d, "events").select("user_id").distinct().select(F.col("user_id").alias("ord"), (F.col("user_id") * 7 % 101).cast("double").alias("x"), (F.col("user_id") * 53 % 601 - 300).cast("double").alias("v"))
     at = E.bounced(F.col("x"), F.col("v"), 60, 0.25, 0.0, 100.0)
     return balls.select("ord", at.alias("s")).select("ord", F.round("s.x", 6).alias("x"), "s.v")
 
@@ -181,7 +183,7 @@ SELECT event_id, round((1.6 + a * 1.3 + b * 0.4) * 1000 + 150, 6) AS stays_ms, l
 SELECT p_partkey, i + 1, least(90, greatest(0, nx)), least(45, greatest(0, ny)), CASE WHEN nx < 0 THEN abs(vx) WHEN nx > 90 THEN -abs(vx) ELSE vx END, CASE WHEN ny < 0 THEN abs(vy) WHEN ny > 45 THEN -abs(vy) ELSE vy END
 FROM (SELECT *, x + vx * dt AS nx, y + vy * dt AS ny FROM (SELECT *, [0.016::DOUBLE, 0.04, 0.05, 0.05, 0.033][i % 5 + 1] AS dt FROM b WHERE i < 60)))
 SELECT p_partkey, round(x, 6) AS x, round(y, 6) AS y, vx, vy FROM b WHERE i = 60""",
-    "dwell_progress": "SELECT id, least(id * 100.0 / 1500.0, 1.0)::DOUBLE AS progress, 4 * least(id * 100.0::DOUBLE / 1500.0, 1.0) * least(id * 100.0::DOUBLE / 1500.0, 1.0) AS jitter FROM range(31) t(id)",
+    "dwell_progress": "SELECT event_id, least(id * 100.0 / 1500.0, 1.0)::DOUBLE AS progress, 4 * least(id * 100.0::DOUBLE / 1500.0, 1.0) * least(id * 100.0::DOUBLE / 1500.0, 1.0) AS jitter FROM (SELECT event_id, event_id % 31 AS id FROM events)",
     "cooldown": f"WITH RECURSIVE {_E}, {_FIRED.format('e', 24 * HOUR)} SELECT * FROM f",
     "funnel": f"""WITH {_E}, u AS (SELECT DISTINCT user_id FROM e),
 a AS (SELECT user_id, min((us, event_id)) AS at FROM e WHERE event_type = 'view' GROUP BY 1),
@@ -197,7 +199,7 @@ SELECT user_id, count(won) AS rounds, sum(CASE WHEN event_type = 'error' AND (la
     "note_highlight": f"WITH {_E} SELECT event_id, least(coalesce(lead(us) OVER {_W} - us, {8 * HOUR}), {8 * HOUR})::BIGINT AS shown_us FROM e",
     "navigation_depth": f"WITH {_E}, t AS (SELECT *, sum((event_type = 'signup')::INT) OVER {_W} AS tab FROM e), s AS (SELECT *, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END) OVER w AS s FROM t WINDOW w AS (PARTITION BY user_id, tab ORDER BY us, event_id)) SELECT event_id, (s - least(0, min(s) OVER (PARTITION BY user_id, tab ORDER BY us, event_id)))::BIGINT AS depth FROM s",
     "ttl_active": f"WITH {_E} SELECT hour, count(*) AS active FROM (SELECT unnest(range(us // {HOUR} + 1, us // {HOUR} + 7)) AS hour FROM e) GROUP BY hour",
-    "bounce": """WITH RECURSIVE b(ord, i, x, v) AS (SELECT * FROM (VALUES (0::BIGINT, 0, 5.0::DOUBLE, 120.0::DOUBLE), (1, 0, 50.0, -75.0), (2, 0, 0.0, 300.0)) t UNION ALL
+    "bounce": """WITH RECURSIVE b(ord, i, x, v) AS (SELECT DISTINCT user_id, 0, (user_id * 7 % 101)::DOUBLE, (user_id * 53 % 601 - 300)::DOUBLE FROM events UNION ALL
 SELECT ord, i + 1, greatest(0.0, least(100.0, x + v * 0.05::DOUBLE)), CASE WHEN x + v * 0.05::DOUBLE < 0 THEN abs(v) WHEN x + v * 0.05::DOUBLE > 100 THEN -abs(v) ELSE v END FROM b WHERE i < 60)
 SELECT ord, round(x, 6) AS x, v FROM b WHERE i = 60""",
 }

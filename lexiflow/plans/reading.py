@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X, values as V
 from ..operators import matching as M, positional as P, sampling as S
 from ..sources.literals import BODY_PARTS, CHARACTERS, CONFLICTS, DEFAULT_CHARACTER, DEFAULT_LABEL, PROP_LABELS
-from ..sources.tables import literal, table
+from ..sources.tables import table
 
 PARTS = tuple(p[0] for p in BODY_PARTS)
 SPACE_SQL = X.SPACES
@@ -61,9 +61,15 @@ def words_of_labels(spark, d):
 
 
 def data_url_decode(spark, d):
-    rows = literal(spark, ["data:image/png;base64,aGVsbG8=", "http://x", "data:;base64,AA", "data:image/jpeg;base64,d29ybGQ=", None], "url string")
+    """URLs made of parts' names: of two kinds of image, without a kind, and no data URLs."""
+    b = F.base64(F.encode("p_name", "utf-8"))
+    kinds = {0: F.concat(F.lit("data:image/png;base64,"), b), 1: F.concat(F.lit("http://"), b), 2: F.concat(F.lit("data:;base64,"), b), 3: F.concat(F.lit("data:image/jpeg;base64,"), b)}
+    url = F.lit(None).cast("string")
+    for k, u in kinds.items():
+        url = F.when(F.col("p_partkey") % 5 == k, u).otherwise(url)
+    rows = table(spark, d, "part").select("p_partkey", url.alias("url"))
     mime = X.data_url_mime(F.col("url"))
-    return rows.select("ord", mime.alias("mime"), X.data_url_bytes(F.col("url")).cast("string").alias("payload"), X.image_extension(mime).alias("ext"))
+    return rows.select("p_partkey", mime.alias("mime"), X.data_url_bytes(F.col("url")).cast("string").alias("payload"), X.image_extension(mime).alias("ext"))
 
 
 def data_url_lenient(spark, d):
@@ -134,10 +140,10 @@ def anti_customers(spark, d):
 
 
 def family_others(spark, d):
-    """For each family of literal items, the items of the other families."""
-    f = literal(spark, [("fruits", ["🍎", "🍌"]), ("animaux", ["🐷", "🐻", "🐰"]), ("jouets", ["🚗"])], "name string, items array<string>")
-    items = f.select(F.col("name").alias("other"), F.explode("items").alias("item"))
-    return f.join(items, f["name"] != items["other"]).select("name", "item", F.lit(False).alias("is_target"))
+    """For each region the nations of all others. Regions are a handful; each nation is written down for the others of them."""
+    regions = F.array(*(F.lit(r[0]) for r in table(spark, d, "region").select("r_regionkey").distinct().collect()))
+    n = table(spark, d, "nation")
+    return n.select(F.explode(F.array_except(regions, F.array("n_regionkey"))).alias("family"), F.col("n_name").alias("item"), F.lit(False).alias("is_target"))
 
 
 def zip_positional(spark, d):
@@ -153,9 +159,10 @@ def modular_lookup(spark, d):
 
 
 def grid_neighbours(spark, d):
-    own = F.when((F.col("r") * 7 + F.col("c") * 3) % 5 < 2, 1).otherwise(-1)
-    g = M.edge_signs(M.grid(spark, 6, 7), own)
-    return g.select("r", "c", *(F.col(x).cast("long").alias(x) for x in ("top", "right", "bottom", "left")))
+    """Boards of two to five rows and two to four columns, one for each part."""
+    boards = M.grid(table(spark, d, "part").select("p_partkey", "p_size"), F.lit(2) + F.col("p_size") % 4, F.lit(2) + F.col("p_size") % 3)
+    own = F.when((F.col("r") * 7 + F.col("c") * 3 + F.col("p_partkey")) % 5 < 2, 1).otherwise(-1)
+    return M.edge_signs(boards, own, "p_partkey").select("p_partkey", "r", "c", *(F.col(x).cast("long").alias(x) for x in ("top", "right", "bottom", "left")))
 
 
 def greedy_independent(spark, d):
@@ -214,24 +221,24 @@ def preference_pick(spark, d):
     return S.preferred(table(spark, d, "documents").select("source", "lang", "doc_id"), "source", rank, "doc_id")
 
 
-def _pieces(spark):
-    """Pieces of a board of 4 by 3 cells on a square of 400, with seeded signs of their edges."""
-    own = lambda seed: F.when(F.pmod(F.col("r") * 7 + F.col("c") * seed, F.lit(5)) < 2, 1).otherwise(-1)
-    g = M.edge_signs(M.grid(spark, 3, 4), own(3))
+def _pieces(spark, d):
+    """For each supplier the pieces of a board of 4 by 3 cells on a square of 400, with seeded signs of their edges."""
+    own = F.when(F.pmod(F.col("r") * 7 + F.col("c") * 3 + F.col("s_suppkey"), F.lit(5)) < 2, 1).otherwise(-1)
+    g = M.edge_signs(M.grid(table(spark, d, "supplier").select("s_suppkey"), F.lit(3), F.lit(4)), own, "s_suppkey")
     # Signs of an edge are given downwards and to the right, alike for both pieces that share it.
     signs = {"top": -F.col("top"), "bottom": F.col("bottom"), "left": -F.col("left"), "right": F.col("right")}
-    return g.select("r", "c", V.piece_shape(F.col("r"), F.col("c"), signs, 100.0, 400 / 3).alias("s"))
+    return g.select("s_suppkey", "r", "c", V.piece_shape(F.col("r"), F.col("c"), signs, 100.0, 400 / 3).alias("s"))
 
 
 def jigsaw_ring(spark, d):
     """Every point of each piece's outline."""
-    return _pieces(spark).select("r", "c", F.posexplode("s.ring").alias("pos", "p")).select("r", "c", F.col("pos").cast("long").alias("pos"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    return _pieces(spark, d).select("s_suppkey", "r", "c", F.posexplode("s.ring").alias("pos", "p")).select("s_suppkey", "r", "c", F.col("pos").cast("long").alias("pos"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 def jigsaw_pieces(spark, d):
     """Key, path, box and home of each piece."""
     b = [F.round(F.col(f"s.box.{c}"), 6).alias(c) for c in "xywh"]
-    return _pieces(spark).select(X.key_of(F.col("r"), F.col("c")).alias("id"), V.path_of(F.col("s.ring")).alias("d"), *b, F.round("s.home.x", 6).alias("home_x"), F.round("s.home.y", 6).alias("home_y"))
+    return _pieces(spark, d).select("s_suppkey", X.key_of(F.col("r"), F.col("c")).alias("id"), V.path_of(F.col("s.ring")).alias("d"), *b, F.round("s.home.x", 6).alias("home_x"), F.round("s.home.y", 6).alias("home_y"))
 
 
 def fixed_decimals(spark, d):
@@ -250,8 +257,9 @@ def layer_delays(spark, d):
 
 
 def easing(spark, d):
-    s = spark.range(0, 41).select("id", (F.col("id") / 40.0).alias("t"))
-    return s.select("id", F.round(V.ease_out_back(F.col("t")), 6).alias("ease"), F.round(F.sin(F.col("t")) * 4.0, 6).alias("bob"), F.least(F.col("id"), F.lit(10)).cast("double").alias("steps"), V.percent_of(F.col("id") * 5.0, F.lit(20.0), F.lit(120.0)).alias("pct"), V.placed(F.col("t"), F.lit(2.0), F.lit(1.0)).alias("at"))
+    """Events as moments of a movement of forty steps."""
+    s = table(spark, d, "events").select("event_id", (F.col("event_id") % 41).alias("id")).withColumn("t", F.col("id") / 40.0)
+    return s.select("event_id", F.round(V.ease_out_back(F.col("t")), 6).alias("ease"), F.round(F.sin(F.col("t")) * 4.0, 6).alias("bob"), F.least(F.col("id"), F.lit(10)).cast("double").alias("steps"), V.percent_of(F.col("id") * 5.0, F.lit(20.0), F.lit(120.0)).alias("pct"), V.placed(F.col("t"), F.lit(2.0), F.lit(1.0)).alias("at"))
 
 
 QUERIES = {f.__name__: f for f in (word_zone_hits, all_zone_hits, tokenize, spoken_word, normalize_word, tokenize_foreign, normalize_foreign, words_of_labels, data_url_decode, data_url_lenient, url_rewrite, replace_first_fill, phrases, url_keys, colour_mix, fit_dimensions, label_lookup_default, first_match_label, character_label, semi_customers, anti_customers, family_others, zip_positional, modular_lookup, grid_neighbours, greedy_independent, page_ordinals, next_prev_wrap, play_next_url, play_previous, sample_n, pick_with_must, pick_with_must_shuffled, pick_other, pick_with_replacement, round_options, preference_pick, jigsaw_ring, jigsaw_pieces, fixed_decimals, layer_delays, easing)}
@@ -262,15 +270,15 @@ k AS (SELECT doc_id, pos::BIGINT AS pos, string_agg(tok, ' ' ORDER BY i) AS word
 _MARKED = _TOKENS.format("replace(text, ',', ' ,')", SPACE_SQL)
 _FOREIGN = "replace(replace(replace(replace(replace(replace(replace(replace(text, ' de ', chr(160) || '! '), ' la ', chr(8239) || '? '), ', ', ',' || chr(8195) || '« '), '. ', chr(8221) || '. '), 'o', 'ő'), 'c', 'Č'), 's', 'ș'), 'i', 'İ')"
 _SPOKEN = rf"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '^[!?.,;:…«»\"''“”]+', ''), '[!?.,;:…«»\"''“”]+$', ''), '^[{SPACE_SQL}]+', ''), '[{SPACE_SQL}]+$', ''), ''), word)"
-_PIECES = """WITH g AS (SELECT r, c, CASE WHEN (r * 7 + c * 3) % 5 < 2 THEN 1 ELSE -1 END AS s FROM range(3) a(r), range(4) b(c)),
-e AS (SELECT g.r, g.c, CASE WHEN g.r = 0 THEN 0 ELSE up.s END AS top, CASE WHEN g.r = 2 THEN 0 ELSE g.s END AS bottom, CASE WHEN g.c = 0 THEN 0 ELSE -before.s END AS "left", CASE WHEN g.c = 3 THEN 0 ELSE -g.s END AS "right",
-  g.c * 100.0::DOUBLE AS x, g.r * (400.0::DOUBLE / 3) AS y, 400.0::DOUBLE / 3 AS h FROM g LEFT JOIN g up ON up.r = g.r - 1 AND up.c = g.c LEFT JOIN g before ON before.r = g.r AND before.c = g.c - 1),
+_PIECES = """WITH g AS (SELECT s_suppkey AS k, r, c, CASE WHEN (r * 7 + c * 3 + s_suppkey) % 5 < 2 THEN 1 ELSE -1 END AS s FROM supplier, range(3) a(r), range(4) b(c)),
+e AS (SELECT g.k, g.r, g.c, CASE WHEN g.r = 0 THEN 0 ELSE up.s END AS top, CASE WHEN g.r = 2 THEN 0 ELSE g.s END AS bottom, CASE WHEN g.c = 0 THEN 0 ELSE -before.s END AS "left", CASE WHEN g.c = 3 THEN 0 ELSE -g.s END AS "right",
+  g.c * 100.0::DOUBLE AS x, g.r * (400.0::DOUBLE / 3) AS y, 400.0::DOUBLE / 3 AS h FROM g LEFT JOIN g up ON up.k = g.k AND up.r = g.r - 1 AND up.c = g.c LEFT JOIN g before ON before.k = g.k AND before.r = g.r AND before.c = g.c - 1),
 -- side, place along the edge, sign, start, direction, length, across
-s AS (SELECT r, c, 0 AS side, top AS sign, x AS ax, y AS ay, 100.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, 0 AS qx, 1 AS qy FROM e UNION ALL SELECT r, c, 1, "right", x + 100, y, 0, h, 1, 0 FROM e
- UNION ALL SELECT r, c, 2, bottom, x, y + h, 100, 0, 0, 1 FROM e UNION ALL SELECT r, c, 3, "left", x, y, 0, h, 1, 0 FROM e),
+s AS (SELECT k, r, c, 0 AS side, top AS sign, x AS ax, y AS ay, 100.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, 0 AS qx, 1 AS qy FROM e UNION ALL SELECT k, r, c, 1, "right", x + 100, y, 0, h, 1, 0 FROM e
+ UNION ALL SELECT k, r, c, 2, bottom, x, y + h, 100, 0, 0, 1 FROM e UNION ALL SELECT k, r, c, 3, "left", x, y, 0, h, 1, 0 FROM e),
 p AS (SELECT *, i / 18.0::DOUBLE AS t, CASE WHEN side < 2 THEN i ELSE 18 - i END AS along FROM s, range(19) n(i) WHERE sign <> 0 OR i IN (0, 18)),
 q AS (SELECT *, CASE WHEN sign <> 0 AND t > 0.34 AND t < 0.66 THEN sign * 0.22 * (dx + dy) * 0.5 * (1 - cos(2 * pi() * ((t - 0.34) / (0.66 - 0.34)))) ELSE 0 END AS off FROM p WHERE NOT (side > 0 AND along = 0) AND NOT (side = 3 AND along = 18)),
-o AS (SELECT r::BIGINT AS r, c::BIGINT AS c, row_number() OVER (PARTITION BY r, c ORDER BY side, along) - 1 AS pos, ax + dx * t + qx * off AS x, ay + dy * t + qy * off AS y FROM q) """
+o AS (SELECT k AS s_suppkey, r::BIGINT AS r, c::BIGINT AS c, row_number() OVER (PARTITION BY k, r, c ORDER BY side, along) - 1 AS pos, ax + dx * t + qx * off AS x, ay + dy * t + qy * off AS y FROM q) """
 _NORMAL = "regexp_replace(strip_accents(lower(word)), '[^a-z0-9]', '', 'g')"
 _EDGES = ", ".join(f"'{a}|{b}'" for a, bs in CONFLICTS.items() for b in bs)
 _list = lambda xs: "[" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in xs) + "]"
@@ -293,8 +301,8 @@ FROM (SELECT p_partkey, {_list([*(e for e, _ in CHARACTERS), '🐭'])}[p_partkey
     "play_previous": "SELECT user_id, url, preceding, following FROM (SELECT user_id, props AS url, lag(props) OVER (PARTITION BY user_id ORDER BY event_id) AS preceding, lead(props) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS n FROM events) WHERE n = 1",
     "pick_with_must_shuffled": """WITH f AS (SELECT * FROM (SELECT p_partkey, p_size FROM part WHERE p_size = 17 ORDER BY md5('s2|' || p_partkey), p_partkey LIMIT 1)), o AS (SELECT p_partkey, p_size FROM part WHERE p_size <> 17 ORDER BY md5('s2|' || p_partkey), p_partkey LIMIT 6),
 a AS (SELECT * FROM (SELECT *, 0 AS k FROM f UNION ALL SELECT *, 1 FROM o) ORDER BY k, md5('s2|' || p_partkey), p_partkey LIMIT 6) SELECT p_partkey, p_size, row_number() OVER (ORDER BY md5('s2|again|' || p_partkey), p_partkey) AS place FROM a""",
-    "jigsaw_pieces": _PIECES + """SELECT r || '-' || c AS id, 'M' || string_agg(printf('%.2f', x) || ' ' || printf('%.2f', y), ' L' ORDER BY pos) || ' Z' AS d, round(c * 100 - (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS x, round(r * (400.0::DOUBLE / 3) - (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS y,
- round(100 + 2 * (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS w, round(400.0::DOUBLE / 3 + 2 * (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS h, c * 100 + 50.0::DOUBLE AS home_x, round(r * (400.0::DOUBLE / 3) + 400.0::DOUBLE / 6, 6) AS home_y FROM o GROUP BY r, c""",
+    "jigsaw_pieces": _PIECES + """SELECT s_suppkey, r || '-' || c AS id, 'M' || string_agg(printf('%.2f', x) || ' ' || printf('%.2f', y), ' L' ORDER BY pos) || ' Z' AS d, round(c * 100 - (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS x, round(r * (400.0::DOUBLE / 3) - (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS y,
+ round(100 + 2 * (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS w, round(400.0::DOUBLE / 3 + 2 * (0.22 * (400.0::DOUBLE / 3) + 2), 6) AS h, c * 100 + 50.0::DOUBLE AS home_x, round(r * (400.0::DOUBLE / 3) + 400.0::DOUBLE / 6, 6) AS home_y FROM o GROUP BY s_suppkey, r, c""",
     # Only eighths and quarters are ties in binary; they go away from zero.
     "fixed_decimals": "SELECT l_orderkey, l_linenumber, printf('%.2f', x + CASE WHEN x * 8 = floor(x * 8) AND (x * 8)::BIGINT % 2 <> 0 THEN sign(x) * 0.001 ELSE 0 END) AS two, printf('%.1f', x + CASE WHEN x * 4 = floor(x * 4) AND (x * 4)::BIGINT % 2 <> 0 THEN sign(x) * 0.01 ELSE 0 END) AS one FROM (SELECT *, l_extendedprice * (l_discount - 0.05::DOUBLE) / 7 AS x FROM lineitem)",
     "layer_delays": """SELECT l_orderkey, l_linenumber, l_partkey - 10.0::DOUBLE AS "left", l_suppkey - l_quantity AS top, l_quantity AS width, l_quantity * 2 AS height, least(l_partkey, l_suppkey) AS box_left, abs(l_suppkey - l_partkey) AS box_width, abs(l_quantity::BIGINT - l_suppkey) AS box_height,
@@ -311,9 +319,10 @@ a AS (SELECT * FROM (SELECT *, 0 AS k FROM f UNION ALL SELECT *, 1 FROM o) ORDER
     "anti_customers": "SELECT c_custkey FROM customer WHERE c_custkey <> 7 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "zip_positional": "SELECT n_regionkey, n_name AS names, ['#ff6b6b', '#4ecdc4', '#ffe66d'][r] AS colours FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation) WHERE r <= 3",
     "modular_lookup": "SELECT p_partkey, ['a', 'b', 'c', 'd', 'e'][p_partkey % 5 + 1] AS picked FROM part",
-    "grid_neighbours": """WITH g AS (SELECT r, c, CASE WHEN (r * 7 + c * 3) % 5 < 2 THEN 1 ELSE -1 END AS s FROM range(6) a(r), range(7) b(c)),
-e AS (SELECT r, c, CASE WHEN r = 5 THEN 0 ELSE s END AS bottom, CASE WHEN c = 6 THEN 0 ELSE -s END AS "right" FROM g)
-SELECT r, c, coalesce(-lag(bottom) OVER (PARTITION BY c ORDER BY r), 0)::BIGINT AS top, "right"::BIGINT AS "right", bottom::BIGINT AS bottom, coalesce(-lag("right") OVER (PARTITION BY r ORDER BY c), 0)::BIGINT AS "left" FROM e""",
+    "grid_neighbours": """WITH b AS (SELECT p_partkey, 2 + p_size % 4 AS nr, 2 + p_size % 3 AS nc FROM part), k AS (SELECT *, unnest(range(nr)) AS r FROM b), l AS (SELECT *, unnest(range(nc)) AS c FROM k),
+g AS (SELECT *, CASE WHEN (r * 7 + c * 3 + p_partkey) % 5 < 2 THEN 1 ELSE -1 END AS s FROM l),
+e AS (SELECT p_partkey, r, c, CASE WHEN r = nr - 1 THEN 0 ELSE s END AS bottom, CASE WHEN c = nc - 1 THEN 0 ELSE -s END AS "right" FROM g)
+SELECT p_partkey, r, c, coalesce(-lag(bottom) OVER (PARTITION BY p_partkey, c ORDER BY r), 0)::BIGINT AS top, "right"::BIGINT AS "right", bottom::BIGINT AS bottom, coalesce(-lag("right") OVER (PARTITION BY p_partkey, r ORDER BY c), 0)::BIGINT AS "left" FROM e""",
     "greedy_independent": f"""WITH RECURSIVE t AS (SELECT n_nationkey, {_list(PARTS)}[n_nationkey % {len(PARTS)} + 1] AS target FROM nation),
 o AS (SELECT n_nationkey, p, row_number() OVER (PARTITION BY n_nationkey ORDER BY md5(n_nationkey || '|' || p)) AS i FROM t, (SELECT unnest({_list(PARTS)}) AS p) WHERE p <> target AND NOT list_contains([{_EDGES}], target || '|' || p)),
 f(n_nationkey, i, chosen) AS (SELECT n_nationkey, 0::BIGINT, [target] FROM t UNION ALL
@@ -328,8 +337,10 @@ SELECT n_nationkey, array_to_string(arg_max(chosen, i), ',') AS chosen FROM f GR
     "pick_with_replacement": "SELECT c_custkey, ['a', 'b', 'c'][('0x' || md5('s4|' || c_custkey)[1:8])::BIGINT % 3 + 1] AS picked FROM customer",
     "round_options": "SELECT * FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5('s5|' || p_partkey), p_partkey) AS place FROM part) WHERE place <= 3",
     "preference_pick": "SELECT source, arg_min(doc_id, (r, doc_id)) AS doc_id, min(r) AS rank FROM (SELECT source, doc_id, CASE WHEN lang = 'fr' THEN 0 WHEN lang IN ('es', 'de') THEN 1 ELSE 2 END::BIGINT AS r FROM documents) GROUP BY source",
-    "data_url_decode": "SELECT * FROM (VALUES (0::BIGINT, 'image/png', 'hello', 'png'), (1, NULL, NULL, 'jpg'), (2, NULL, NULL, 'jpg'), (3, 'image/jpeg', 'world', 'jpg'), (4, NULL, NULL, 'jpg')) t(ord, mime, payload, ext)",
-    "family_others": "WITH f AS (SELECT * FROM (VALUES ('fruits', ['🍎', '🍌']), ('animaux', ['🐷', '🐻', '🐰']), ('jouets', ['🚗'])) t(name, items)), i AS (SELECT name AS other, unnest(items) AS item FROM f) SELECT name, item, false AS is_target FROM f JOIN i ON name <> other",
-    "jigsaw_ring": _PIECES + "SELECT r, c, pos, round(x, 6) AS x, round(y, 6) AS y FROM o",
-    "easing": "SELECT id, round(1.0 + 2.70158 * pow(t - 1.0, 3) + 1.70158 * pow(t - 1.0, 2), 6) AS ease, round(sin(t) * 4.0, 6) AS bob, least(id, 10)::DOUBLE AS steps, least(greatest((id * 5.0::DOUBLE - 20.0) * 100.0 / 120.0, 0), 100) AS pct, t * 2.0::DOUBLE + 1.0 AS at FROM (SELECT id, id / 40.0::DOUBLE AS t FROM range(41) x(id))",
+    "data_url_decode": """WITH u AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'data:image/png;base64,' WHEN 1 THEN 'http://' WHEN 2 THEN 'data:;base64,' WHEN 3 THEN 'data:image/jpeg;base64,' END || base64(encode(p_name)) AS url FROM part),
+m AS (SELECT p_partkey, url, nullif(regexp_extract(coalesce(url, ''), '^data:([^;]+);base64,', 1), '') AS mime FROM u)
+SELECT p_partkey, mime, CASE WHEN mime IS NOT NULL THEN decode(from_base64(split_part(url, 'base64,', 2))) END AS payload, CASE WHEN mime = 'image/png' THEN 'png' ELSE 'jpg' END AS ext FROM m""",
+    "family_others": "SELECT r_regionkey AS family, n_name AS item, false AS is_target FROM nation JOIN region ON r_regionkey <> n_regionkey",
+    "jigsaw_ring": _PIECES + "SELECT s_suppkey, r, c, pos, round(x, 6) AS x, round(y, 6) AS y FROM o",
+    "easing": "SELECT event_id, round(1.0 + 2.70158 * pow(t - 1.0, 3) + 1.70158 * pow(t - 1.0, 2), 6) AS ease, round(sin(t) * 4.0, 6) AS bob, least(id, 10)::DOUBLE AS steps, least(greatest((id * 5.0::DOUBLE - 20.0) * 100.0 / 120.0, 0), 100) AS pct, t * 2.0::DOUBLE + 1.0 AS at FROM (SELECT event_id, event_id % 41 AS id, (event_id % 41) / 40.0::DOUBLE AS t FROM events)",
 }

@@ -160,9 +160,9 @@ def save_pages(pages: DataFrame, book: str, pos: str, text: str, mode: str, imag
     return out.withColumn(image, source).withColumn("plain", F.col(image).isNull()).withColumn(zones, F.when(F.col(image).isNull(), F.lit(None)).otherwise(F.col(zones)))
 
 
-def size_reason(row: Column, most_mb: float = 5.5) -> Column:
-    """Megabytes of a row as JSON, rounded to one decimal, and whether that is too large."""
-    mb = fixed(F.length(F.to_json(row)) / 1048576.0, 1).cast("double")
+def size_reason(row: Column, most_mb: float = 5.5, unit: int = 1 << 20) -> Column:
+    """Megabytes (or other ``unit``) of a row as JSON, rounded to one decimal, and whether that is too large."""
+    mb = fixed(F.length(F.to_json(row)) / float(unit), 1).cast("double")
     return F.struct(mb.alias("mb"), (mb > most_mb).alias("too_large"))
 
 
