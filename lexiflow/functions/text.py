@@ -9,9 +9,8 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: white space, as the inside of a character class.
 SPACES = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-#: The same characters as text, and the class of all others; printable ASCII, by far the most of them, is tested first.
+#: The same characters as text.
 SPACE_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-NOT_SPACE = rf"[!-~[^{SPACES}]]"
 # Fixed value: marks that stand alone after a word.
 MARKS = "!?.,;:…"
 # Fixed value: marks and quotes that are not read aloud at either end of a word.
@@ -43,10 +42,15 @@ def or_default(x: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(x, F.lit("")), default)
 
 
+def _plain_spaces(x: Column) -> Column:
+    """White space as plain spaces, one for each character; patterns then need no Unicode class."""
+    return F.translate(x, SPACE_CHARACTERS, " " * len(SPACE_CHARACTERS))
+
+
 def tokenize(x: Column) -> Column:
     """Words; tokens of ``MARKS`` only belong to the word before, after one space. A leading one stands alone."""
-    found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(rf"{NOT_SPACE}+(?:[{SPACES}]+[{MARKS}]+(?=[{SPACES}]|\z))*"), F.lit(0))
-    return F.transform(found, lambda w: F.regexp_replace(w, rf"[{SPACES}]+", " "))
+    found = F.regexp_extract_all(_plain_spaces(F.coalesce(x, F.lit(""))), F.lit(rf"[^ ]+(?: +[{MARKS}]+(?= |\z))*"), F.lit(0))
+    return F.transform(found, lambda w: F.when(w.contains("  "), F.regexp_replace(w, " +", " ")).otherwise(w))
 
 
 def spoken(word: Column) -> Column:
@@ -60,7 +64,7 @@ def normalize_word(word: Column) -> Column:
 
 
 def split_space(x: Column) -> Column:
-    return F.split(x, rf"[{SPACES}]+")
+    return F.split(_plain_spaces(x), " +")
 
 
 _DATA_URL = r"^data:([^;]+);base64,([^\n\r\x{2028}\x{2029}]*)\z"
