@@ -1,4 +1,4 @@
-"""The memory game's clicks, by hand and against the reference's flipCard written out with timers."""
+"""The memory game's clicks, by hand and against its rules written out with timers."""
 
 from datetime import datetime, timedelta, timezone
 
