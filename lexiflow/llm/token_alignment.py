@@ -42,6 +42,7 @@ MERGED, CHUNK = 2_000_000, 1 << 16
 INNER = re.compile(r"[^\s\u180e]{2}")
 #: Pieces in a call of the libraries.
 ROW = 64
+WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace() and i != 32) + "\u180e"
 CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 
 
@@ -52,6 +53,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def cut_pieces(text: str) -> list[str]:
+    """The text without the spaces that stand between two other characters, cut there."""
+    if text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in WHITE):
+        return CUT.split(text)
+    return text.split(" ")
+
+
 class Aligner:
     """Pieces of texts to aligned tokens, remembered by piece."""
 
@@ -186,7 +194,7 @@ class Aligner:
         """The numbers of each text's pieces in ``texts``, ``pairs``, ``times`` and ``sums``; none where there are no tokens."""
         if len(self.texts) > self.remembered or self.held > HELD:
             self._forget()
-        cut = [CUT.split(t) if t else [] for t in texts]
+        cut = [cut_pieces(t) if t else [] for t in texts]
         known = self.known
         new = set().union(*cut).difference(known)
         # Only a text's first and last piece may have white space at an end.

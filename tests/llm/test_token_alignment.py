@@ -66,6 +66,13 @@ def test_libraries(spark):
     check(spark, list(enumerate(texts)))
 
 
+def test_cuts():
+    r = random.Random(8)
+    for _ in range(3000):
+        t = "".join(r.choice("ab \n\u00a0\u180e\x1c\u2028é") if r.random() < 0.4 else r.choice("abé ") for _ in range(r.randrange(1, 9)))
+        assert T.cut_pieces(t) == T.CUT.split(t), repr(t)
+
+
 def test_other_keys(spark):
     check(spark, [("a", "one two"), (None, "one"), ("a", "one two"), ("b", None)], "string")
 
