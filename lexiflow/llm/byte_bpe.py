@@ -93,14 +93,33 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: again and again the leftmost pair of least rank."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    """Ids of one word: again and again the leftmost pair of least rank, from a heap of (rank, place, pair)."""
+    n = len(word)
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    heap: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j >= 0:
+            pair = parts[i] + parts[j]
+            if pair in ranks:
+                heapq.heappush(heap, (ranks[pair], i, pair))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i] if parts[i] is not None else -1
+        # A place that was merged since then has another pair, or none.
+        if j < 0 or parts[i] + parts[j] != pair:
+            continue
+        parts[i], parts[j] = pair, None
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        offer(before[i], i)
+        offer(i, after[i])
+    return [ranks[p] for p in parts if p is not None]
 
 
 class Encoder:

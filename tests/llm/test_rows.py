@@ -66,6 +66,26 @@ def test_replay_handles_ranks_that_fall():
     assert byte_bpe.replay(words, ranks) == [byte_bpe.merge_word(w, ranks) for w in words]
 
 
+def test_merge_word_equals_plain_merging():
+    """Random words and ranks against a search of the whole word at each merge; a word of 100,000 bytes ends."""
+    draw = random.Random(6)
+    for _ in range(300):
+        ranks = {bytes([c]): 1000 + c for c in b"abc"}
+        for r in range(draw.randrange(12)):
+            a, b = draw.choice(list(ranks)), draw.choice(list(ranks))
+            ranks.setdefault(a + b, draw.randrange(40) * 20 + r)
+        word = bytes(draw.choice(b"abc") for _ in range(draw.randrange(40)))
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                break
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert byte_bpe.merge_word(word, ranks) == [ranks[p] for p in parts]
+    assert byte_bpe.merge_word(b"ab" * 50_000, {b"a": 3, b"b": 4, b"ab": 2, b"abab": 1}) == [1] * 25_000
+
+
 def test_encoder_forgets_within_bounds():
     enc = byte_bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, remembered=10)
     for i in range(20):
