@@ -156,7 +156,7 @@ class Schedule:
         self.shares = np.where(self.totals > 0, self.shares, 1.0)
         self.total, self.sequence, self.size = int(self.totals.sum()), sequence, sequence * block
         self.blocks = -(-self.total // self.size)
-        self.edge, self.block = lru_cache(4096)(self._edge), lru_cache(512)(self._block)
+        self.edge, self.block = lru_cache(4096)(self._edge), lru_cache(QUEUES)(self._block)  # a queue is in one block at a time
 
     def _paid(self, time: float) -> np.ndarray:
         """Tokens of each queue that are due by ``time``; token j is due at (j + 0.5) / share."""
