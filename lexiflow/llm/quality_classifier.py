@@ -146,6 +146,21 @@ def fit(rows: DataFrame, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) ->
     return rows.select("f", "p").coalesce(1).mapInArrow(run, "weights array<double>").first()["weights"]
 
 
+def _last(rows: DataFrame, sample: int, n: int):
+    """The last of the ``sample`` least distinct (h, mark) of ``n`` rows, None of none.
+
+    Only hashes in the share of their range that should hold four times the sample are shuffled. Where repeated rows
+    leave too few there, all are.
+    """
+    at = rows.select(F.struct("h", "mark").alias("at"))
+    edge = -(1 << 63) + (4 * sample << 64) // max(n, 1)
+    for df in ([at.filter(F.col("at.h") < edge)] if edge < 1 << 63 else []) + [at]:
+        found = df.distinct().orderBy("at").limit(sample).agg(F.max("at").alias("at"), F.count("*").alias("n")).first()
+        if found["n"] >= sample:
+            break
+    return found["at"]
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> list[float]:
     """Weights of the scorer: votes and pattern counts over all documents, the fit over ``sample`` of them.
 
@@ -154,7 +169,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     all_rows = docs.select(F.xxhash64(named(key)).alias("h"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
     counts = {r["pattern"]: r["count"] for r in votes(all_rows.select("text")).groupBy("pattern").count().collect()}
     posterior, _, _ = estimate(counts)
-    last = all_rows.select(F.struct("h", "mark").alias("at")).distinct().orderBy("at").limit(sample).agg(F.max("at").alias("at")).first()["at"]
+    last = _last(all_rows, sample, sum(counts.values()))
     if last is None:
         return [0.0] * (dimensions + 1)
     least = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("mark") <= last["mark"]))

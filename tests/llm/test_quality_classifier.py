@@ -99,3 +99,18 @@ def test_clashing_columns_and_repeated_keys(spark):
     assert len(rows) == 40 and all(r[n] == f"v{n}" for r in rows for n in names[2:] if n != "Score") and isinstance(rows[0]["score"], float)
     kept = where(Q.quality_scores(df.withColumn("keep", F.lit("x")).withColumn("row_", F.lit(1)), sample=5), "keep")
     assert set(kept.columns) >= {"row", "row_"}
+
+
+def test_least_hashes_equal_a_sort(spark):
+    """The sample's edge, with one row repeated in a third of the table, with few distinct rows, and with none."""
+    for distinct, sample in ((4000, 50), (4000, 1), (60, 50), (20, 50), (0, 5)):
+        df = spark.range(distinct).selectExpr("xxhash64(id) AS h", "id AS mark")
+        again = spark.range(distinct // 2).selectExpr("9223372036854775807 AS h", "-1L AS mark") if distinct != 20 else df
+        rows = df.unionByName(again)
+        got = Q._last(rows, sample, rows.count())
+        want = sorted({(r.h, r.mark) for r in rows.collect()})[:sample]
+        assert (None if got is None else (got.h, got.mark)) == (want[-1] if want else None), (distinct, sample)
+    hot = spark.range(3000).selectExpr("-9223372036854775808 AS h", "0L AS mark").unionByName(spark.range(100).selectExpr("xxhash64(id) AS h", "id AS mark"))
+    want = sorted({(r.h, r.mark) for r in hot.collect()})[:20]
+    got = Q._last(hot, 20, hot.count())
+    assert (got.h, got.mark) == want[-1]
