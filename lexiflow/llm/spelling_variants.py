@@ -46,13 +46,13 @@ def words_of(text: str, key, least: int = LEAST_LENGTH) -> Counter:
     """Words of a text with their numbers: lower-cased runs of letters, a code point deleted where the checksum says so."""
     seen = Counter(RUNS.findall(text.encode().lower().decode()))  # bytes.lower() knows A-Z only
     salt = zlib.crc32(f"{'' if key is None else key}:".encode())
-    for run in list(seen):
-        h = zlib.crc32(run.encode(), salt)
-        if h % SPOILT == 0:
-            at, n = h % len(run), seen.pop(run)
-            word = run[:at] + run[at + 1 :]
-            if len(word) >= least:
-                seen[word] += n
+    spoilt = [(run, h) for run in seen if (h := zlib.crc32(run.encode(), salt)) % SPOILT == 0]
+    # All are taken out before one goes in: what a deletion leaves may be a run of the text that loses a code point itself.
+    for run, h, n in [(run, h, seen.pop(run)) for run, h in spoilt]:
+        at = h % len(run)
+        word = run[:at] + run[at + 1 :]
+        if len(word) >= least:
+            seen[word] += n
     return seen
 
 
