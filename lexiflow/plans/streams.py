@@ -19,35 +19,37 @@ def _events(stream):
     return stream.select("user_id", element.alias("element_id"), F.when(F.col("event_type") == "view", "enter").otherwise(F.col("event_type")).alias("event_type"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-def _closed(spark, d, files=1, late=HOUR):
-    """Pattern of events in files that a stream reads one by one, with a last row that ends the wait for late ones."""
-    return dealt(table(spark, d, "events"), "ts", "event_id", files, late * 1000)
+def _replayed(spark, d, make, files=1, late=HOUR):
+    """Events in folders that a stream reads one by one, with a last row that ends the wait for late ones."""
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return replayed(spark, dealt(events, "ts", "event_id", files, late * 1000), make, files + 1)
 
 
 def dwell_replay(spark, d):
-    """Dwells of four hours; those that nothing ends fire once the watermark, an hour behind, has passed them."""
-    return replayed(spark, f"{d}/events.parquet", lambda s: dwell_stream(_events(s), 4 * HOUR, "1 hour"))
+    """Dwells of four hours; those that nothing ends fire if they are due an hour before the last event."""
+    last = table(spark, d, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
+    return _replayed(spark, d, lambda s: dwell_stream(_events(s), 4 * HOUR, "1 hour", None if last is None else last - HOUR))
 
 
 def cooldown_replay(spark, d):
-    return replayed(spark, _closed(spark, d), lambda s: cooldown_stream(_events(s), 24 * HOUR, "1 hour"), 1)
+    return _replayed(spark, d, lambda s: cooldown_stream(_events(s), 24 * HOUR, "1 hour"))
 
 
 def funnel_replay(spark, d):
-    return replayed(spark, _closed(spark, d), lambda s: funnel_stream(_events(s), ["enter", "click", "purchase"], "1 hour"), 1)
+    return _replayed(spark, d, lambda s: funnel_stream(_events(s), ["enter", "click", "purchase"], "1 hour"))
 
 
 def dwell_late(spark, d):
     """Dwells of eight hours from files whose rows come up to a day late."""
-    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: dwell_stream(_events(s), 8 * HOUR, "24 hours"), 1)
+    return _replayed(spark, d, lambda s: dwell_stream(_events(s), 8 * HOUR, "24 hours"), FILES, LATE)
 
 
 def cooldown_late(spark, d):
-    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: cooldown_stream(_events(s), 16 * HOUR, "24 hours"), 1)
+    return _replayed(spark, d, lambda s: cooldown_stream(_events(s), 16 * HOUR, "24 hours"), FILES, LATE)
 
 
 def funnel_late(spark, d):
-    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: funnel_stream(_events(s), ["enter", "click", "enter", "purchase", "error"], "24 hours"), 1)
+    return _replayed(spark, d, lambda s: funnel_stream(_events(s), ["enter", "click", "enter", "purchase", "error"], "24 hours"), FILES, LATE)
 
 
 def slots_late(spark, d):
@@ -56,7 +58,7 @@ def slots_late(spark, d):
         value = F.when(F.col("event_id") % 4 > 0, F.col("event_type"))
         return s.select("user_id", F.concat(F.lit("s"), F.col("event_id") % 3).alias("slot"), value.alias("value"), F.col("ts").cast("timestamp").alias("ts"))
 
-    return replayed(spark, _closed(spark, d, FILES, LATE), lambda s: slot_stream(rows(s), 24 * HOUR, "24 hours"), 1)
+    return _replayed(spark, d, lambda s: slot_stream(rows(s), 24 * HOUR, "24 hours"), FILES, LATE)
 
 
 QUERIES = {f.__name__: f for f in (dwell_replay, cooldown_replay, funnel_replay, dwell_late, cooldown_late, funnel_late, slots_late)}

@@ -11,76 +11,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F
 
-OUT = "user_id bigint, at_ms bigint, slot string, before string, after string, action string"
+from .gaze import BUCKETS, Timed, in_buckets, millis
 
+NAMES = ["user_id", "at_ms", "slot", "before", "after", "action"]
+
+
+class Snapshots(Timed):
+    """What is remembered of a user is the last snapshot, (slot, value) of its slots."""
 
-class Snapshots(StatefulProcessor):
     def __init__(self, width_ms: int):
         self.width = width_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "ms bigint, slot string, value string")
-        self.slots = handle.getListState("slots", "slot string, value string")
-        self.timer = handle.getValueState("timer", "ms bigint")
-
-    def _end(self, ms: int) -> int:
+    def wakes(self, ms: int) -> int:
         return ms - ms % self.width + self.width
 
-    def _wake(self, ms: int) -> None:
-        self.handle.registerTimer(ms)
-        self.timer.update((ms,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for f in rows:
-            values = (None if pd.isna(v) else v for v in f["value"])
-            new += zip(f["ts"].astype("datetime64[ms]").astype("int64").tolist(), f["slot"].tolist(), values)
-        self.held.appendList(new)
-        end = self._end(min(x[0] for x in new))
-        if self.timer.exists():
-            old = self.timer.get()[0]
-            if old <= end:
-                return iter(())
-            self.handle.deleteTimer(old)
-        self._wake(end)
-        return iter(())
+    def rows(self, f: pd.DataFrame):
+        values = (None if pd.isna(v) else v for v in f["value"])
+        return zip(millis(f), f["slot"].tolist(), values, f["user_id"].tolist())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        held = [tuple(x) for x in self.held.get()]
-        left = [x for x in held if self._end(x[0]) > now]
-        windows: dict[int, list] = {}
-        for x in held:
-            if self._end(x[0]) <= now:
-                windows.setdefault(x[0] - x[0] % self.width, []).append(x)
-        before = {s: v for s, v in self.slots.get()} if self.slots.exists() else {}
+        ready, left, users = self.released(timerValues.getCurrentWatermarkInMs())
+        windows: dict[int, dict] = {}
+        for x in ready:
+            windows.setdefault(x[0] - x[0] % self.width, {}).setdefault(x[3], []).append(x)
         out = []
         for at in sorted(windows):
-            rows = sorted(windows[at], key=lambda x: (x[0], x[2] is not None, x[2] or ""))
-            after = {s: v for _, s, v in rows}
-            for s in sorted(before.keys() | after.keys()):
-                a, b = before.get(s), after.get(s)
-                out.append((at, s, a, b, "create" if s not in before else "dispose" if s not in after else "keep" if a == b else "replace"))
-            before = after
+            for user, rows in windows[at].items():
+                rows.sort(key=lambda x: (x[0], x[2] is not None, x[2] or ""))
+                before, after = users.get(user, {}), {s: v for _, s, v, _ in rows}
+                for s in sorted(before.keys() | after.keys()):
+                    a, b = before.get(s), after.get(s)
+                    out.append((user, at, s, a, b, "create" if s not in before else "dispose" if s not in after else "keep" if a == b else "replace"))
+                users[user] = after
         if windows:
-            self.slots.put(list(before.items()))
-        if left:
-            self.held.put(left)
-            self._wake(min(self._end(x[0]) for x in left))
-        else:
-            self.held.clear()
+            self.remember(users)
+        self.wake(min((self.wakes(x[0]) for x in left), default=None))
         if out:
-            yield pd.DataFrame({"user_id": key[0], **{c: pd.Series([x[i] for x in out], dtype=None if not i else object) for i, c in enumerate(("at_ms", "slot", "before", "after", "action"))}})
-
-    def close(self) -> None:
-        pass
+            yield pd.DataFrame({c: pd.Series([x[i] for x in out], dtype="int64" if c == "at_ms" else object) for i, c in enumerate(NAMES)})
 
 
-def slot_stream(rows: DataFrame, width_ms: int, delay: str = "1 minute") -> DataFrame:
+def slot_stream(rows: DataFrame, width_ms: int, delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """(user_id, at_ms, slot, before, after, action): create, keep, replace or dispose for each slot of each new snapshot."""
-    return rows.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(Snapshots(width_ms), OUT, "append", "eventTime")
+    dealt = in_buckets(rows.select("user_id", "slot", "value", "ts"), ["user_id"], delay, buckets)
+    out = dealt.groupBy("bucket").transformWithStateInPandas(Snapshots(width_ms), "user_id string, at_ms bigint, slot string, before string, after string, action string", "append", "eventTime")
+    return out.select(F.col("user_id").cast("bigint").alias("user_id"), *NAMES[1:])

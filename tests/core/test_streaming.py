@@ -95,3 +95,23 @@ def test_dealt_rows_come_late_across_files(utc):
     files = [utc.read.parquet(path.replace("*", f"file{i}")).selectExpr("min(id)", "max(id)", "count(*)").first() for i in range(5)]
     assert sum(f[2] for f in files) == 400 and all(f[1] > g[0] for f, g in zip(files, files[1:]))
     assert utc.read.parquet(path).count() == 401
+
+
+def test_replays_of_several_files(utc, tmp_path):
+    """Each file of a table covers the whole time, and some dwells end within the last hour."""
+    import duckdb
+    from lexiflow.plans import streams as S
+    from pyspark.sql import functions as F
+
+    rows = utc.range(1200).withColumn("user_id", F.col("id") % 30)
+    minute = F.when(F.col("id") >= 1170, 20_000 + F.col("user_id")).when((F.col("id") >= 1140), 19_700 + F.col("user_id") * 3).otherwise(F.col("id") * 17)
+    kind = F.when(F.col("id").between(1140, 1169), "view").otherwise(F.element_at(F.array(*map(F.lit, ("view", "click", "purchase", "error"))), (F.col("id") * 7 % 4 + 1).cast("int")))
+    # An element is its event's number modulo 3, so the last two events of a user share one.
+    e = rows.select((F.col("user_id") * 3000 + F.when(F.col("id") >= 1140, F.floor(F.col("id") / 30) * 3).otherwise(F.col("id"))).alias("event_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("start"), "user_id", kind.alias("event_type"), minute.alias("minute"))
+    e = e.select("event_id", (F.col("start") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute").cast("int"))).alias("ts"), "user_id", "event_type")
+    e.repartition(5, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for q in (S.dwell_replay, S.cooldown_replay, S.funnel_replay, S.dwell_late):
+        want = sorted(db.execute(S.SQL[q.__name__]).fetchall())
+        assert len(want) > 30 and sorted(tuple(r) for r in q(utc, str(tmp_path)).collect()) == want, q.__name__
