@@ -74,8 +74,10 @@ def data_url_decode(spark, d):
 
 def data_url_lenient(spark, d):
     """Payloads of URLs made from texts: lines, marks and padding that strict decoding refuses."""
-    b = F.translate(F.base64(F.encode("text", "utf-8")), "\r\n", "")
-    broken = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("data:image/png,x;base64,"), F.regexp_replace(b, "(.{7})", "$1 *"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("data:a/b;base64,"), F.translate(F.rtrim(b, F.lit("=")), "+/", "-_"))).when(F.col("doc_id") % 4 == 2, F.lit("data:text/plain;base64,")).otherwise(F.concat(F.lit("data:;base64,"), b))
+    # Replaced as a whole: translate makes a string of every character.
+    swap = lambda c, old, new: F.replace(c, F.lit(old), F.lit(new))
+    b = swap(F.base64(F.encode("text", "utf-8")), "\r\n", "")
+    broken = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("data:image/png,x;base64,"), F.regexp_replace(b, "(.{7})", "$1 *"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("data:a/b;base64,"), swap(swap(F.rtrim(b, F.lit("=")), "+", "-"), "/", "_"))).when(F.col("doc_id") % 4 == 2, F.lit("data:text/plain;base64,")).otherwise(F.concat(F.lit("data:;base64,"), b))
     u = table(spark, d, "documents").select("doc_id", broken.alias("url"))
     return u.select("doc_id", X.data_url_mime(F.col("url")).alias("mime"), F.hex(X.data_url_bytes(F.col("url"))).alias("payload"))
 

@@ -122,3 +122,17 @@ def test_lists(spark):
     base, changes = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "k int, v string, pos int"), spark.createDataFrame([(3, "n", 5), (2, "x", 6), (2, "y", 7), (4, "m", 9)], "k int, v string, pos int")
     assert [tuple(x) for x in C.upsert_in_place(base, changes, "k", "pos").orderBy("pos").collect()] == [(1, "a", 0), (2, "y", 1), (3, "n", 2), (4, "m", 6)]
     assert sorted(x.v or "" for x in A.without(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k int, v string"), "v", "a").collect()) == ["", "b"]
+
+
+def test_long_data_urls_in_one_pass(spark):
+    """A megabyte with marks in it; each step of decoding is computed once, not once for each mention."""
+    import base64
+
+    payload = bytes(range(256)) * 4000
+    code = base64.b64encode(payload).decode()
+    url = "data:a/b\n;base64," + " *".join(code[i : i + 7] for i in range(0, len(code), 7))
+    df = spark.createDataFrame([(url,), (url + " ",), ("data:;base64,AA",), ("data:a;base64;base64,AA",)], "u string")
+    out = df.select(X.data_url_mime(F.col("u")).alias("m"), X.data_url_bytes(F.col("u")).alias("p"))
+    got = [tuple(r) for r in out.collect()]
+    assert got[0][0] == "a/b\n" and bytes(got[0][1]) == payload and got[1:] == [(None, None)] * 3
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
