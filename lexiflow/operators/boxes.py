@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import written
 from .events import micros
 
 #: Percent of a cell's side.
 CELL = 5.0
+#: Points, or boxes, of a cell that one task takes at once.
+SLICE = 500_000
 
 
 def _cells(low: Column, high: Column, side: float) -> Column:
@@ -30,6 +34,68 @@ def points_in_boxes(points: DataFrame, x: str, y: str, boxes: DataFrame, side: f
     return p.join(b, ["__cx", "__cy"]).filter(inside).drop("__cx", "__cy")
 
 
+def sums_below(px, py, weights, qx, qy) -> np.ndarray:
+    """For each (qx, qy) the sum of each row of ``weights`` over points with px < qx and py < qy, exact in 64-bit integers.
+
+    Points are sorted by x and told apart by the bits of their rank in y, from the highest one (a wavelet matrix): a
+    query keeps a range of points and goes once through the bits, so time is n log n in points and queries.
+    """
+    order = np.argsort(px, kind="stable")
+    ys = np.unique(py)
+    rank, w = np.searchsorted(ys, py)[order], weights[:, order]
+    lo, hi, top = np.zeros(len(qx), np.int64), np.searchsorted(px[order], qx, "left"), np.searchsorted(ys, qy, "left")
+    out = np.zeros((len(weights), len(qx)), np.int64)
+    start = lambda v: np.concatenate([np.zeros(v.shape[:-1] + (1,), np.int64), np.cumsum(v, axis=-1, dtype=np.int64)], axis=-1)
+    for bit in reversed(range(len(ys).bit_length())):
+        one = (rank >> bit) & 1
+        zeros, sums = start(1 - one), start(w * (1 - one))
+        high = (top >> bit) & 1 == 1
+        out += np.where(high, sums[:, hi] - sums[:, lo], 0)
+        lo, hi = (np.where(high, zeros[-1] + i - zeros[i], zeros[i]) for i in (lo, hi))
+        to = np.argsort(one, kind="stable")
+        rank, w = rank[to], w[:, to]
+    return out
+
+
+def sums_in_boxes(points: DataFrame, x: str, y: str, values: list[str], boxes: DataFrame, key: str, side: float = CELL, most: int = SLICE) -> DataFrame:
+    """(key, points, *values): number of points in each box that has any, and the sums of the points' whole numbers ``values``.
+
+    As ``points_in_boxes`` with a grouping by ``key``, but pairs are never made: a cell's sums below the corners of its boxes
+    give what lies in them. A cell with more than ``most`` points or boxes is dealt to several tasks by hash; their sums
+    add up. Null values count as 0.
+    """
+    fit = lambda *c: ~F.greatest(*(F.abs(F.col(f"`{i}`").cast("double")) for i in c)).isin(float("inf"), float("nan"))
+    right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
+    b = boxes.filter(fit("left", "top", "width", "height") & (F.col("width") > 0) & (F.col("height") > 0))
+    b = b.select(F.col(key).alias("k"), F.col("left").cast("double").alias("x0"), F.col("top").cast("double").alias("y0"), right.cast("double").alias("x1"), bottom.cast("double").alias("y1"))
+    b = b.withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), side))).withColumn("cy", F.explode(_cells(F.col("y0"), F.col("y1"), side)))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = [f"v{i}" for i in range(len(values) + 1)]
+    # Equal points are one, with their sums.
+    p = points.filter(fit(x, y)).groupBy(px.alias("x"), py.alias("y")).agg(F.count("*").alias("v0"), *(F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(v) for c, v in zip(values, sums[1:])))
+    p = p.withColumns({"cx": F.floor(F.col("x") / side).cast("int"), "cy": F.floor(F.col("y") / side).cast("int")})
+    slices = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / most).cast("int")
+    held = p.groupBy("cx", "cy").agg(F.count("*").alias("np")).join(b.groupBy("cx", "cy").agg(F.count("*").alias("nb")), ["cx", "cy"])
+    held = written(held.select("cx", "cy", slices("np").alias("sp"), slices("nb").alias("sb")), "cells")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(held, ["cx", "cy"]).withColumn("i", F.pmod(F.xxhash64("x", "y"), F.col("sp")).cast("int")).withColumn("j", every("sb"))
+    b = b.join(held, ["cx", "cy"]).withColumn("j", F.pmod(F.xxhash64("k", "x0", "y0"), F.col("sb")).cast("int")).withColumn("i", every("sp"))
+    at = ["cx", "cy", "i", "j"]
+
+    def below(pts, bxs):
+        import pyarrow as pa
+
+        q, r = ({c: t.column(c).to_numpy() for c in names} for t, names in ((pts, ["x", "y", *sums]), (bxs, ["x0", "y0", "x1", "y1"])))
+        n = len(r["x0"])
+        w = np.array([q[v] for v in sums], np.int64).reshape(len(sums), -1)
+        f = sums_below(q["x"], q["y"], w, np.concatenate([r["x1"], r["x0"], r["x1"], r["x0"]]), np.concatenate([r["y1"], r["y1"], r["y0"], r["y0"]]))
+        got = f[:, :n] - f[:, n : 2 * n] - f[:, 2 * n : 3 * n] + f[:, 3 * n :]
+        return pa.table([bxs.column("k"), *got], names=["k", *sums]).filter(pa.array(got[0] > 0))
+
+    found = p.select(*at, "x", "y", *sums).groupBy(*at).cogroup(b.select(*at, "k", "x0", "y0", "x1", "y1").groupBy(*at)).applyInArrow(below, f"k {dict(boxes.dtypes)[key]}, " + ", ".join(f"{v} bigint" for v in sums))
+    return found.groupBy(F.col("k").alias(key)).agg(*(F.sum(v).alias(c) for v, c in zip(sums, ["points", *values])))
+
+
 class Drawn:
     """Boxes drawn so far, by cell: what a cell holds of them, without those that a later one covers there."""
 

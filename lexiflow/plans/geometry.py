@@ -32,8 +32,7 @@ def box_points(spark, d):
     p = table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") % 100).alias("x"), ((F.col("l_orderkey") * 13 + F.col("l_linenumber") * 7) % 1000 / 10).alias("y"))
     e = table(spark, d, "events").filter("event_type = 'click'")
     boxes = e.select("event_id", (F.col("event_id") * 41 % 97).cast("double").alias("left"), (F.col("event_id") * 59 % 98).cast("double").alias("top"), (F.col("value") % 4 + 0.5).alias("width"), (F.col("event_id") % 5 + 0.25).cast("double").alias("height"))
-    found = B.points_in_boxes(p, "x", "y", boxes)
-    return found.groupBy("event_id").agg(F.count("*").alias("points"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    return B.sums_in_boxes(p.withColumn("quantity", F.col("l_quantity").cast("long")), "x", "y", ["quantity"], boxes, "event_id")
 
 
 def independent_parts(spark, d):

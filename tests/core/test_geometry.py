@@ -18,6 +18,24 @@ def test_points_in_boxes(spark):
     assert got == want and len(want) > 500
 
 
+def test_sums_in_boxes(spark):
+    """Sums without pairs: equal points, edges, cells dealt to several tasks, one key for two boxes."""
+    r = random.Random(4)
+    pts = [(r.choice([0.0, 5.0, 7.5, 100.0, r.random() * 20]), r.choice([0.0, 50.0, r.random() * 20]), r.choice([None, -3, 1, 9])) for _ in range(500)] + [(None, 1.0, 1), (float("nan"), 1.0, 1)]
+    bxs = [(i % 90, r.choice([0.0, r.random() * 20]), r.choice([0.0, 5.0, r.random() * 20]), r.choice([0.0, 5.0, r.random() * 9]), r.choice([5.0, 60.0])) for i in range(100)] + [(200, -5.0, -5.0, 200.0, 200.0), (201, None, 0.0, 5.0, 5.0), (202, 300.0, 0.0, 5.0, 5.0)]
+    p = spark.createDataFrame(pts, "x double, y double, v int")
+    b = spark.createDataFrame(bxs, "b int, left double, top double, width double, height double")
+    want = {}
+    for k, left, t, w, h in bxs:
+        for x, y, v in pts:
+            if None not in (x, left) and left <= x < left + w and t <= y < t + h:
+                n, q = want.get(k, (0, 0))
+                want[k] = n + 1, q + (v or 0)
+    for most in (B.SLICE, 4):
+        out = B.sums_in_boxes(p, "x", "y", ["v"], b, "b", most=most)
+        assert {k: (n, q) for k, n, q in out.collect()} == want and len(want) > 50
+
+
 def test_drawn_index_equals_a_list():
     r = random.Random(2)
     d, held = B.Drawn(), []
