@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from lexiflow.llm import suffix_dedup as S
 from test_rows import EDGES, noise
 
@@ -93,3 +95,22 @@ def test_clashing_columns(spark):
     rows = sorted(map(tuple, S.remove_repeats(df, length=40, gram=12).collect()))
     assert rows == [(i, t and t.replace("x" * 50, ""), *(f"{i}{n}" for n in names[2:])) for i, t in enumerate(texts)]
     assert {r.doc_id: r.text for r in S.repeat_digests(df, length=40, gram=12).collect()} == {0: "unique", 1: "other", 2: ""}
+
+
+def test_a_scan_takes_memory_for_a_part_of_its_block():
+    """A worker's memory is that of a scan; two of them and the JVM share an executor's."""
+    random.seed(8)
+    words = ["".join(random.choices("abcdefghij", k=6)) for _ in range(3000)]
+    sizes = [100] * 1000 + [90_000] * 2
+    texts = [" ".join(random.choices(words, k=n)) for n in sizes]
+    block = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["row", "mark", "text"])
+    run = S.context_rows(type("Texts", (), {"mapInArrow": lambda self, f, schema: f})(), 400, 32)
+    tracemalloc.start()
+    try:
+        rows = pa.Table.from_batches([x for x in run(iter([block]))])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 << 20
+    windows = sorted((m, w) for m, lo, n in zip(*(rows.column(c).to_pylist() for c in ("mark", "lo", "n"))) for w in range(lo, lo + n))
+    assert windows == [(m, w) for m, t in enumerate(texts) for w in range(len(t) - 399)]
