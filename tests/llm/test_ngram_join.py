@@ -137,6 +137,21 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    """Each table that a round writes costs a job or more, on small edge tables too."""
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, name, keep=components.stored: written.append(name) or keep(df, name))
+    stars = [(i // 10 * 10, i) for i in range(60)]
+    got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {i: i // 10 * 10 for i in range(60)}
+    assert written == ["edges", "least"]
+    written.clear()
+    path = [(i, i + 1) for i in range(40)] + [(100 + i, 99 + i) for i in range(1, 30)]
+    got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+    assert written[-2:] == ["edges", "least"] and written.count("large") == written.count("edges") - 1
+
+
 def test_empty(spark):
     assert J.jaccard_components(frame(spark, ["x"]).limit(0)).count() == 0
 
