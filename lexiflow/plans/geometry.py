@@ -37,7 +37,7 @@ def box_points(spark, d):
 
 def independent_parts(spark, d):
     """Parts of which no two share an order, as a greedy walk in a seeded order chooses them, and the round that decided."""
-    return I.independent_members(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", F.md5(F.concat(F.lit("s12|"), F.col("l_partkey").cast("string"))))
+    return I.independent_members(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", F.unhex(F.md5(F.concat(F.lit("s12|"), F.col("l_partkey").cast("string")))))
 
 
 QUERIES = {f.__name__: f for f in (pointer_percent, drawn_zones, box_points, independent_parts)}

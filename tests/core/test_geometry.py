@@ -82,6 +82,16 @@ def test_independent_members(spark):
     assert I.independent_members(line, "g", "m", F.col("m")).filter("chosen").count() == 20
 
 
+def test_rows_of_independent_parts_are_short(spark, monkeypatch):
+    """Rounds shuffle these rows again and again: two keys and sixteen bytes that order them."""
+    from lexiflow.plans.geometry import independent_parts
+
+    kinds = {}
+    monkeypatch.setattr(I, "written", lambda df, name, keep=I.written: kinds.setdefault(name, [t for _, t in df.dtypes]) and keep(df, name))
+    independent_parts(spark, "/root/testdata/sf0.001")
+    assert kinds["members"] == kinds["left"] == ["bigint", "bigint", "binary"]
+
+
 def test_query_of_parts(spark):
     import hashlib
 
