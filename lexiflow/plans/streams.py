@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import cooldown_stream, dwell_stream, funnel_stream, slot_stream
 from ..sources.tables import table
+from ..streaming.gaze import buckets_for
 from ..streaming.replay import dealt, replayed
 
 HOUR = 3_600_000
@@ -20,36 +21,37 @@ def _events(stream):
 
 
 def _replayed(spark, d, make, files=1, late=HOUR):
-    """Events in folders that a stream reads one by one, with a last row that ends the wait for late ones."""
+    """Events in folders that ``make``'s stream, of so many buckets, reads one by one, with a last row that ends the wait for late ones."""
     events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    return replayed(spark, dealt(events, "ts", "event_id", files, late * 1000), make, files + 1)
+    buckets = buckets_for(events.count())
+    return replayed(spark, dealt(events, "ts", "event_id", files, late * 1000), lambda s: make(s, buckets), files + 1)
 
 
 def dwell_replay(spark, d):
     """Dwells of four hours; those that nothing ends fire if they are due an hour before the last event."""
     last = table(spark, d, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
-    return _replayed(spark, d, lambda s: dwell_stream(_events(s), 4 * HOUR, "1 hour", None if last is None else last - HOUR))
+    return _replayed(spark, d, lambda s, n: dwell_stream(_events(s), 4 * HOUR, "1 hour", None if last is None else last - HOUR, buckets=n))
 
 
 def cooldown_replay(spark, d):
-    return _replayed(spark, d, lambda s: cooldown_stream(_events(s), 24 * HOUR, "1 hour"))
+    return _replayed(spark, d, lambda s, n: cooldown_stream(_events(s), 24 * HOUR, "1 hour", buckets=n))
 
 
 def funnel_replay(spark, d):
-    return _replayed(spark, d, lambda s: funnel_stream(_events(s), ["enter", "click", "purchase"], "1 hour"))
+    return _replayed(spark, d, lambda s, n: funnel_stream(_events(s), ["enter", "click", "purchase"], "1 hour", buckets=n))
 
 
 def dwell_late(spark, d):
     """Dwells of eight hours from files whose rows come up to a day late."""
-    return _replayed(spark, d, lambda s: dwell_stream(_events(s), 8 * HOUR, "24 hours"), FILES, LATE)
+    return _replayed(spark, d, lambda s, n: dwell_stream(_events(s), 8 * HOUR, "24 hours", buckets=n), FILES, LATE)
 
 
 def cooldown_late(spark, d):
-    return _replayed(spark, d, lambda s: cooldown_stream(_events(s), 16 * HOUR, "24 hours"), FILES, LATE)
+    return _replayed(spark, d, lambda s, n: cooldown_stream(_events(s), 16 * HOUR, "24 hours", buckets=n), FILES, LATE)
 
 
 def funnel_late(spark, d):
-    return _replayed(spark, d, lambda s: funnel_stream(_events(s), ["enter", "click", "enter", "purchase", "error"], "24 hours"), FILES, LATE)
+    return _replayed(spark, d, lambda s, n: funnel_stream(_events(s), ["enter", "click", "enter", "purchase", "error"], "24 hours", buckets=n), FILES, LATE)
 
 
 def slots_late(spark, d):
@@ -58,7 +60,7 @@ def slots_late(spark, d):
         value = F.when(F.col("event_id") % 4 > 0, F.col("event_type"))
         return s.select("user_id", F.concat(F.lit("s"), F.col("event_id") % 3).alias("slot"), value.alias("value"), F.col("ts").cast("timestamp").alias("ts"))
 
-    return _replayed(spark, d, lambda s: slot_stream(rows(s), 24 * HOUR, "24 hours"), FILES, LATE)
+    return _replayed(spark, d, lambda s, n: slot_stream(rows(s), 24 * HOUR, "24 hours", buckets=n), FILES, LATE)
 
 
 QUERIES = {f.__name__: f for f in (dwell_replay, cooldown_replay, funnel_replay, dwell_late, cooldown_late, funnel_late, slots_late)}

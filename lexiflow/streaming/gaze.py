@@ -8,7 +8,8 @@ state is the events of one delay and a few numbers for each key that is active.
 
 Keys are dealt to ``buckets`` by their hash, and Spark's state is kept by bucket: a micro-batch is one append and a timer
 one read for all keys of a bucket, where a call to the state store for every key would take most of the time. A task
-holds one bucket's waiting events at a time.
+holds one bucket's waiting events at a time. A call takes about as long as fifty events, so a bucket should have
+thousands of them (``buckets_for``), and nothing is asked of the store that is known already.
 
 The state store must be able to hold several states of a key (``spark.sql.streaming.stateStore.providerClass``: RocksDB).
 """
@@ -26,6 +27,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 IDLE_MS = 365 * 24 * 3_600_000
 #: Buckets of keys; more of them for more events within one delay, since a bucket's are in memory at once.
 BUCKETS = 1024
+#: Events of a bucket, and the least buckets, where the number of events is known.
+BUCKET_EVENTS, LEAST_BUCKETS = 1 << 14, 256
+
+
+def buckets_for(events: int) -> int:
+    """So many buckets that one's events, and the calls for each of them, stay as they are however many events come."""
+    return max(LEAST_BUCKETS, -(-events // BUCKET_EVENTS))
 
 
 class Dwell:
@@ -106,12 +114,7 @@ class Timed(StatefulProcessor):
         return ms
 
     def wake(self, ms: int | None) -> None:
-        """Keep one timer for the bucket, at ``ms``."""
-        old = self.timer.get() if self.timer.exists() else None
-        if ms == (old and old[0]):
-            return
-        if old:
-            self.handle.deleteTimer(old[0])
+        """Keep one timer for the bucket, at ``ms``, after the one before it has fired."""
         if ms is None:
             self.timer.clear()
         else:
@@ -121,15 +124,17 @@ class Timed(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [x for f in rows for x in self.rows(f)]
         self.held.appendValue((pickle.dumps(new),))
-        first = min(self.wakes(x[0]) for x in new)
-        self.wake(min(first, self.timer.get()[0]) if self.timer.exists() else first)
+        first, old = min(self.wakes(x[0]) for x in new), self.timer.get()
+        if old is None or first < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self.wake(first)
         return iter(())
 
     def released(self, now: int) -> tuple[list[tuple], list[tuple], dict]:
         """Rows that the watermark ``now`` has reached, those it has not, and what is remembered of keys."""
-        self.timer.clear()
         ready, left, packs = [], [], 0
-        for (pack,) in self.held.get() if self.held.exists() else ():
+        for (pack,) in self.held.get():
             packs += 1
             for x in pickle.loads(pack):
                 (ready if self.wakes(x[0]) <= now else left).append(x)
@@ -137,7 +142,8 @@ class Timed(StatefulProcessor):
             self.held.clear()
         elif ready or packs > 1:
             self.held.put([(pickle.dumps(left),)])
-        return ready, left, pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+        keys = self.state.get()
+        return ready, left, pickle.loads(keys[0]) if keys is not None else {}
 
     def remember(self, keys: dict) -> None:
         if keys:

@@ -115,3 +115,113 @@ def test_replays_of_several_files(utc, tmp_path):
     for q in (S.dwell_replay, S.cooldown_replay, S.funnel_replay, S.dwell_late):
         want = sorted(db.execute(S.SQL[q.__name__]).fetchall())
         assert len(want) > 30 and sorted(tuple(r) for r in q(utc, str(tmp_path)).collect()) == want, q.__name__
+
+
+def events_of(spark, tmp_path, rows=900, users=12):
+    """A table of events, each at its own time, in files that cover the whole time."""
+    from pyspark.sql import functions as F
+
+    e = spark.range(rows).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 31 AS int))").alias("ts"), (F.col("id") * 7 % users).alias("user_id"), F.element_at(F.array(*map(F.lit, ("view", "click", "purchase", "error"))), (F.col("id") % 4 + 1).cast("int")).alias("event_type"))
+    e.repartition(3, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+
+
+@pytest.mark.parametrize("name", ["slots_late", "cooldown_late"])
+def test_replay_has_a_store_a_core(utc, tmp_path, monkeypatch, name):
+    """A replay's tasks follow cores and rows, not the session's shuffle partitions, and its rows are those of its SQL."""
+    import duckdb
+    from lexiflow.plans import streams as S
+    from lexiflow.streaming import gaze, replay
+
+    monkeypatch.setattr(gaze, "LEAST_BUCKETS", 16)
+    events_of(utc, tmp_path)
+    monkeypatch.setattr(replay, "scratch", lambda _: str(tmp_path / "shared"))
+    before = utc.conf.get("spark.sql.shuffle.partitions")
+    utc.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = sorted(map(tuple, S.QUERIES[name](utc, str(tmp_path)).collect()), key=repr)
+        assert utc.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        utc.conf.set("spark.sql.shuffle.partitions", before)
+    (state,) = (tmp_path / "shared").glob("replay-*/state")
+    assert utc.read.format("state-metadata").load(str(state)).select("numPartitions").distinct().collect() == [(utc.sparkContext.defaultParallelism,)]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(S.SQL[name]).fetchall(), key=repr)
+    assert len(want) > 100 and got == want
+
+
+def test_buckets_and_stores_follow_events(utc):
+    from lexiflow.streaming.gaze import BUCKET_EVENTS, LEAST_BUCKETS, buckets_for
+    from lexiflow.streaming.replay import STORE_ROWS, state_partitions
+
+    assert buckets_for(0) == LEAST_BUCKETS and buckets_for(10_000 * BUCKET_EVENTS + 1) == 10_001
+    assert state_partitions(utc, 0) == utc.sparkContext.defaultParallelism and state_partitions(utc, 100 * STORE_ROWS) == 100
+
+
+class Store:
+    """A state of one bucket that counts what is asked of it."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def named(self, name, _):
+        return Named(self, name)
+
+    getListState = getValueState = named
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+class Named:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values.get(self.name, () if self.name == "held" else None)
+
+    def exists(self):
+        self.store.calls += 1
+        return self.name in self.store.values
+
+    def put(self, value):
+        self.store.calls += 1
+        self.store.values[self.name] = value
+
+    update = put
+
+    def appendValue(self, value):
+        self.store.calls += 1
+        self.store.values.setdefault(self.name, []).append(value)
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.values.pop(self.name, None)
+
+
+def test_few_calls_to_the_store():
+    """Four for a bucket's first rows, two for more behind its timer, five for some before it, six for a timer that leaves some."""
+    import pandas as pd
+    from types import SimpleNamespace
+    from lexiflow.streaming.gaze import Cooldown, InOrder
+
+    frame = lambda *ms: pd.DataFrame({"ts": pd.to_datetime(list(ms), unit="ms"), "event_type": "hit", "element_id": "e", "user_id": "1"})
+    machine, store = InOrder(Cooldown(1500), False), Store()
+    machine.init(store)
+    counts = []
+    for call in (
+        lambda: machine.handleInputRows((0,), iter([frame(3000, 9000)]), None),
+        lambda: machine.handleInputRows((0,), iter([frame(4000)]), None),
+        lambda: machine.handleInputRows((0,), iter([frame(2000)]), None),
+        lambda: (store.timers.remove(2000), [tuple(r) for f in machine.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 3200), None) for r in f.itertuples(index=False)])[1],
+    ):
+        store.calls = 0
+        out = list(call())
+        counts.append(store.calls)
+    assert out == [("1", "e", 2000)] and store.timers == {3500} and counts == [4, 2, 5, 6]
