@@ -66,6 +66,23 @@ def test_replay_handles_ranks_that_fall():
     assert byte_bpe.replay(words, ranks) == [byte_bpe.merge_word(w, ranks) for w in words]
 
 
+def test_words_of_the_memory_before_are_not_replayed(monkeypatch):
+    """A full memory is followed by a new one, but its words are taken from it and not merged again."""
+    enc, merged = byte_bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, remembered=10), []
+    own = byte_bpe.replay_bytes
+    monkeypatch.setattr(byte_bpe, "replay_bytes", lambda words, *more: merged.append(sorted(words)) or own(words, *more))
+    first = " ".join(f"w{chr(97 + i)}" for i in range(20))
+    want = enc.encode([first])
+    enc.encode(["other"])
+    assert enc.encode([first + " new"])[0].startswith(want[0]) and merged[1:] == [[b"other"], [b" new"]]
+
+
+def test_replay_of_nothing_and_of_bytes_without_rank():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"xy": 3}
+    assert byte_bpe.replay([], ranks) == [] and byte_bpe.replay([b"", b"ab", b"", b"ba"], ranks) == [[], [2], [], [1, 0]]
+    assert byte_bpe.replay([b"xy", b"aab"], ranks) == [[3], [0, 2]]
+
+
 def test_merge_word_equals_plain_merging():
     """Random words and ranks against a search of the whole word at each merge; a word of 100,000 bytes ends."""
     draw = random.Random(6)
