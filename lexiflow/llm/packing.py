@@ -26,7 +26,10 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import chain, compress, filterfalse, repeat
+from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -36,7 +39,7 @@ from .common import byte_blocks, remembered, stored
 from .token_counts import tokenizer
 
 SEQUENCE, END, BLOCK, QUEUES = 2048, 1, 512, 64
-REMEMBERED, TOGETHER = 700_000, 16
+REMEMBERED, TOGETHER = 500_000, 16
 #: Children of a node below the shared queue, and the round and block of its schedule.
 FAN, NODE_ROUND, NODE_BLOCK = 32, 64, 16
 BLOCK_BYTES = 4 << 20
@@ -77,12 +80,13 @@ class PieceEncoder:
     no composed form where its small letter has one. A text that might hold a special token goes to
     the library whole. New pieces of lower-case Latin letters are one word each, and a word's last token, and no other,
     has the end mark; so they are encoded ``TOGETHER``, without normalising, and cut behind these tokens.
+    Beyond ``REMEMBERED`` pieces a new memory begins; what the one before it held is taken from there while it lasts.
 
     All this holds for a tokenizer with the settings in ``KNOWN``; with another one all texts go to the library whole.
     """
 
     def __init__(self, path: str):
-        self.tk, self.pieces, self.stems = tokenizer(path), {}, {}
+        self.tk, self.pieces, self.older = tokenizer(path), {}, {}
         self.plain = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
         words = self.tk.get_vocab(True)
         self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
@@ -99,42 +103,57 @@ class PieceEncoder:
             self.words = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": plain}, "added_tokens": []}))
         self.id_bytes = 2 if len(self.ends) <= 1 << 16 else 4
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.stems) > REMEMBERED:
-            self.stems = {}
-        stems, parts, missing = self.stems, [], set()
-        for p in new:
+    def _learn(self, new: set[bytes]) -> None:
+        known, older = self.pieces, self.older
+        known.update((p, older[p]) for p in new.intersection(older))
+        new = new.difference(older)
+        words, cuts, letters, others = set(filter(bytes.isalpha, new)), [], [], []  # ASCII letters
+        for p in filterfalse(bytes.isalpha, new):
             s = p.rstrip(TAIL)
-            cut = (s, p[len(s) :]) if s and s[-1] in self.plain and len(s) < len(p) else (p, b"")
-            parts.append(cut)
-            missing.update(x for x in cut if x and x not in stems)
-        letters, others = [], []
-        for s in missing:
+            if s and s[-1] in self.plain and len(s) < len(p):
+                cuts.append((p, s, p[len(s) :]))
+                parts = cuts[-1][1:]
+            else:
+                parts = (p,)
+            for x in parts:
+                if x not in known:
+                    if x in older:
+                        known[x] = older[x]
+                    else:
+                        words.add(x)
+        for s in filterfalse(bytes.isalpha, words):
             t = s.decode()
-            (letters if t.isalpha() and (t.isascii() or max(t) <= "ſ" and t == t.lower()) else others).append(t)
-        for t, e in zip(others, self.tk.encode_batch_fast(others, add_special_tokens=False)):
-            stems[t.encode()] = np.array(e.ids, "<u4").tobytes()
+            (letters if t.isalpha() and max(t) <= "ſ" and t == t.lower() else others).append(s)
+        letters += filter(bytes.isalpha, words)
+        for s, e in zip(others, self.tk.encode_batch_fast([s.decode() for s in others], add_special_tokens=False)):
+            known[s] = np.array(e.ids, "<u4").tobytes()
         if letters:
-            rows = self.words.encode_batch_fast([" ".join(letters[i : i + TOGETHER]) for i in range(0, len(letters), TOGETHER)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in rows])
-            raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-            if len(cuts) != len(letters) + 1:
+            rows = self.words.encode_batch_fast([b" ".join(letters[i : i + TOGETHER]).decode() for i in range(0, len(letters), TOGETHER)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in rows), "<u4")
+            raw, cut = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cut) != len(letters) + 1:
                 raise ValueError("the tokenizer does not end each word with one end mark")
-            stems.update((t.encode(), raw[a:b]) for t, a, b in zip(letters, cuts, cuts[1:]))
-        stems[b""] = b""
-        self.pieces.update((p, stems[a] + stems[b]) for p, (a, b) in zip(new, parts))
+            known.update(zip(letters, map(raw.__getitem__, map(slice, cut, cut[1:]))))
+        known.update((p, known[a] + known[b]) for p, a, b in cuts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.known:
             rows = self.tk.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(e.ids if t else [], "<u4").tobytes() for t, e in zip(texts, rows)]
-        cut = [_cut(t) if t and "<|" not in t else [] for t in texts]
         if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        known = self.pieces
-        self._learn(list(set().union(*(set(ps).difference(known) for ps in cut))))
-        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
+            self.pieces, self.older = {}, self.pieces
+        get, found, gaps = self.pieces.get, [], []
+        for t in texts:  # a text's pieces are looked up while they are near, and only new ones are kept
+            ps = _cut(t) if t and "<|" not in t else []
+            ids = list(map(get, ps))
+            found.append(ids)
+            gaps.append([(i, ps[i]) for i in compress(range(len(ids)), map(is_, ids, repeat(None)))])
+        self._learn({p for at in gaps for _, p in at})
+        for ids, at in zip(found, gaps):
+            for i, p in at:
+                ids[i] = get(p)
+        out = [b"".join(ids) for ids in found]
         for i, t in enumerate(texts):
             if t and "<|" in t:
                 out[i] = np.array(self.tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -157,6 +176,7 @@ class Schedule:
         self.total, self.sequence, self.size = int(self.totals.sum()), sequence, sequence * block
         self.blocks = -(-self.total // self.size)
         self.edge, self.block = lru_cache(4096)(self._edge), lru_cache(QUEUES)(self._block)  # a queue is in one block at a time
+        self.columns = lru_cache(QUEUES)(self._columns)
 
     def _paid(self, time: float) -> np.ndarray:
         """Tokens of each queue that are due by ``time``; token j is due at (j + 0.5) / share."""
@@ -217,6 +237,11 @@ class Schedule:
             paid[w + 1] = paid[w] + take
         return paid, place
 
+    def _columns(self, b: int, queue: int) -> tuple[list[int], list[int]]:
+        """A queue's part of both arrays of a block."""
+        paid, place = self.block(b)
+        return paid[:, queue].tolist(), place[:, queue].tolist()
+
     def find(self, queue: int, token: int) -> int:
         """The block that holds a queue's token."""
         lo, hi = 0, self.blocks - 1
@@ -231,19 +256,16 @@ class Schedule:
         b = self._near.get(queue, -1) if hasattr(self, "_near") else -1
         if b < 0 or not int(self.edge(b)[0][queue]) <= at < int(self.edge(b + 1)[0][queue]):
             b = self.find(queue, at)
+        width = self.size // self.sequence
         while at < stop:
-            paid, place = self.block(b)
-            column = paid[:, queue]
-            first = int(np.searchsorted(column, at, "right")) - 1
-            last = int(np.searchsorted(column, stop, "left")) - 1
-            last = min(last, len(place) - 1)
-            edges = column[first : last + 2].clip(at, stop)
-            begins, lengths = edges[:-1], np.diff(edges)
-            keep = lengths > 0
-            sequences = b * (self.size // self.sequence) + np.arange(first, last + 1)
-            offsets = place[first : last + 1, queue] + begins - column[first : last + 1]
-            yield from zip(sequences[keep].tolist(), offsets[keep].tolist(), (begins[keep] - start).tolist(), lengths[keep].tolist())
-            at = int(edges[-1])
+            column, places = self.columns(b, queue)
+            w = bisect_right(column, at) - 1
+            while at < stop and w < len(places):
+                end = min(column[w + 1], stop)
+                if end > at:
+                    yield b * width + w, places[w] + at - column[w], at - start, end - at
+                    at = end
+                w += 1
             self.__dict__.setdefault("_near", {})[queue] = b
             if at < stop:
                 b = self.find(queue, at)

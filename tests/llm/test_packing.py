@@ -116,3 +116,13 @@ def test_sources_of_the_shared_queue_keep_their_shares(spark, monkeypatch):
         part = totals / totals.sum() if shares is None else np.array(list(shares.values())) / sum(shares.values())
         until = len(got) - 1 if shares is None else len(got) // 4
         assert until >= 3 and np.abs(np.cumsum(got, 0)[:until] - np.outer(np.arange(1, until + 1) * 512, part)).max() < 32
+
+
+def test_pieces_of_the_memory_before_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    enc, texts = packing.PieceEncoder(PATH), [" ".join(f"w{chr(97 + i)}e, x{i}" for i in range(20)), "other"]
+    want = enc.encode(texts[:1]) + enc.encode(texts[1:])
+    monkeypatch.setattr(enc, "words", None)
+    assert enc.encode(texts[:1]) == want[:1]
+    tk = tokenizer(PATH)
+    assert np.frombuffer(want[0], "<u4").tolist() == tk.encode(texts[0], add_special_tokens=False).ids
